@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import encode_decode
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.langid import identify, train
+from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.topk import exact_topk
 from tidemark.session import read_table
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the files of the public tokenizers lie; they are no part of this repository."""
+    return import_module("public_tokenizers").path(name)
+
+
+def id_bucket(column: str, modulus: int):
+    """crc32 of the id's decimal text, modulo ``modulus``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark, sf_dir):
+    return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+
+
+def op6_packing(spark, sf_dir):
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 5) == 0
+    model = train(documents.where(~held_out).select("doc_id", "text", "lang"), vocabulary_path())
+    return identify(documents, model, held_out)
+
+
 def op10_exact_topk(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -25,7 +55,10 @@ def op10_exact_topk(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_bpe": op3_bpe,
+    "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_language": op8_language,
     "op10_exact_topk": op10_exact_topk,
 }
 

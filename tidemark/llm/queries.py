@@ -6,9 +6,10 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
+from tidemark.llm import langid, ngram_lm
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.langid import identify, train
+from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.topk import exact_topk
@@ -29,10 +30,20 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_bucket("doc_id", 7) == 2, F.lit(False))
+    return ngram_lm.score(documents, ngram_lm.train(documents.where(~held_out)), held_out)
+
+
 def op3_bpe(spark, sf_dir):
     return encode_decode(read_table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -44,8 +55,8 @@ def op7_secret_scan(spark, sf_dir):
 def op8_language(spark, sf_dir):
     documents = read_table(spark, sf_dir, "documents")
     held_out = id_bucket("doc_id", 5) == 0
-    model = train(documents.where(~held_out).select("doc_id", "text", "lang"), vocabulary_path())
-    return identify(documents, model, held_out)
+    model = langid.train(documents.where(~held_out).select("doc_id", "text", "lang"), vocabulary_path())
+    return langid.identify(documents, model, held_out)
 
 
 def op10_exact_topk(spark, sf_dir):
@@ -55,7 +66,9 @@ def op10_exact_topk(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_language_model": op2_language_model,
     "op3_bpe": op3_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,

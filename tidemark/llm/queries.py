@@ -12,6 +12,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_scan
+from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.topk import exact_topk
 from tidemark.session import read_table
 
@@ -59,6 +60,10 @@ def op8_language(spark, sf_dir):
     return langid.identify(documents, model, held_out)
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return remove_repeats(read_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op10_exact_topk(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings")
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -72,6 +77,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
 }
 

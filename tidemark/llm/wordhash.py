@@ -103,6 +103,14 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to before each end."""
+    up, down = _powers(_STEP, len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def row_ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams that lie within one row, and the first n-gram of each row.
 

@@ -177,8 +177,8 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+def _slices(batch: pa.RecordBatch, column: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     start = 0
     while start < len(batch):
         base = size[start - 1] if start else 0
@@ -189,7 +189,7 @@ def _slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordB
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _slices(batch):
+        for part in _slices(batch, 0):
             words, word, rows = distinct_runs(part.column("text"))
             labels = pc.dictionary_encode(part.column("lang"))
             codes = labels.indices.to_numpy(zero_copy_only=False)
@@ -228,31 +228,37 @@ def train(labelled: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAG
     return LanguageModel(languages, pieces, fit(counts, len(languages), pieces) if languages else np.zeros((len(pieces.hashes), 0)))
 
 
-def _predict(model: LanguageModel):
+def predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Per text the number of its language, -1 for ``und``, and the score."""
+    words, word, rows = distinct_runs(text)
+    total = np.zeros((len(text), len(model.languages)))
+    if model.languages and words:
+        scores = word_scores(words, model.pieces, model.prob)
+        for lang in range(len(model.languages)):
+            total[:, lang] = np.bincount(rows, scores[word, lang], len(text))
+    seen = np.bincount(rows, minlength=len(text)) > 0
+    plain = np.zeros(len(text), bool)  # rows with an ASCII letter surely have one
+    if words:
+        plain[rows[np.array([w[0] < 128 for w in words], bool)[word]]] = True
+    for i in np.flatnonzero(seen & ~plain):
+        seen[i] = _has_letter(text[int(i)].as_py())
+    pick, score = np.full(len(text), -1), np.zeros(len(text))
+    if model.languages:
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        pick[seen] = total.argmax(axis=1)[seen]
+        score[seen] = share.max(axis=1)[seen]
+    return pick, score
+
+
+def _identify(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*model.languages, "und"]
+        names = pa.array([*model.languages, "und"])
         for batch in batches:
-            for part in _slices(batch):
-                words, word, rows = distinct_runs(part.column("text"))
-                total = np.zeros((len(part), len(model.languages)))
-                if model.languages and words:
-                    scores = word_scores(words, model.pieces, model.prob)
-                    for lang in range(len(model.languages)):
-                        total[:, lang] = np.bincount(rows, scores[word, lang], len(part))
-                seen = np.bincount(rows, minlength=len(part)) > 0
-                plain = np.zeros(len(part), bool)  # rows with an ASCII letter surely have one
-                plain[rows[np.array([w[0] < 128 for w in words], bool)[word]] if words else rows] = True
-                for i in np.flatnonzero(seen & ~plain):
-                    seen[i] = _has_letter(part.column("text")[int(i)].as_py())
-                pick = np.full(len(part), len(names) - 1)
-                score = np.zeros(len(part))
-                if model.languages:
-                    share = np.exp(total - total.max(axis=1, keepdims=True))
-                    share /= share.sum(axis=1, keepdims=True)
-                    pick[seen] = total.argmax(axis=1)[seen]
-                    score[seen] = share.max(axis=1)[seen]
+            for part in _slices(batch, 1):
+                pick, score = predict(model, part.column(1))
                 yield pa.record_batch(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(names).take(pa.array(pick)), pa.array(score)],
+                    [part.column(0), part.column(2), names.take(pa.array(pick % len(names))), pa.array(score)],
                     names=["doc_id", "held_out", "lang_pred", "score"],
                 )
 
@@ -265,4 +271,16 @@ def identify(df: DataFrame, model: LanguageModel, held_out=None, text_col: str =
         df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"), (F.lit(False) if held_out is None else held_out).alias("held_out")
     )
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_identify(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a language, with their columns."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, at):
+                yield part.filter(pa.array(predict(model, part.column(at))[0] >= 0))
+
+    return df.mapInArrow(run, df.schema)

@@ -10,6 +10,7 @@ from tidemark.llm import langid, ngram_lm
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_classes
+from tidemark.llm.license_scan import license_scan
 from tidemark.llm.packing import pack
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.substring_dedup import remove_repeats
@@ -45,6 +46,12 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark, sf_dir):
+    """``documents`` has no paths: a document's file is its id, in the directory of its source."""
+    documents = read_table(spark, sf_dir, "documents")
+    return license_scan(documents.select("doc_id", "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")))
+
+
 def op6_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -74,6 +81,7 @@ QUERIES = {
     "op2_language_model": op2_language_model,
     "op3_bpe": op3_bpe,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
     "op8_language": op8_language,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,7 @@ _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
 
 @F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text.cast(pa.string()), form="NFC")
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
 def normalize_text(text: Column) -> Column:

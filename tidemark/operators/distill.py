@@ -53,7 +53,7 @@ def summary(text: Column, parts: Column) -> Column:
 
 def answer(text: Column, parts: Column) -> Column:
     best = summary_sentences(parts)
-    rest = F.filter(parts, lambda s: ~F.array_contains(best, s))
+    rest = F.array_except(parts, best)  # only its first is needed, so that it holds each sentence once is no matter
     return truncate(F.when(F.size(parts) > 0, F.array_join(F.slice(F.concat(best, rest), 1, 3), " ")).otherwise(text), 480)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("vector_jobs", "document_jobs", "event_jobs")
+MODULES = ("vector_jobs", "document_jobs", "event_jobs", "search_jobs")
 
 
 def _gather(attribute: str) -> dict:

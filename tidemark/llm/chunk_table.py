@@ -17,26 +17,23 @@ class ChunkTable:
     def __init__(self, encode: Callable[[list[bytes]], list], remember: int = REMEMBER):
         self._encode, self._known, self._remember = encode, {}, remember
 
-    def _values(self, chunks: list[bytes]) -> dict:
-        fresh = dict(zip(chunks, self._encode(chunks), strict=True))
-        if len(self._known) < self._remember:
-            self._known.update(fresh)
-        return fresh
-
     def look_up(self, texts: list[bytes]) -> list[list]:
         """Per text the values of its chunks, in order."""
-        get, out, waiting, missing = self._known.get, [], [], set()
+        known, out, waiting, missing = self._known, [], [], set()
         for i, text in enumerate(texts):
             chunks = (text if b"<|" in text else text.lower()).split()
-            values = list(map(get, chunks))
+            values = list(map(known.get, chunks))
             if None in values:
                 waiting.append((i, chunks))
-                missing.update(c for c, v in zip(chunks, values, strict=True) if v is None)
+                missing.update(chunks)
             out.append(values)
         if missing:
-            fresh = self._values(sorted(missing))
+            fresh = list(missing.difference(known))
+            known.update(zip(fresh, self._encode(fresh), strict=True))
             for i, chunks in waiting:
-                out[i] = [v if (v := get(c)) is not None else fresh[c] for c in chunks]
+                out[i] = list(map(known.get, chunks))
+            for chunk in fresh[max(0, len(fresh) - len(known) + self._remember) :]:
+                del known[chunk]
         return out
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,38 +28,50 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_table import ChunkTable, portions
+from tidemark.llm.vocabulary import byte_alphabet
 from tidemark.session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
 
-_ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
+#: Lower-case Latin-1 text without the marker of special tokens, and the pieces that it is cut into.
+_PLAIN = re.compile(r"(?!.*<\|)[\x00-\x7fÀ-ÖØ-öø-ÿ]*", re.DOTALL)
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x09-\x0d\x20]+")
 
 
 class _Encoder:
-    """Chunks to ids with the ``tokenizers`` library; ASCII chunks by the pieces they are cut into."""
+    """Chunks to ids with the ``tokenizers`` library; plain chunks by the pieces they are cut into."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._pieces: dict[bytes, bytes] = {}
+        self._merge = self._tokenizer.model.tokenize
+        alphabet = byte_alphabet()
+        self._alphabet = {c: "".join([alphabet[b] for b in chr(c).encode()]) for c in range(256)}
+        self._pieces: dict[str, bytes] = {}
         self._remember = remember
 
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        tokens = self._merge(piece.translate(self._alphabet))
+        ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        if len(self._pieces) < self._remember:
+            self._pieces[piece] = ids
+        return ids
 
     def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        cut = [_ASCII_PIECE.findall(c) if c.isascii() and c == c.lower() and b"<|" not in c else [c] for c in chunks]
-        missing = sorted({p for pieces in cut for p in pieces} - self._pieces.keys())
-        fresh = dict(zip(missing, self._library(missing), strict=True))
-        known = self._pieces
-        out = [b"".join([v if (v := known.get(p)) is not None else fresh[p] for p in pieces]) for pieces in cut]
-        if len(known) < self._remember:
-            known.update(fresh)
+        get, out = self._pieces.get, []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text):
+                out.append(b"".join([get(p) or self._piece(p) for p in _PIECE.findall(text.lower())]))
+            else:
+                out.append(self._whole(text))
         return out
 
 
@@ -67,7 +80,7 @@ _LOADED: dict[str, ChunkTable] = {}
 
 def _table(path: str) -> ChunkTable:
     if path not in _LOADED:
-        _LOADED[path] = ChunkTable(_Encoder(path))
+        _LOADED[path] = ChunkTable(_Encoder(path), remember=700_000)
     return _LOADED[path]
 
 

@@ -54,7 +54,7 @@ def _own_licenses(rows: DataFrame, threshold: float) -> DataFrame:
     terms = F.broadcast(spark.createDataFrame(weights, "template int, term string, weight double"))
     named = F.broadcast(spark.createDataFrame(names, "template int, license string"))
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    parts = F.filter(F.split("text", r"\n+|(?<=[.!?;])[ \t]+"), lambda s: s.rlike(_CUE))
+    parts = F.filter(F.split("text", r"\n+|(?<=[.!?])[ \t]+"), lambda s: s.rlike(_CUE))
     notices = (
         rows.where(F.col("text").rlike(_CUE))
         .select("row_no", F.char_length("text").alias("chars"), F.posexplode(parts).alias("part", "notice"))

@@ -132,6 +132,25 @@ def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple
     return float(worth[capacity]), pattern
 
 
+def _inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination, in elementwise operations: threaded LAPACK may hang in a driver process that has forked."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        if best != k:
+            both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (as columns) and their use, which minimise the number of sequences: simplex with priced columns.
 
@@ -139,12 +158,12 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     """
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
-    use = inverse @ demand
+    use = _times(inverse, demand)
     for turn in range(rounds):
         gain, pattern = _best_pattern(inverse.sum(axis=0), sizes, capacity)
         if gain <= 1 + 1e-9:
             break
-        move = inverse @ pattern
+        move = _times(inverse, pattern)
         rising = move > 1e-10
         ratio = np.full(len(sizes), np.inf)
         ratio[rising] = use[rising] / move[rising]
@@ -157,8 +176,8 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         inverse[out] = row
         columns[:, out] = pattern
         if turn % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            use = np.maximum(inverse @ demand, 0)
+            inverse = _inverse_of(columns)
+            use = np.maximum(_times(inverse, demand), 0)
     return columns, np.maximum(use, 0)
 
 

@@ -101,8 +101,8 @@ def _tiles(k: int):
             for row in batch.to_pylist():
                 dim, out = row["dim"], []
                 query_ids, ids = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                q = np.frombuffer(row["query_cells"], "<i8").reshape(-1, dim)
-                x = np.frombuffer(row["cells"], "<i8").reshape(-1, dim)
+                q = np.frombuffer(row["query_cells"], "<i8").reshape(len(query_ids), dim)
+                x = np.frombuffer(row["cells"], "<i8").reshape(len(ids), dim)
                 bound = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(dim, 1)
                 kind = np.float64 if bound < 2**53 else np.int64  # doubles hold such sums exactly
                 scores = (q.astype(kind) @ x.astype(kind).T).astype(np.int64)

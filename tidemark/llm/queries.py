@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, ngram_lm
+from tidemark.llm import langid, ngram_lm, oracles
 from tidemark.llm.bpe import encode_decode
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard_join import jaccard_classes
@@ -43,7 +43,7 @@ def op3_bpe(spark, sf_dir):
 
 
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_classes(read_table(spark, sf_dir, "documents"))
+    return jaccard_classes(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_license_scan(spark, sf_dir):
@@ -90,22 +90,11 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op1_exact_dedup": """
-        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
-        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id = max(doc_id) OVER g AS kept, text_sha256
-        FROM d WINDOW g AS (PARTITION BY text_sha256)""",
-    "op10_exact_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (
-            SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.c, v.c)::BIGINT AS score
-            FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-        r AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS "rank", vec_id, score
-            FROM s)
-        SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5""",
+    "op1_exact_dedup": oracles.EXACT_DEDUP,
+    "op4_jaccard_join": oracles.JACCARD_JOIN,
+    "op7_secret_scan": oracles.SECRET_SCAN,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_exact_topk": oracles.EXACT_TOPK,
 }
 
 

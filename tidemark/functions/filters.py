@@ -35,46 +35,49 @@ def kind_of(value: Any) -> str | None:
 
 
 def _equals(field: Field, value: Any) -> Column:
-    if kind_of(value) != field.kind:
-        return F.lit(False)
-    return F.coalesce(field.column == F.lit(value), F.lit(False))
+    """Null where the field is missing, which a filter takes as false; wrapped in nothing, so that scans can use it."""
+    return field.column == F.lit(value) if kind_of(value) == field.kind else F.lit(False)
 
 
 def _any_of(field: Field, values: Any) -> Column:
     fit = [v for v in values if kind_of(v) == field.kind] if isinstance(values, (list, tuple)) else []
-    return F.coalesce(field.column.isin(fit), F.lit(False)) if fit else F.lit(False)
+    return field.column.isin(fit) if fit else F.lit(False)
 
 
 def _operator(field: Field, name: str, value: Any) -> Column:
     if name in _ORDER:
         if kind_of(value) != field.kind or field.kind == "boolean":
             return F.lit(False)
-        return F.coalesce(getattr(field.column, _ORDER[name])(F.lit(value)), F.lit(False))
+        return getattr(field.column, _ORDER[name])(F.lit(value))
     if name == "$ne":
-        return ~_equals(field, value)
+        return field.column.isNull() | ~_equals(field, value)
     if name == "$in":
         return _any_of(field, value)
     if name == "$nin":
-        return ~_any_of(field, value)
+        return field.column.isNull() | ~_any_of(field, value)
     return F.lit(False)
 
 
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+
 def _field(field: Field | None, condition: Any) -> Column:
     field = field or Field(F.lit(None).cast("string"), "missing")
     if condition is None:
         return F.lit(True)
     if isinstance(condition, dict):
-        return reduce(lambda a, b: a & b, [_operator(field, k, v) for k, v in condition.items()], F.lit(True))
+        return _all([_operator(field, k, v) for k, v in condition.items()])
     if isinstance(condition, (list, tuple)):
         return _any_of(field, condition)
     return _equals(field, condition)
 
 
 def compile_filter(document: Any, fields: dict[str, Field]) -> Column:
-    """A predicate without nulls, for ``DataFrame.where``; comparisons on plain columns reach the scan."""
+    """A predicate for ``DataFrame.where``, null standing for false; comparisons on plain columns reach the scan."""
     if not isinstance(document, dict):
         return F.lit(True)
-    return reduce(lambda a, b: a & b, [_field(fields.get(k), v) for k, v in document.items()], F.lit(True))
+    return _all([_field(fields.get(k), v) for k, v in document.items()])
 
 
 def cli_filter(source: str | None = None, content_type: str | None = None, label: str | None = None, known_types: tuple[str, ...] = ()) -> dict:

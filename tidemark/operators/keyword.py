@@ -1,8 +1,7 @@
 """BM25 keyword search over batches of queries.
 
 Terms are folded runs of letters and digits. A query's white-space-delimited words must all occur; a
-word of several terms is a phrase. Statistics are those of the whole corpus. Only the queries' terms
-are exploded, so the work after the scan follows the matches and not the vocabulary.
+word of several terms is a phrase. Statistics are those of the whole corpus.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold, tokens
+from tidemark.session import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -40,43 +40,47 @@ def _words(text: str) -> list[str]:
     return [w for w in text.replace('"', " ").split() if w]
 
 
+def _count_of(parts: list[str], terms: Column, line: Column) -> Column:
+    """Occurrences of a term, or of a phrase in the joined terms."""
+    if len(parts) == 1:
+        return F.size(F.filter(terms, lambda t: t == parts[0]))
+    phrase = " ".join(parts)
+    return ((F.char_length(line) - F.char_length(F.replace(line, F.lit(f" {phrase} "), F.lit("")))) / (len(phrase) + 2)).cast("int")
+
+
 def keyword_scores(documents: DataFrame, queries: dict[int, str]) -> DataFrame:
     """query_id, id, score of all documents that hold all words of a query.
 
-    The queries are a handful that the caller states; their terms are a broadcast table.
+    The queries are a handful that the caller states. One pass over the terms leaves a narrow table of
+    lengths and counts; its totals are one row, and the scores are computed row by row.
     """
     spark = documents.sparkSession
-    probe = spark.createDataFrame([(q, i, w) for q, t in queries.items() for i, w in enumerate(_words(t))], "query_id long, word_no int, word string")
-    probe = probe.select("query_id", "word_no", tokens(F.col("word")).alias("parts")).where(F.size("parts") > 0)
-    wanted = F.broadcast(probe)
-    terms = [r["t"] for r in probe.select(F.explode("parts").alias("t")).distinct().collect()]
-    empty = documents.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    if not terms:
-        return empty
-    keep = F.array(*[F.lit(t) for t in terms])
-    # A phrase is looked for in the joined terms; a single term in its counts.
+    stated = [(q, w) for q, t in queries.items() for w in _words(t)]
+    schema = "query_id long, word string"
+    cut = spark.createDataFrame(stated, schema).select("query_id", tokens(F.col("word")).alias("parts")).collect() if stated else []
+    words = [(r["query_id"], r["parts"]) for r in cut if r["parts"]]
+    if not words:
+        return documents.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
     line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    held = documents.where(F.arrays_overlap("terms", keep))
-    matches = held.withColumn("__one", F.lit(1)).join(wanted.withColumn("__one", F.lit(1)), "__one")
-    tf = F.when(
-        F.size("parts") == 1, F.size(F.filter("terms", lambda t: t == F.element_at("parts", 1)))
-    ).otherwise((F.char_length(line) - F.char_length(F.replace(line, F.concat(F.lit(" "), F.array_join("parts", " "), F.lit(" ")), F.lit("")))) / (F.char_length(F.array_join("parts", " ")) + 2))
-    counted = matches.select("query_id", "word_no", "id", "n_terms", tf.cast("double").alias("tf")).where("tf > 0")
-    sizes = probe.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_words"))
-    df = counted.groupBy("query_id", "word_no").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(documents).withColumn("__one", F.lit(1)))
-    part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avgdl")))
-    return (
-        counted.join(F.broadcast(df), ["query_id", "word_no"])
-        .withColumn("__one", F.lit(1))
-        .join(stats, "__one")
-        .select("query_id", "id", part.alias("part"))
-        .groupBy("query_id", "id")
-        .agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_found"))
-        .join(F.broadcast(sizes), "query_id")
-        .where("n_found = n_words")
-        .select("query_id", "id", "score")
-    )
+    counts = F.array(*[_count_of(parts, F.col("terms"), line) for _, parts in words])
+    narrow = materialize(documents.select("id", "n_terms", counts.alias("tf")), "term-counts")
+    held = [F.count_if(F.element_at("tf", i + 1) > 0).alias(f"df{i}") for i in range(len(words))]
+    stats = narrow.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avgdl"), *held).first()
+    if not stats["n_docs"]:
+        return narrow.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
+    length = K1 * (1 - B + B * F.col("n_terms") / F.lit(stats["avgdl"] or 1.0))
+
+    def scored(query_id: int) -> Column:
+        own = [i for i, (q, _) in enumerate(words) if q == query_id]
+        total, all_held = F.lit(0.0), F.lit(True)
+        for i in own:
+            tf = F.element_at("tf", i + 1)
+            total = total + idf(F.lit(float(stats["n_docs"])), F.lit(stats[f"df{i}"])) * tf * (K1 + 1) / (tf + length)
+            all_held = all_held & (tf > 0)
+        return F.when(all_held, F.struct(F.lit(query_id).cast("long").alias("query_id"), total.alias("score")))
+
+    found = F.filter(F.array(*[scored(q) for q in dict.fromkeys(q for q, _ in words)]), lambda x: x.isNotNull())
+    return narrow.select("id", F.explode(found).alias("x")).select("x.query_id", "id", "x.score")
 
 
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -136,7 +136,9 @@ def passages(words):
     return [*texts, texts[2], "a " * 70, "a " * 45, "é ü " * 30, None, "", " \t", "short text", words(80, 25_000), words(80, 21), words(81, 19)]
 
 
-def test_substrings_against_brute_force(table, words):
+@pytest.mark.parametrize("spread", [200, 2])
+def test_substrings_against_brute_force(table, words, monkeypatch, spread):
+    monkeypatch.setattr("tidemark.llm.substring_dedup.SPREAD_FROM", spread)
     texts = passages(words)
     want = repeats(texts)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(table(texts)).collect()}

@@ -37,6 +37,8 @@ from tidemark.session import materialize
 WINDOW, ANCHOR = 20, 8
 #: Bytes of text per shard of anchors.
 SHARD_BYTES = 6_000_000
+#: Different passages of one anchor from which its windows are dealt out one by one, by their own hash.
+SPREAD_FROM = 200
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -151,10 +153,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held[0][key], held
 
 
-_MARKS = "shard int, doc long, tag long, start int, windows int, repeated boolean"
+_MARKS = "shard int, doc long, tag long, start int, windows int, repeated boolean, spread boolean"
 
 
-def _marks(shard: int, doc, tag, start, size, repeated: bool) -> pa.RecordBatch:
+def _marks(shard: int, doc, tag, start, size, repeated: bool, spread=False) -> pa.RecordBatch:
     return pa.record_batch(
         [
             pa.array(np.full(len(doc), shard, np.int32)),
@@ -163,35 +165,45 @@ def _marks(shard: int, doc, tag, start, size, repeated: bool) -> pa.RecordBatch:
             pa.array(start.astype(np.int32)),
             pa.array(size.astype(np.int32)),
             pa.array(np.full(len(doc), repeated)),
+            pa.array(np.broadcast_to(spread, len(doc)).copy()),
         ],
-        names=["shard", "doc", "tag", "start", "windows", "repeated"],
+        names=["shard", "doc", "tag", "start", "windows", "repeated", "spread"],
     )
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(spread_from: int):
     """Per shard: passages that are repeated as a whole, and those that differ but share an anchor."""
-    for shard, rows in _groups(batches, "shard"):
-        for row in rows:
-            if row["repeated"]:
-                yield _marks(shard, *_unpack(row), True)
-        own = [_unpack(row) for row in rows if not row["repeated"]]
-        rows.clear()
-        if not own:
-            continue
-        anchor, content, doc, tag, start, size = (np.concatenate(c) for c in zip(*own, strict=True))
-        by, later = _later(content, doc, tag, start)
-        anchor, content, doc, tag, start, size = (x[by] for x in (anchor, content, doc, tag, start, size))
-        yield _marks(shard, doc[later], tag[later], start[later], size[later], True)
-        heads = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
-        _, group, n = np.unique(anchor[heads], return_inverse=True, return_counts=True)
-        shared = np.flatnonzero((n > 1)[group])
-        # Of a document that occurs in several rows, each copy of a passage is a candidate alike.
-        alike = np.isin(content, content[heads[shared]]) & ~later
-        yield _marks(shard, doc[alike], tag[alike], start[alike], size[alike], False)
-
-
-def _fetch(window: int):
-    """The words of the candidate passages of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _groups(batches, "shard"):
+            for row in rows:
+                if row["repeated"]:
+                    yield _marks(shard, *_unpack(row), True)
+            own = [_unpack(row) for row in rows if not row["repeated"]]
+            rows.clear()
+            if not own:
+                continue
+            anchor, content, doc, tag, start, size = (np.concatenate(c) for c in zip(*own, strict=True))
+            by, later = _later(content, doc, tag, start)
+            anchor, content, doc, tag, start, size = (x[by] for x in (anchor, content, doc, tag, start, size))
+            yield _marks(shard, doc[later], tag[later], start[later], size[later], True)
+            heads = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
+            _, group, n = np.unique(anchor[heads], return_inverse=True, return_counts=True)
+            # Of a document that occurs in several rows, each copy of a passage is a candidate alike.
+            owner = np.cumsum(np.concatenate([[True], content[1:] != content[:-1]])) - 1
+            shared = (n > 1)[group][owner] & ~later
+            frequent = (n > spread_from)[group][owner]
+            yield _marks(shard, doc[shared], tag[shared], start[shared], size[shared], False, frequent[shared])
+
+    return run
+
+
+def _fetch(window: int, shards: int):
+    """The words of the candidate passages of each document.
+
+    Passages of a frequent anchor, as around a passage that a third of all documents hold, go window by
+    window to the shard of the window's hash: equal windows still meet, and no anchor fills a shard.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,11 +213,17 @@ def _fetch(window: int):
                 row, shard, start, body = [], [], [], []
                 for i in range(first, stop):
                     own = words.hash[words.first[i - first] : words.first[i - first + 1]]
+                    whole = ngrams(own, window) if any(w["spread"] for w in wanted[i]) else None
                     for w in wanted[i]:
-                        row.append(i)
-                        shard.append(w["shard"])
-                        start.append(w["start"])
-                        body.append(own[w["start"] : w["start"] + w["windows"] + window - 1].astype("<u8").tobytes())
+                        a, n = w["start"], w["windows"]
+                        parts = [(a, n, w["shard"])]
+                        if w["spread"]:
+                            parts = [(k, 1, int(h) % shards) for k, h in enumerate(whole[a : a + n], a)]
+                        for at_word, size, to in parts:
+                            row.append(i)
+                            shard.append(to)
+                            start.append(at_word)
+                            body.append(own[at_word : at_word + size + window - 1].astype("<u8").tobytes())
                 at = pa.array(row, pa.int64())
                 yield pa.record_batch(
                     [pa.array(shard, pa.int32()), doc.take(at), tag.take(at), pa.array(start, pa.int32()), pa.array(body, pa.binary())],
@@ -280,15 +298,15 @@ def remove_repeats(
         .mapInArrow(_find_passages(shards, window, anchor), _PACKED)
         .repartition(shards, "shard")
         .sortWithinPartitions("shard")
-        .mapInArrow(_settle, _MARKS),
+        .mapInArrow(_settle(SPREAD_FROM), _MARKS),
         "marks",
     )
     # Both joins below bring the texts together with marks of their documents by the same shuffle.
-    wanted = marks.where("NOT repeated").groupBy("doc", "tag").agg(F.collect_list(F.struct("shard", "start", "windows")).alias("wanted"))
+    wanted = marks.where("NOT repeated").groupBy("doc", "tag").agg(F.collect_list(F.struct("shard", "start", "windows", "spread")).alias("wanted"))
     fetched = (
         docs.join(wanted, ["doc", "tag"])
         .select("doc", "tag", "doc_id", "text", "wanted")
-        .mapInArrow(_fetch(window), "shard int, doc long, tag long, start int, words binary")
+        .mapInArrow(_fetch(window, shards), "shard int, doc long, tag long, start int, words binary")
     )
     searched = fetched.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_search(window), _MARKS)
     spans = (

@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once, unless they find it by themselves.
+
+    They do if it is installed, on PYTHONPATH, or in the folder that the application started in.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if root in [Path(p).resolve() for p in known if p] or root.is_relative_to(sys.prefix):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", root, "tidemark"))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, from ``spark.checkpoint.dir``.
@@ -34,10 +56,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, so that a lost executor costs one task and not the jobs before it, and
     gives the planner exact sizes for the joins that follow.
     """
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

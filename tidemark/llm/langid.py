@@ -209,8 +209,10 @@ class LanguageModel:
 def train(labelled: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Fit on ``per_language`` rows of each label of (doc_id, text, lang)."""
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    chosen = rows.select("doc_id", "lang").withColumn("__salt", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(64)))
+    for keys in (("lang", "__salt"), ("lang",)):  # a frequent language is thinned out in 64 groups before it meets in one
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+        chosen = chosen.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
     sample = rows.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")  # bounded by per_language
     found = (
         sample.select(F.col("text").cast("string"), F.col("lang").cast("string"))

@@ -39,6 +39,8 @@ WINDOW, ANCHOR = 20, 8
 SHARD_BYTES = 6_000_000
 #: Different passages of one anchor from which its windows are dealt out one by one, by their own hash.
 SPREAD_FROM = 200
+#: Windows dealt out one by one that a task remembers; more of them are only sent on more often.
+REMEMBER = 1_000_000
 
 
 def _least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -202,10 +204,13 @@ def _fetch(window: int, shards: int):
     """The words of the candidate passages of each document.
 
     Passages of a frequent anchor, as around a passage that a third of all documents hold, go window by
-    window to the shard of the window's hash: equal windows still meet, and no anchor fills a shard.
+    window to the shard of the window's hash: equal windows still meet, and no anchor fills a shard. A
+    task sends the words of such a window once; its later places are repeated and go without words to
+    any shard, so a frequent window is about one entry per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
             doc, tag = batch.column("doc"), batch.column("tag")
@@ -213,17 +218,26 @@ def _fetch(window: int, shards: int):
                 row, shard, start, body = [], [], [], []
                 for i in range(first, stop):
                     own = words.hash[words.first[i - first] : words.first[i - first + 1]]
-                    whole = ngrams(own, window) if any(w["spread"] for w in wanted[i]) else None
                     for w in wanted[i]:
-                        a, n = w["start"], w["windows"]
-                        parts = [(a, n, w["shard"])]
-                        if w["spread"]:
-                            parts = [(k, 1, int(h) % shards) for k, h in enumerate(whole[a : a + n], a)]
-                        for at_word, size, to in parts:
+                        if not w["spread"]:
+                            a, n = w["start"], w["windows"]
                             row.append(i)
-                            shard.append(to)
-                            start.append(at_word)
-                            body.append(own[at_word : at_word + size + window - 1].astype("<u8").tobytes())
+                            shard.append(w["shard"])
+                            start.append(a)
+                            body.append(own[a : a + n + window - 1].astype("<u8").tobytes())
+                    if not any(w["spread"] for w in wanted[i]):
+                        continue
+                    hashes, name = ngrams(own, window).tolist(), (doc[i].as_py(), tag[i].as_py())
+                    for a in sorted(k for w in wanted[i] if w["spread"] for k in range(w["start"], w["start"] + w["windows"])):
+                        h, place = hashes[a], (*name, a)
+                        known = seen.get(h)
+                        later = known is not None and known < place
+                        if not later and (known is not None or len(seen) < REMEMBER):
+                            seen[h] = place
+                        row.append(i)
+                        shard.append((name[0] + a if later else h) % shards)
+                        start.append(a)
+                        body.append(None if later else own[a : a + window].astype("<u8").tobytes())
                 at = pa.array(row, pa.int64())
                 yield pa.record_batch(
                     [pa.array(shard, pa.int32()), doc.take(at), tag.take(at), pa.array(start, pa.int32()), pa.array(body, pa.binary())],
@@ -238,9 +252,15 @@ def _search(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _groups(batches, "shard"):
+            settled = [(r["doc"], r["tag"], r["start"]) for r in rows if r["words"] is None]
+            if settled:
+                doc, tag, start = map(np.array, zip(*settled, strict=True))
+                yield _marks(shard, doc, tag, start, np.ones(len(doc), np.int32), True)
             # Rows that repeat a document bring its passages again.
-            unique = {(r["doc"], r["tag"], r["start"]): r["words"] for r in rows}
+            unique = {(r["doc"], r["tag"], r["start"]): r["words"] for r in rows if r["words"] is not None}
             rows.clear()
+            if not unique:
+                continue
             at = sorted(unique)
             index = FmIndex([np.frombuffer(unique[k], "<u8") for k in at])
             found = index.repeated_windows(window)

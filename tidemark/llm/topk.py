@@ -2,8 +2,10 @@
 
 Candidates are packed into shards and queries into blocks, both as binary matrices of bounded size.
 Each pair of a query block and a shard is one tile: one matrix product and a partial selection of k
-per query, so no score leaves its tile unless it is among the tile's k best. The lists are merged in
-a tree: first within groups of shards, then over the groups.
+per query, so no score leaves its tile unless it is among the tile's k best. Blocks and shards meet in a
+grid whose cells hold about ``GRID`` of each: a shard is sent once per column of the grid, a block once
+per row, and the cells spread the tiles over the tasks however few blocks there are. The lists are
+merged in a tree: first within groups of shards, then over the groups.
 
 Defined results: a component x counts as floor(scale * x); vectors that are null or hold null or
 non-finite components take no part; vectors of different lengths are never compared; a repeated id
@@ -24,6 +26,8 @@ from tidemark.session import materialize
 
 #: Rows of a shard and of a query block: a tile takes SHARD_ROWS * BLOCK_ROWS * 8 bytes at most.
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
+#: Blocks and shards in a cell of the grid.
+GRID = 16
 #: Shards whose lists are merged together in the first step of the tree.
 FAN_IN = 32
 
@@ -148,9 +152,11 @@ def exact_topk(
         .select("dim", "ids", "cells", F.monotonically_increasing_id().alias("shard"))
     )
     shards = materialize(shards, "shards")
-    tiles = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(
-        materialize(blocks, "query-blocks"), ["dim", "part"]
-    )
+    blocks = materialize(blocks, "query-blocks")
+    rows, columns = (max(1, -(-n // GRID)) for n in (shards.count(), n_blocks))
+    placed = shards.withColumn("row", F.pmod(F.xxhash64("shard"), F.lit(rows))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    sent = blocks.withColumn("column", F.expr(f"int(part div {GRID})")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    tiles = placed.join(sent.withColumn("row", F.col("row").cast("long")), ["dim", "row", "column"])
     lists = tiles.select("shard", "dim", "query_ids", "query_cells", "ids", "cells").mapInArrow(
         _tiles(k), "shard long, query_id long, vec_id long, score long"
     )

@@ -1,11 +1,13 @@
 """Exact dedup, n-gram Jaccard join and substring dedup against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
+from tidemark.llm.components import connected_components
 from tidemark.llm.exact_dedup import drop_exact_copies, exact_dedup
 from tidemark.llm.fm_index import FmIndex
 from tidemark.llm.jaccard_join import choose_bands, drop_near_copies, jaccard_classes
@@ -171,3 +173,13 @@ def test_fm_index_finds_earlier_windows():
                     want.add((p, q))
                 seen.add(key)
         assert got == want
+
+
+def test_components_of_long_shuffled_chains(spark):
+    ids = list(range(700))
+    random.Random(3).shuffle(ids)
+    chain, ring, star = ids[:500], ids[500:600], ids[600:]
+    edges = [*zip(chain, chain[1:]), *zip(ring, [*ring[1:], ring[0]]), *((i, max(star)) for i in star), (chain[3], chain[4]), (900, 900)]
+    got = {r.id: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(own) for own in (chain, ring, star) for i in own}
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0

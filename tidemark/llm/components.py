@@ -1,4 +1,4 @@
-"""Connected components of a table of edges, by minimum labels with pointer jumping."""
+"""Connected components of a table of edges, by contraction along least neighbours."""
 
 from __future__ import annotations
 
@@ -8,23 +8,42 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, label) of every id in the edges (a, b): the label is the least id of the component.
+def _roots(edges: DataFrame) -> DataFrame:
+    """(a, up): each end of the edges, which go both ways, and the root of its tree of least neighbours.
 
-    Each round takes the least label among neighbours and then the label of that label, so chains
-    shorten by doubling. Rounds end when nothing changes; labels never leave the executors.
+    Two ids that are each other's least neighbour are the only cycles there can be; the lesser is the root.
+    Pointers jump until they rest, so a tree of depth d takes about log2(d) jumps.
     """
-    both = materialize(edges.where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")), "labels")
-    for _ in range(most_rounds):
-        told = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("told"))
-        nearer = labels.join(told, labels["id"] == told["a"]).select("id", "label", F.least("label", "told").alias("near"))
-        nearer = materialize(nearer, "near-labels")
-        jump = nearer.select(F.col("id").alias("via"), F.col("near").alias("far"))
-        renewed = materialize(
-            nearer.join(jump, F.col("near") == F.col("via")).select("id", F.least("near", "far").alias("label"), F.col("label").alias("was")), "labels"
-        )
-        if renewed.where("label <> was").isEmpty():
-            return renewed.select("id", "label")
-        labels = renewed.select("id", "label")
-    raise RuntimeError("the components did not settle")
+    near = edges.groupBy("a").agg(F.min("b").alias("up"))
+    back = near.select(F.col("a").alias("via"), F.col("up").alias("back"))
+    is_root = (F.col("back") == F.col("a")) & (F.col("a") < F.col("up"))
+    tree = materialize(near.join(back, F.col("up") == F.col("via")).select("a", F.when(is_root, F.col("a")).otherwise(F.col("up")).alias("up")), "tree")
+    while True:
+        jump = tree.select(F.col("a").alias("via"), F.col("up").alias("far"))
+        tree = materialize(tree.join(jump, F.col("up") == F.col("via")).select("a", F.col("far").alias("up"), F.col("up").alias("was")), "tree")
+        if tree.where("up <> was").isEmpty():
+            return tree.select("a", "up")
+        tree = tree.select("a", "up")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, label) of every id with an edge (a, b) to another: the label is the least id of the component.
+
+    Each round every id joins its least neighbour, and the trees so made become the ids of the next round.
+    A tree has two ids or more, so a component of n ids takes at most log2(n) rounds, whatever its
+    shape. Rounds end when no edge is left; labels never leave the executors.
+    """
+    both = edges.where("a <> b").select("a", "b")
+    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = None
+    while labels is None or not both.isEmpty():
+        up = _roots(both)
+        if labels is None:
+            labels = up.select(F.col("a").alias("id"), F.col("up").alias("label"))
+        else:
+            labels = labels.join(up, F.col("label") == F.col("a"), "left").select("id", F.coalesce("up", "label").alias("label"))
+            labels = materialize(labels, "labels")
+        ends = both.join(up.withColumnRenamed("up", "from"), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("to")), "b")
+        both = materialize(ends.where(F.col("from") != F.col("to")).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct(), "edges")
+    least = labels.groupBy("label").agg(F.min("id").alias("least"))
+    return materialize(labels.join(least, "label").select("id", F.col("least").alias("label")), "labels")

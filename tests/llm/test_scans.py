@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tidemark.llm.license_scan import license_scan, template_terms
-from tidemark.llm.license_templates import TEMPLATES
+from tidemark.llm.license_templates import FULL_TEXTS, TEMPLATES
 from tidemark.llm.secret_scan import redact_live, secret_scan
 from tidemark.llm.topk import exact_topk
 
@@ -94,6 +94,90 @@ def test_licenses(spark):
     assert license_scan(df.where("false")).count() == 0
 
 
+GPL = """This {kind} is free software{sep} you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation{end} either version {version} of the License, or
+(at your option) any later version.
+
+This {kind} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details."""
+MIT = """Copyright (c) 2019 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software."""
+BSD = """Copyright 2011 Jane Doe. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = """
+3. Neither the name of Acme Ltd nor the names of its contributors may be used
+   to endorse or promote products derived from this software without specific
+   prior written permission."""
+BSD_END = """
+
+THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla
+Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at
+https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright (c) 2004 Jane Doe
+
+Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def gpl(version, name="General Public License", kind="program"):
+    old = version.startswith("2")
+    return GPL.format(kind=kind, name=name, version=version, sep=";" if old else ":", end=";" if old else ",")
+
+
+NOTICES = [
+    ("GPL-2.0", gpl("2")), ("GPL-3.0", gpl("3")), ("MIT", MIT), ("BSD-2-Clause", BSD + BSD_END), ("BSD-3-Clause", BSD + BSD_3 + BSD_END), ("MPL-2.0", MPL),
+]
+COMMENTS = [
+    lambda t: "\n".join(f"# {line}".rstrip() for line in t.split("\n")) + "\nimport os\nprint(os.name)\n",
+    lambda t: "/*\n" + "\n".join(f" * {line}".rstrip() for line in t.split("\n")) + "\n */\nint main(void) { return 0; }\n",
+    lambda t: "/* " + t.replace("\n", "\n   ") + " */\n\n#include <stdio.h>\n",
+    lambda t: "\r\n".join(f"// {line}".rstrip() for line in t.split("\n")) + "\r\nlet x = 1;\r\n",
+]
+
+
+def test_license_wrapped_headers(spark):
+    rows = [(100 * i + k, f"s{i}/f{k}.c", wrap(t)) for i, (_, t) in enumerate(NOTICES) for k, wrap in enumerate(COMMENTS)]
+    got = {r.doc_id: r.license for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {i: NOTICES[i // 100][0] for i, _, _ in rows}
+
+
+def test_license_full_texts_hand_on_their_license(spark):
+    holder = "Copyright (c) 2021 Jane Doe\nAll rights reserved.\n\n"
+    rows = [r for n, t in FULL_TEXTS.items() for r in ((n, f"{n}/{'LICENSE' if n < 'C' else 'legal.txt'}", holder + t), (n, f"{n}/src/a.py", "x = 1"))]
+    prose = "The copyright page of the book is the first of the pages, and it is in the order of the work. " * 300
+    rows += [("none", "none/novel.txt", prose)]
+    df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in license_scan(df).collect()}
+    want = {i: (n, "inherited" if p.endswith(".py") else "file") for i, (n, p, _) in enumerate(rows)}
+    assert got == want | {len(rows) - 1: (None, None)}
+
+
 def test_license_templates_find_themselves(spark):
     texts = [(i, name, t) for i, (name, t) in enumerate((n, t) for n, own in TEMPLATES.items() for t in own)]
     df = spark.createDataFrame([(i, f"d{i}/x", t) for i, _, t in texts], "doc_id long, path string, text string")

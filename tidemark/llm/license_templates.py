@@ -1,4 +1,6 @@
-"""Notices of common licences, as their publishers word them. Fixed values."""
+"""Notices of common licences, as their publishers word them. Fixed values. The full texts lie in the folder ``licenses``."""
+
+from pathlib import Path
 
 TEMPLATES = {
     "Apache-2.0": [
@@ -48,3 +50,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "ISC": ["Licensed under the ISC License."],
 }
+
+#: The full texts as published, by licence.
+FULL_TEXTS = {path.stem: path.read_text(encoding="utf-8") for path in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+for _license, _text in FULL_TEXTS.items():
+    TEMPLATES.setdefault(_license, []).append(_text)

@@ -178,6 +178,23 @@ def test_license_full_texts_hand_on_their_license(spark):
     assert got == want | {len(rows) - 1: (None, None)}
 
 
+UNSEEN = [
+    ("LGPL-2.1", gpl("2.1", "Lesser General Public License", "library")), ("LGPL-3.0", gpl("3", "Lesser General Public License", "library")),
+    ("AGPL-3.0", gpl("3", "Affero General Public License")), ("ISC", ISC), ("Apache-2.0", "Apache Software is fine.\nThis project is licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Distributed under the BSD 2-Clause License."), ("MIT", "This project is licensed under the terms of the MIT license."),
+    ("CC-BY-SA-4.0", "This text is available under the Creative Commons\nAttribution-ShareAlike 4.0 International License."),
+    ("Apache-1.1", "This code is licensed under the Apache Software License, Version 1.1."), ("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;"),
+    (None, "Licensed under the Example Corp Proprietary License, all rights reserved."),
+]
+
+
+def test_license_notices_that_are_no_templates(spark):
+    assert not {t for _, t in UNSEEN} & {t for own in TEMPLATES.values() for t in own}
+    df = spark.createDataFrame([(i, f"u{i}/x.c", t) for i, (_, t) in enumerate(UNSEEN)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in license_scan(df).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(UNSEEN)}
+
+
 def test_license_templates_find_themselves(spark):
     texts = [(i, name, t) for i, (name, t) in enumerate((n, t) for n, own in TEMPLATES.items() for t in own)]
     df = spark.createDataFrame([(i, f"d{i}/x", t) for i, _, t in texts], "doc_id long, path string, text string")

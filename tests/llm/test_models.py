@@ -209,3 +209,11 @@ def test_forward_sums_all_segmentations(vocabulary):
 
     for word in (b"ab", b"aab", b"bab", b"b"):
         assert np.exp(langid.word_scores([word], pieces, prob))[0] == pytest.approx(total(word + b"\0"))
+
+
+def test_language_stage_without_labels_keeps_texts_with_a_letter(spark, table, vocabulary):
+    texts = ["the house by the sea", "é", "12 34", "", None, "!?", "la casa"]
+    df = table(texts, lang=None)
+    kept = langid.keep_identified(df, langid.train(df.select("doc_id", "text", "lang"), vocabulary))
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 6]

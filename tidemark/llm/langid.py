@@ -230,6 +230,17 @@ def train(labelled: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAG
     return LanguageModel(languages, pieces, fit(counts, len(languages), pieces) if languages else np.zeros((len(pieces.hashes), 0)))
 
 
+def _lettered(text: pa.Array, words: list[bytes], word: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Per text whether it has a letter, from its distinct runs."""
+    seen = np.bincount(rows, minlength=len(text)) > 0
+    plain = np.zeros(len(text), bool)  # rows with an ASCII letter surely have one
+    if words:
+        plain[rows[np.array([w[0] < 128 for w in words], bool)[word]]] = True
+    for i in np.flatnonzero(seen & ~plain):
+        seen[i] = _has_letter(text[int(i)].as_py())
+    return seen
+
+
 def predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Per text the number of its language, -1 for ``und``, and the score."""
     words, word, rows = distinct_runs(text)
@@ -238,12 +249,7 @@ def predict(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarra
         scores = word_scores(words, model.pieces, model.prob)
         for lang in range(len(model.languages)):
             total[:, lang] = np.bincount(rows, scores[word, lang], len(text))
-    seen = np.bincount(rows, minlength=len(text)) > 0
-    plain = np.zeros(len(text), bool)  # rows with an ASCII letter surely have one
-    if words:
-        plain[rows[np.array([w[0] < 128 for w in words], bool)[word]]] = True
-    for i in np.flatnonzero(seen & ~plain):
-        seen[i] = _has_letter(text[int(i)].as_py())
+    seen = _lettered(text, words, word, rows)
     pick, score = np.full(len(text), -1), np.zeros(len(text))
     if model.languages:
         share = np.exp(total - total.max(axis=1, keepdims=True))
@@ -277,12 +283,17 @@ def identify(df: DataFrame, model: LanguageModel, held_out=None, text_col: str =
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text has a language, with their columns."""
+    """The rows of ``df`` whose text has a language, with their columns.
+
+    If the model has learned no language, as from a table without labels, these are the texts with a letter.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, at):
-                yield part.filter(pa.array(predict(model, part.column(at))[0] >= 0))
+                text = part.column(at)
+                keep = predict(model, text)[0] >= 0 if model.languages else _lettered(text, *distinct_runs(text))
+                yield part.filter(pa.array(keep))
 
     return df.mapInArrow(run, df.schema)

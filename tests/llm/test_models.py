@@ -217,3 +217,73 @@ def test_language_stage_without_labels_keeps_texts_with_a_letter(spark, table, v
     kept = langid.keep_identified(df, langid.train(df.select("doc_id", "text", "lang"), vocabulary))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 6]
+
+
+def test_language_predictions_against_brute_force(spark, table, vocabulary):
+    """Fit and prediction as a whole, by recursion over strings, with long words, marks and other characters."""
+    import unicodedata
+    from functools import cache
+
+    r = random.Random(8)
+    word = lambda letters, n: "".join(r.choices(letters, k=n))
+    make = lambda letters: " ".join(word(letters, r.randint(1, 9)) for _ in range(12))
+    rows = [(i, make("abcdeé" if i % 2 else "defghß"), "x" if i % 2 else "y") for i in range(24)]
+    learned = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(learned, vocabulary)
+    pieces = sorted(set(langid.read_pieces(vocabulary)))
+    longest = max(map(len, pieces))
+
+    def words(text):
+        out, own = [], ""
+        for c in (text or "").lower() + " ":
+            if unicodedata.category(c)[0] in "LM":
+                own += c
+            elif own:
+                out.append(own.encode())
+                own = ""
+        return out
+
+    known, prob = set(pieces), {lang: dict.fromkeys(pieces, 1 / len(pieces)) for lang in "xy"}
+    counts = {lang: Counter(w for _, t, lang2 in rows if lang2 == lang for w in words(t)) for lang in "xy"}
+
+    def every(w):
+        """All segmentations of a word."""
+        if not w:
+            return [[]]
+        return [[w[:n], *rest] for n in range(1, len(w) + 1) if w[:n] in known for rest in every(w[n:])]
+
+    for _ in range(langid.ROUNDS):
+        for lang in "xy":
+            expected = dict.fromkeys(pieces, langid.SMOOTHING)
+            for w, n in counts[lang].items():
+                ways = [(math.prod(prob[lang][p] for p in way), way) for way in every(w + b"\0")]
+                total = sum(x for x, _ in ways)
+                for x, way in ways:
+                    for p in way:
+                        expected[p] += n * x / total
+            whole = sum(expected.values())
+            prob[lang] = {p: x / whole for p, x in expected.items()}
+
+    def log_of(w, lang):
+        from fractions import Fraction
+
+        w, sums = w + b"\0", [Fraction(1)]
+        for j in range(1, len(w) + 1):
+            sums.append(sum((sums[i] * Fraction(prob[lang][w[i:j]]) for i in range(max(0, j - longest), j) if w[i:j] in known), Fraction(0)))
+            sums[-1] = sums[-1].limit_denominator(10**400) if len(w) < 60 else Fraction(int(sums[-1] * 2 ** (20 * j + 80)), 2 ** (20 * j + 80))
+        top = sums[-1]
+        return math.log(top.numerator) - math.log(top.denominator)
+
+    log_of = cache(log_of)
+    texts = ["abc fgh de", "– ab—gh ٣٣ 😀hh", "é" * 3 + " éa", word("abcde", 500) + " hg", word("dé", 90), "def", "", None, "12", "ab abc hh " * 20]
+    got = {g.doc_id: g for g in langid.identify(table(texts), model).collect()}
+    for i, text in enumerate(texts):
+        own = words(text)
+        if not any(unicodedata.category(c)[0] == "L" for c in text or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        scores = {lang: sum(log_of(w, lang) for w in own) for lang in "xy"}
+        best = max("xy", key=lambda lang: (scores[lang], -ord(lang)))
+        other = "y" if best == "x" else "x"
+        assert got[i].lang_pred == best, text
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(scores[other] - scores[best])), rel=1e-6), text

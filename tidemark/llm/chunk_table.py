@@ -1,4 +1,4 @@
-"""A per-worker table of white-space-delimited chunks and what they encode to.
+"""A task's table of white-space-delimited chunks and what they encode to.
 
 White space (bytes 9-13 and 32) always ends a piece of the vocabularies used here, so a text encodes
 to the concatenation of what its chunks encode to. ASCII letters may be lowered first, because the
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-#: Chunks remembered per worker; further ones are encoded whenever they are met.
-REMEMBER = 400_000
+from tidemark.llm.worker import CACHE_BYTES, PAIR_BYTES
 
 
 class ChunkTable:
-    def __init__(self, encode: Callable[[list[bytes]], list], remember: int = REMEMBER):
-        self._encode, self._known, self._remember = encode, {}, remember
+    """Remembers chunks up to ``budget`` bytes; further ones are encoded whenever they are met."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list], size: Callable[[object], int] = len, budget: int = CACHE_BYTES):
+        self._encode, self._size, self._known, self._left = encode, size, {}, budget
 
     def look_up(self, texts: list[bytes]) -> list[list]:
         """Per text the values of its chunks, in order."""
@@ -29,15 +30,18 @@ class ChunkTable:
             out.append(values)
         if missing:
             fresh = list(missing.difference(known))
-            known.update(zip(fresh, self._encode(fresh), strict=True))
+            made = dict(zip(fresh, self._encode(fresh), strict=True))
             for i, chunks in waiting:
-                out[i] = list(map(known.get, chunks))
-            for chunk in fresh[max(0, len(fresh) - len(known) + self._remember) :]:
-                del known[chunk]
+                out[i] = [made[c] if c in made else known[c] for c in chunks]
+            for chunk, value in made.items():
+                self._left -= PAIR_BYTES + len(chunk) + self._size(value)
+                if self._left < 0:
+                    break
+                known[chunk] = value
         return out
 
 
-def portions(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def portions(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``most`` bytes, with the place of the first."""
     start, size = 0, 0
     for i, text in enumerate(texts):

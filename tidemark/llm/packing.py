@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_table import ChunkTable, portions
 from tidemark.llm.vocabulary import byte_alphabet
+from tidemark.llm.worker import CACHE_BYTES, PAIR_BYTES, releasing
 from tidemark.session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
@@ -41,7 +42,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 class _Encoder:
     """Chunks to ids with the ``tokenizers`` library; plain chunks by the pieces they are cut into."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +53,11 @@ class _Encoder:
         alphabet = byte_alphabet()
         self._alphabet = {c: "".join([alphabet[b] for b in chr(c).encode()]) for c in range(256)}
         self._pieces: dict[str, bytes] = {}
-        self._remember = remember
+        self._left = 0
+
+    def start(self, budget: int) -> None:
+        """A task begins: pieces are remembered anew, up to so many bytes."""
+        self._pieces, self._left = {}, budget
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -60,7 +65,8 @@ class _Encoder:
     def _piece(self, piece: str) -> bytes:
         tokens = self._merge(piece.translate(self._alphabet))
         ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        if len(self._pieces) < self._remember:
+        self._left -= PAIR_BYTES + len(piece) + len(ids)
+        if self._left > 0:
             self._pieces[piece] = ids
         return ids
 
@@ -75,20 +81,24 @@ class _Encoder:
         return out
 
 
-_LOADED: dict[str, ChunkTable] = {}
-
-
-def _table(path: str) -> ChunkTable:
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTable(_Encoder(path), remember=700_000)
-    return _LOADED[path]
+#: Tokenizers that a worker has read.
+_LOADED: dict[str, _Encoder] = {}
 
 
 def _cut(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        if path not in _LOADED:
+            _LOADED[path] = _Encoder(path)
+        encoder = _LOADED[path]
+        encoder.start(CACHE_BYTES // 2)
+        try:
+            yield from cut(ChunkTable(encoder), batches)
+        finally:
+            encoder.start(0)
+
+    def cut(table: ChunkTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, some in portions(texts):
@@ -108,7 +118,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return run
+    return releasing(run)
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

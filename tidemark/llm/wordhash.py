@@ -21,16 +21,20 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps of each base, for blocks of usual size; a longer text's are made for it alone.
+_KEPT = 1_200_000
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least n of each."""
     held = _POWERS.get(base)
     if held is None or len(held[0]) < n:
         n = max(n, 1 << 17)
         up, down = (np.full(n, b, np.uint64) for b in (base, pow(base, -1, 2**64)))
         up[0] = down[0] = 1
-        held = _POWERS[base] = (np.cumprod(up), np.cumprod(down))
+        held = (np.cumprod(up), np.cumprod(down))
+        if n <= _KEPT:
+            _POWERS[base] = held
     return held
 
 
@@ -87,7 +91,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     cut = inner[word[inner] & word[inner + 1]]  # a word never joins two rows
     if len(cut):
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
-    up, down = _powers(_BASE, len(data) + 1)
+    up, down = powers(_BASE, len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
     return Words(data, start, end, mix((sums[end] - sums[start]) * down[start]), np.searchsorted(start, offsets))
@@ -97,7 +101,7 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each place; n-1 fewer than words."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(_STEP, len(words) + 1)
+    up, down = powers(_STEP, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])
@@ -105,7 +109,7 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
 
 def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the words from each start to before each end."""
-    up, down = _powers(_STEP, len(words) + 1)
+    up, down = powers(_STEP, len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))

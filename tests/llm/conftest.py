@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+CLASHING = ["row", "id", "digest", "text_sha256", "best", "heavy", "place", "hash", "kept_id", "copies", "spans", "t", "r", "live_id", "rewritten", "__n", "__id", "__digest", "units"]
 DOCUMENTS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -13,6 +14,7 @@ DOCUMENTS = T.StructType(
         T.StructField("kept", T.StringType()),
         T.StructField("row_no", T.IntegerType()),
         T.StructField("score", T.DoubleType()),
+        *[T.StructField(name, T.StringType()) for name in CLASHING],
     ]
 )
 
@@ -23,7 +25,7 @@ def table(spark):
 
     def make(texts, lang="en"):
         rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-        return spark.createDataFrame([(i, t, lang, f"src{(i or 0) % 3}", "x", 7, None) for i, t in rows], DOCUMENTS).repartition(3)
+        return spark.createDataFrame([(i, t, lang, f"src{(i or 0) % 3}", "x", 7, None, *CLASHING) for i, t in rows], DOCUMENTS).repartition(3)
 
     return make
 

@@ -208,10 +208,11 @@ def test_license_templates_find_themselves(spark):
 
 
 def brute_topk(vectors, asked, k):
-    usable = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
+    """Every row is a candidate; a query is an id."""
+    rows = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    usable, out = dict(rows), set()
     for q in {i for i, _ in asked} & usable.keys():
-        scored = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+        scored = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in rows if i != q and len(v) == len(usable[q]))
         out |= {(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)}
     return out
 
@@ -236,6 +237,37 @@ def test_topk_large_components_and_repeats(spark):
     assert got == brute_topk(rows, rows[:2], 5)
 
 
+def test_topk_is_exact_or_says_so(spark):
+    def best(rows, k=5):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        return {tuple(r) for r in exact_topk(df, df.where("vec_id = 0"), k).select("query_id", "rank", "vec_id", "score").collect()}
+
+    # Sums that cancel, sums near the end of the range, and a huge component that meets zeros only.
+    rows = [(0, [1e9, -1e9, 0.0]), (1, [1e9, 1e9, 7.0]), (2, [5e4, 1.5, 0.0]), (3, [0.0, 0.0, 1e30]), (4, [-1e4, 3e4, 1e300])]
+    assert best(rows) == brute_topk(rows, rows[:1], 5)
+    for x in (1e18, 1e9):
+        with pytest.raises(Exception, match="leaves the range of a long"):
+            best([(0, [x, x]), (1, [x, x])])
+    with pytest.raises(Exception, match="leaves the range of a double"):
+        best([(0, [1e308, 1.0]), (1, [1.0, 1.0])])
+
+
+def test_topk_merges_many_levels(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.topk.FAN_IN", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=4), 1)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = exact_topk(df, df.where("vec_id % 10 = 0"), 4, shard_rows=3, block_rows=5)
+    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows, [r for r in rows if r[0] % 10 == 0], 4)
+
+
+def test_secret_spans_of_many_matches(table):
+    text = " ".join(f"token={'x' * (6 + i % 3)}{i}" for i in range(1500))
+    got = secret_scan(table([text, "none"])).where("doc_id = 0").first()
+    want = [f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=[a-z0-9]+", text)]
+    assert (got.n_assign, got.spans) == (1500, ",".join(want))
+
+
 def test_pipeline_against_its_parts(spark, tmp_path, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

@@ -4,7 +4,9 @@ Digests of all texts are written once. A Misra-Gries summary (Spark's ``freqItem
 bounded counters per partition) names the digests that may hold more than ``support`` of the rows;
 an exact, map-side combined count verifies them. The verified winners number at most
 ``1 / support``, so they are broadcast and their groups are settled without a shuffle. All other
-digests go through an ordinary shuffle, where no group can be large.
+digests go through an ordinary shuffle, where no group can be large: the support falls as the table
+grows, so that a group left to it has ``LIGHT_ROWS`` rows at most, down to the least that the summary
+takes; beyond 5e8 rows it is that share of the rows, which the window spills to disk.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest id stays (a
 null id is smaller than any other); rows that repeat id and text form one group of which exactly one
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-#: Share of all rows from which a group of copies is settled map-side; at most 1 / SUPPORT groups.
-SUPPORT = 0.001
+#: Share of all rows from which a group of copies is settled map-side; at most 1 / share groups.
+SUPPORT, LEAST_SUPPORT = 0.001, 0.0001
+#: Rows that a group settled by a shuffle should not exceed.
+LIGHT_ROWS = 50_000
 
 
 def text_digest(text: Column) -> Column:
@@ -29,6 +33,7 @@ def text_digest(text: Column) -> Column:
 def heavy_groups(digests: DataFrame, support: float) -> DataFrame:
     """Digest, row count and best row of each digest that holds ``support`` of the rows or more."""
     total = digests.count()
+    support = min(support, max(LEAST_SUPPORT, LIGHT_ROWS / max(1, total)))
     candidates = digests.stat.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256")
     )
@@ -82,15 +87,14 @@ def drop_exact_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_
         ),
         "digests",
     )
-    heavy = heavy_groups(digests, support).select(
-        F.col("text_sha256").alias("__digest"), F.col("heavy_best.doc_id").alias("__best"), F.lit(True).alias("__heavy")
-    )
-    best_first = Window.partitionBy("__digest").orderBy(F.col(id_col).desc_nulls_last())
+    heavy = heavy_groups(digests, support).select("text_sha256", F.col("heavy_best.doc_id").alias("best"), F.lit(True).alias("heavy"))
+    # The row travels as one struct, so that none of its columns can clash with those beside it.
+    rows = df.select(F.struct("*").alias("row"), df[id_col].alias("doc_id"), text_digest(df[text_col]).alias("text_sha256"))
+    best_first = Window.partitionBy("text_sha256").orderBy(F.col("doc_id").desc_nulls_last())
     return (
-        df.withColumn("__digest", text_digest(df[text_col]))
-        .join(F.broadcast(materialize(heavy, "heavy-digests")), "__digest", "left")
-        .where(F.col("__heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__best")))
-        .withColumn("__rank", F.row_number().over(best_first))
-        .where("__rank = 1")
-        .select(*[F.col(f"`{c}`") for c in df.columns])
+        rows.join(F.broadcast(materialize(heavy, "heavy-digests")), "text_sha256", "left")
+        .where(F.col("heavy").isNull() | F.col("doc_id").eqNullSafe(F.col("best")))
+        .withColumn("place", F.row_number().over(best_first))
+        .where("place = 1")
+        .select("row.*")
     )

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.wordhash import Words, mix, row_ngrams, word_blocks
+from tidemark.llm.worker import releasing
 from tidemark.session import materialize
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
@@ -87,7 +88,7 @@ def _signatures(n: int, bands: int, rows: int):
                     names=["doc_id", "text_hash", "n_grams", "key1", "key2", "bands"],
                 )
 
-    return run
+    return releasing(run)
 
 
 def _sets(n: int):
@@ -99,7 +100,7 @@ def _sets(n: int):
                 sets = [grams[first[i] : first[i + 1]].tobytes() for i in range(stop - start)]
                 yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(sets, pa.binary())], names=["rep", "grams"])
 
-    return run
+    return releasing(run)
 
 
 def _overlaps(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -183,7 +184,7 @@ def _blocks(threshold: float):
         if held:
             yield told(held)
 
-    return run
+    return releasing(run)
 
 
 def jaccard_classes(
@@ -284,9 +285,10 @@ def jaccard_classes(
 
 def drop_near_copies(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """``df`` with one row of each class."""
-    kept = jaccard_classes(df, text_col, id_col, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    kept = materialize(kept.groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__copies")), "kept")
-    keyed = df.withColumn("__text_hash", F.xxhash64(df[text_col]))
-    joined = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")))
-    one = Window.partitionBy("__id", "__hash").orderBy(F.lit(1))
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n <= __copies").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = jaccard_classes(df, text_col, id_col, **options).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    kept = materialize(kept.groupBy("kept_id", "kept_hash").agg(F.count(F.lit(1)).alias("copies")), "kept")
+    # The row travels as one struct, so that none of its columns can clash with those beside it.
+    keyed = df.select(F.struct("*").alias("row"), df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("hash"))
+    joined = keyed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")))
+    one = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(1))
+    return joined.withColumn("place", F.row_number().over(one)).where("place <= copies").select("row.*")

@@ -41,6 +41,9 @@ KINDS = [*BASE, *ADDED]
 #: Distinct owners from which a value counts as widely copied.
 MIN_OWNERS = 3
 
+#: Matches of a text that are taken together.
+RUN = 256
+
 _SPAN = "array<struct<start:long,rank:int,end:long,value:string>>"
 
 
@@ -66,8 +69,18 @@ def spans_of(text: Column, kind: str) -> Column:
             F.when(F.char_length(x["value"]) >= least, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(_SPAN).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+    # Appending copies the array, so the matches are taken in runs, and the runs' spans put together once.
+    empty = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(_SPAN).alias("out"))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size(pieces) - 1) / RUN)), lambda r: F.aggregate(F.slice(pieces, (r * RUN + 1).cast("int"), RUN), empty, step))
+
+    def join(acc, run):
+        moved = F.transform(
+            run["out"], lambda x: F.struct((x["start"] + acc["pos"]).alias("start"), x["rank"].alias("rank"), (x["end"] + acc["pos"]).alias("end"), x["value"].alias("value"))
+        )
+        return F.struct((acc["pos"] + run["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.when(text.rlike(pattern), F.aggregate(runs, start, join, lambda acc: F.flatten(acc["out"]))).otherwise(F.array().cast(_SPAN))
 
 
 def _listed(spans: Column) -> Column:
@@ -151,21 +164,26 @@ def redact_live(
 
     Widely copied examples stay. Spans that overlap are replaced as one.
     """
-    keyed = df.withColumn("__id", df[id_col]).withColumn("__digest", F.sha2(F.coalesce(df[text_col], F.lit("")), 256))
-    # One row per id and text: rows that repeat both have the same spans.
-    small = keyed.select(
-        F.struct("__id", "__digest").alias("__key"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{repo_col}`").alias("r")
+    # The row travels as one struct, so that none of its columns can clash with those beside it.
+    keyed = df.select(
+        F.struct("*").alias("row"),
+        df[id_col].alias("id"),
+        F.sha2(F.coalesce(df[text_col].cast("string"), F.lit("")), 256).alias("digest"),
+        df[text_col].alias("t"),
+        df[repo_col].alias("r"),
     )
-    found, spans = judged(small, "t", "__key", "r", min_owners)
+    # One row per id and text: rows that repeat both have the same spans.
+    small = keyed.select(F.struct("id", "digest").alias("key"), "t", "r")
+    found, spans = judged(small, "t", "key", "r", min_owners)
     live = (
         spans.where("NOT span.copied")
         .groupBy("row_no")
-        .agg(F.array_sort(F.collect_set(F.struct("span.start", "span.end"))).alias("__spans"))
+        .agg(F.array_sort(F.collect_set(F.struct("span.start", "span.end"))).alias("spans"))
         .join(found.where(F.size("spans") > 0).select("row_no", "doc_id"), "row_no")
-        .groupBy(F.col("doc_id.__id").alias("__id"), F.col("doc_id.__digest").alias("__digest"))
-        .agg(F.first("__spans").alias("__spans"))
+        .groupBy(F.col("doc_id.id").alias("live_id"), F.col("doc_id.digest").alias("live_digest"))
+        .agg(F.first("spans").alias("spans"))
     )
-    text = F.col(f"`{text_col}`")
+    text = F.col("t")
 
     def step(acc, x):
         before = F.substring(text, (acc["pos"] + 1).cast("int"), F.greatest(x["start"] - acc["pos"], F.lit(0)).cast("int"))
@@ -174,8 +192,7 @@ def redact_live(
 
     start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.lit(2**31 - 1)))
-    rewritten = F.when(F.col("__spans").isNull(), text).otherwise(F.aggregate("__spans", start, step, rest))
-    marks = materialize(live, "live-secrets").withColumnsRenamed({"__id": "__id2", "__digest": "__digest2"})
-    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__digest") == F.col("__digest2"))
-    joined = keyed.join(marks, same, "left")
-    return joined.select(*[rewritten.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    rewritten = F.when(F.col("spans").isNull(), text).otherwise(F.aggregate("spans", start, step, rest))
+    same = F.col("id").eqNullSafe(F.col("live_id")) & (F.col("digest") == F.col("live_digest"))
+    joined = keyed.join(materialize(live, "live-secrets"), same, "left").withColumn("rewritten", rewritten)
+    return joined.select(*[F.col("rewritten" if c == text_col else f"row.`{c}`").alias(c) for c in df.columns])

@@ -32,46 +32,54 @@ def tokens(text):
 class Reference:
     """The same model, counted in dictionaries."""
 
-    def __init__(self, texts):
-        self.count, pairs = Counter(), Counter()
+    def __init__(self, texts, order):
+        self.order, self.count, top = order, Counter(), Counter()
         for t in texts:
-            self.count.update(tokens(t))
-            pairs.update(zip(["\0start", *tokens(t)], tokens(t), strict=False))
-        self.pairs, self.n, self.v = pairs, sum(self.count.values()), len(self.count)
-        self.before = Counter(b for _, b in pairs)
+            own = tokens(t)
+            self.count.update(own)
+            padded = ["\0start"] * (order - 1) + own
+            top.update(tuple(padded[i : i + order]) for i in range(len(own)))
+        self.levels = {order: top}
+        for level in range(order - 1, 0, -1):
+            self.levels[level] = Counter(g[1:] for g in self.levels[level + 1])
+        self.n, self.v = sum(self.count.values()), len(self.count)
         of = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-        self.top, self.low = ngram_lm.discounts(*of(pairs)), ngram_lm.discounts(*of(self.before))
-        self.total, self.left = Counter(), defaultdict(float)
-        for (a, _), c in pairs.items():
-            self.total[a] += c
-            self.left[a] += self.top[min(c, 3)]
-        self.rest = sum(self.low[min(c, 3)] for c in self.before.values()) / len(pairs)
-
-    def lower(self, w):
-        return max(self.before[w] - self.low[min(self.before[w], 3)], 0) / len(self.pairs) + self.rest / (self.v + 1)
-
-    def prob(self, a, b):
-        if not self.total[a]:
-            return self.lower(b)
-        c = self.pairs[a, b]
-        return max(c - self.top[min(c, 3)], 0) / self.total[a] + self.left[a] / self.total[a] * self.lower(b)
+        self.d = {level: ngram_lm.discounts(*of(c)) for level, c in self.levels.items()}
+        self.total, self.left = defaultdict(float), defaultdict(float)
+        for level, c in self.levels.items():
+            for g, n in c.items():
+                self.total[level, g[:-1]] += n
+                self.left[level, g[:-1]] += self.d[level][min(n, 3)]
+
+    def prob(self, gram):
+        level = len(gram)
+        if not level:
+            return 1 / (self.v + 1)
+        total = self.total[level, gram[:-1]]
+        if not total:
+            return self.prob(gram[1:])
+        n = self.levels[level][gram]
+        return (max(n - self.d[level][min(n, 3)], 0) + self.left[level, gram[:-1]] * self.prob(gram[1:])) / total
 
     def score(self, text):
         own = tokens(text)
-        return sum(math.log10(self.prob(a, b)) for a, b in zip(["\0start", *own], own, strict=False))
+        padded = ["\0start"] * (self.order - 1) + own
+        return sum(math.log10(self.prob(tuple(padded[i : i + self.order]))) for i in range(len(own)))
 
 
-@pytest.mark.parametrize(("range_bytes", "share"), [(6_000_000, 0.003), (300, 0.01)])
-def test_language_model(table, words, monkeypatch, range_bytes, share):
+@pytest.mark.parametrize(("range_bytes", "share", "order", "ranges_a_task"), [(6_000_000, 0.003, 3, 16), (300, 0.01, 3, 1000), (2000, 0.01, 2, 3), (900, 0.003, 4, 16)])
+def test_language_model(table, words, monkeypatch, range_bytes, share, order, ranges_a_task):
     monkeypatch.setattr(ngram_lm, "SPREAD_SHARE", share)
     monkeypatch.setattr(ngram_lm, "SPREAD_SAMPLE", 2)
+    monkeypatch.setattr(ngram_lm, "RANGES_A_TASK", ranges_a_task)
     texts = [words(i, 60, 90) for i in range(60)] + [None, "", "The THE the", words(7, 20_000, 50), "e é É", "w1 w1 w1"]
     learned = [t for i, t in enumerate(texts) if i % 5]
     df = table(texts)
-    model = ngram_lm.train(df.where("doc_id % 5 <> 0"), range_bytes=range_bytes)
-    want = Reference(learned)
-    assert (model.tokens, model.words, model.bigrams) == (want.n, want.v, len(want.pairs))
-    assert sum(want.prob("w1", w) for w in [*want.count, "\0unknown"]) == pytest.approx(1)
+    model = ngram_lm.train(df.where("doc_id % 5 <> 0"), range_bytes=range_bytes, order=order)
+    want = Reference(learned, order)
+    assert (model.tokens, model.words, model.distinct) == (want.n, want.v, {level: len(c) for level, c in want.levels.items()})
+    context = ("w1", "w2", "w1")[: order - 1]
+    assert sum(want.prob((*context, w)) for w in [*want.count, "\0unknown"]) == pytest.approx(1)
     rows = ngram_lm.score(df, model, F.col("doc_id") % 5 == 0).collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -82,6 +90,25 @@ def test_language_model(table, words, monkeypatch, range_bytes, share):
         assert r.score == pytest.approx(want.score(texts[r.doc_id]), rel=1e-9)
 
 
+def test_language_model_of_many_ranges_keeps_few_files_open(table, words):
+    """Two thousand ranges: parts in files are fewer, and a reader holds ``MOST_MAPS`` of them at most."""
+    import os
+
+    import pyarrow as pa
+
+    from tidemark.llm import ngram_store
+
+    df = table([words(i, 400, 3000) for i in range(60)])
+    model = ngram_lm.train(df, range_bytes=60)
+    assert model.ranges > 2000 and model.parts < model.ranges / 10
+    assert len(os.listdir(ngram_store.plain(model.folder))) <= 3 * model.parts
+    batch = pa.record_batch([pa.array([1]), pa.array([words(3, 400, 3000)]), pa.array([False])], names=["doc_id", "text", "held_out"])
+    before = len(os.listdir("/proc/self/fd"))
+    assert len(list(ngram_lm._scores(model)(iter([batch])))) == 1
+    assert 0 < len(ngram_store._MAPS) <= ngram_store.MOST_MAPS
+    assert len(os.listdir("/proc/self/fd")) <= before + ngram_store.MOST_MAPS + 5
+
+
 def test_language_model_of_nothing(table):
     model = ngram_lm.train(table([]))
     assert (model.tokens, model.words) == (0, 0)

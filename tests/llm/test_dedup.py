@@ -138,9 +138,11 @@ def passages(words):
     return [*texts, texts[2], "a " * 70, "a " * 45, "é ü " * 30, None, "", " \t", "short text", words(80, 25_000), words(80, 21), words(81, 19)]
 
 
-@pytest.mark.parametrize("spread", [200, 2])
-def test_substrings_against_brute_force(table, words, monkeypatch, spread):
+@pytest.mark.parametrize(("spread", "hot"), [(200, 0.9), (2, 0.9), (200, 0.001), (2, 0.02)])
+def test_substrings_against_brute_force(table, words, monkeypatch, spread, hot):
     monkeypatch.setattr("tidemark.llm.substring_dedup.SPREAD_FROM", spread)
+    monkeypatch.setattr("tidemark.llm.substring_dedup.HOT_SHARE", hot)
+    monkeypatch.setattr("tidemark.llm.substring_dedup.HOT_SAMPLE", 1)
     texts = passages(words)
     want = repeats(texts)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(table(texts)).collect()}
@@ -152,6 +154,18 @@ def test_substrings_against_brute_force(table, words, monkeypatch, spread):
     assert digests == {i: sha(kept) for i, (_, _, kept) in want.items()}
 
 
+def test_substrings_of_a_hot_anchor_in_different_contexts(table, words, monkeypatch):
+    """Eight words that all documents hold amid words of their own, and a whole passage that most of them hold."""
+    monkeypatch.setattr("tidemark.llm.substring_dedup.HOT_SAMPLE", 1)
+    common, passage = "the of and to in a is it", words(5, 45)
+    texts = [f"{words(500 + i, 14, 9000)} {common} {words(700 + i, 14, 9000)} {passage if i % 4 else ''} {words(900 + i, 3)}" for i in range(300)]
+    want = repeats(texts)
+    for shard_bytes in (6_000_000, 5000):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(table(texts), shard_bytes=shard_bytes).collect()}
+        assert got == want
+    assert sum(n for _, n, _ in want.values()) >= 224 * 45
+
+
 def test_substring_edges(table, words):
     assert remove_repeats(table([])).count() == 0
     text = words(90, 40)
@@ -164,7 +178,10 @@ def test_fm_index_finds_earlier_windows():
     rng = np.random.default_rng(5)
     for _ in range(100):
         texts = [rng.integers(1, 4, rng.integers(3, 15)).astype(np.uint64) for _ in range(rng.integers(1, 25))]
-        got = {(p, q) for p, s, n in FmIndex(texts).repeated_windows(5) for q in range(s, s + n)}
+        index = FmIndex(np.concatenate(texts), np.array([len(t) for t in texts]))
+        got = {(p, q) for p, s, n in zip(*index.repeated_windows(5), strict=True) for q in range(s, s + n)}
+        every = {(p, q) for p, s, n in zip(*index.repeated_windows(5, anywhere=True), strict=True) for q in range(s, s + n)}
+        assert every == {(p, q) for p, x in enumerate(texts) for q in range(len(x) - 4)}
         seen, want = set(), set()
         for p, x in enumerate(texts):
             for q in range(len(x) - 4):

@@ -66,11 +66,13 @@ def suffix_order(symbols: np.ndarray, longest: int) -> np.ndarray:
 class FmIndex:
     """Over passages, in text order; earlier passages are those that come first."""
 
-    def __init__(self, passages: list[np.ndarray]):
-        lengths = np.fromiter(map(len, passages), np.int64, len(passages))
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        """Of passages of these lengths, one after the other in ``flat``; none is empty."""
+        lengths = lengths.astype(np.int64)
+        passages = lengths
         self.start = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         self.length = lengths
-        words, codes = np.unique(np.concatenate(passages), return_inverse=True)
+        words, codes = np.unique(flat, return_inverse=True)
         self.text = np.zeros(int(lengths.sum() + len(passages)), np.int64)  # 0 ends a passage
         inner = np.ones(len(self.text), bool)
         inner[self.start + lengths] = False
@@ -105,15 +107,15 @@ class FmIndex:
             out[at] = np.minimum(run[low[at]], run[high[at] - (1 << int(k))])
         return out
 
-    def repeated_windows(self, window: int) -> list[tuple[int, int, int]]:
-        """(passage, first window, windows): runs of windows that also occur earlier in the text.
+    def repeated_windows(self, window: int, passages: np.ndarray | None = None, anywhere: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, first window, windows): runs of windows that also occur earlier in the text, or ``anywhere``.
 
         Each passage is streamed against the index from its end. A match grows to the left as long as
-        it occurs earlier; where it stops, all its windows are reported and the next one starts at the
+        it occurs there; where it stops, all its windows are reported and the next one starts at the
         last end whose window lies further left.
         """
         found = []
-        passage = np.flatnonzero(self.length >= window)
+        passage = np.flatnonzero(self.length >= window) if passages is None else passages[self.length[passages] >= window]
         end = self.length[passage] - 1  # of the present match, within the passage
         at = end + 1  # where it starts
         low, high = np.zeros(len(passage), np.int64), np.full(len(passage), len(self.text), np.int64)
@@ -122,13 +124,14 @@ class FmIndex:
             symbol = self.text[base + at - 1]
             lower, higher = self.extend(low, high, symbol)
             grows = lower < higher
-            earlier = np.flatnonzero(grows)
-            grows[earlier] = self.earliest(lower[earlier], higher[earlier]) < (base + at - 1)[earlier]
+            if not anywhere:
+                some = np.flatnonzero(grows)
+                grows[some] = self.earliest(lower[some], higher[some]) < (base + at - 1)[some]
             at = np.where(grows, at - 1, at)
             low, high = np.where(grows, lower, low), np.where(grows, higher, high)
             stopped = ~grows | (at == 0)
             held = np.flatnonzero(stopped & (end - at + 1 >= window))
-            found += zip(passage[held].tolist(), at[held].tolist(), (end - at + 2 - window)[held].tolist(), strict=True)
+            found.append((passage[held], at[held], (end - at + 2 - window)[held]))
             turn = np.flatnonzero(stopped)
             end[turn] = np.minimum(end[turn] - 1, at[turn] + window - 2)
             at[turn] = end[turn] + 1
@@ -136,4 +139,4 @@ class FmIndex:
             going = (end >= window - 1) & ~(stopped & (at == 0))
             if not going.all():
                 passage, end, at, low, high = (x[going] for x in (passage, end, at, low, high))
-        return found
+        return tuple(np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3

@@ -15,8 +15,9 @@ by one to the shard of the window's hash, so that equal windows still meet, and
 each block of texts that it reads; the later places in the block are repeated and need no search. The same holds
 for an anchor that turns out to have many different passages.
 
-Words are compared by 64-bit hashes, windows by twenty of them. Places of an equal passage are told by two
-64-bit hashes, of the anchor and of all its words: 1e13 passages would have some 1e-13 false pairs.
+Words are compared by 64-bit hashes, windows by twenty of them. Places of an equal passage are told by 64 bits
+of a hash of all its words and by the anchor's shard and 32 bits more: 1e13 passages in 2**24 shards would
+have some 1e-10 false pairs.
 
 Defined results: a null text has no words; documents are ordered by id, null ids first, and rows that
 share an id by a hash of their text; rows that repeat id and text are one document, each with the
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.fm_index import FmIndex
-from tidemark.llm.wordhash import Words, ngrams, span_hashes, word_blocks
+from tidemark.llm.wordhash import Words, mix, ngrams, span_hashes, word_blocks
 from tidemark.llm.worker import releasing
 from tidemark.session import materialize
 
@@ -109,7 +110,7 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 _PACKED = "part int, shard int, repeated boolean, n int, body binary"
 _PACKED_TYPES = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
 #: Of places that repeat an earlier one of their block the shard needs no more than where they are and what they equal.
-_KINDS = ("<u8", "<u8", "<i8", "<u4", "<u4", "u1")
+_KINDS = ("<u4", "<u8", "<i8", "<u4", "<u4", "u1")
 
 
 def _unpack(row: dict) -> list[np.ndarray]:
@@ -143,8 +144,10 @@ def _find_passages(shards: int, parts: int, window: int, anchor: int, hot: np.nd
                 row, start, size, grams, content = (x[calm] for x in (row, start, size, grams, content))
                 places = (doc[row + first], tag[row + first], start)
                 by, _, later = _later((content, grams), places)
-                columns = [x[by] for x in (grams, content, *places, size)]
-                shard, rows = _shard_of(columns[0], shards), []
+                # Anchors are least hashes and so crowd at the low end; mixed anew they are even.
+                even = mix(grams[by])
+                columns = [even & np.uint64(2**32 - 1), *(x[by] for x in (content, *places, size))]
+                shard, rows = _shard_of(even, shards), []
                 for repeated in (False, True):
                     some = np.flatnonzero(later == repeated)
                     some = some[np.argsort(shard[some], kind="stable")]
@@ -171,10 +174,11 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
         yield number, pa.Table.from_batches(held)
 
 
-_MARKS = "shard int, doc long, tag long, start int, windows int, same int, kind string"
+_MARKS = "shard int, doc long, tag long, start int, windows int, same int, kind byte"
+WANTED, COPY, SPREAD, REPEATED = range(4)
 
 
-def _marks(shard: int, doc, tag, start, windows, same, kind: str) -> pa.RecordBatch:
+def _marks(shard: int, doc, tag, start, windows, same, kind: int) -> pa.RecordBatch:
     n = len(doc)
     return pa.record_batch(
         [
@@ -184,7 +188,7 @@ def _marks(shard: int, doc, tag, start, windows, same, kind: str) -> pa.RecordBa
             pa.array(np.asarray(start, np.int32)),
             pa.array(np.asarray(windows, np.int32)),
             pa.array(np.broadcast_to(np.asarray(same, np.int32), n).copy()),
-            pa.array([kind] * n, pa.string()),
+            pa.array(np.full(n, kind, np.int8)),
         ],
         names=["shard", "doc", "tag", "start", "windows", "same", "kind"],
     )
@@ -193,8 +197,8 @@ def _marks(shard: int, doc, tag, start, windows, same, kind: str) -> pa.RecordBa
 def _settle(spread_from: int):
     """Per shard the passages whose anchor others have too.
 
-    ``words`` are the first places of each different passage, whose words are wanted, ``copy`` the later
-    places of one (``same`` is its number in the shard), ``spread`` all places of an anchor with many.
+    ``WANTED`` are the first places of each different passage, whose words are to be fetched, ``COPY`` the later
+    places of one (``same`` is its number in the shard), ``SPREAD`` all places of an anchor with many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +213,7 @@ def _settle(spread_from: int):
             frequent = different > spread_from
             # A passage is of concern if its anchor has another one, or if it has a later place itself.
             shared = ((different > 1) | copied[group]) & ~frequent
-            for kind, some in (("words", shared & ~later), ("copy", shared & later), ("spread", frequent)):
+            for kind, some in ((WANTED, shared & ~later), (COPY, shared & later), (SPREAD, frequent)):
                 yield _marks(shard, doc[some], tag[some], start[some], size[some], group[some], kind)
 
     return releasing(run)
@@ -314,7 +318,7 @@ def _search(window: int):
             bare = words.is_null().to_numpy(zero_copy_only=False)
             passed = bare & (same < 0)
             if passed.any():
-                yield _marks(shard, doc[passed], tag[passed], start[passed], np.ones(passed.sum()), 0, "repeated")
+                yield _marks(shard, doc[passed], tag[passed], start[passed], np.ones(passed.sum()), 0, REPEATED)
             held = np.flatnonzero(~bare)
             if not len(held):
                 continue
@@ -327,7 +331,7 @@ def _search(window: int):
             index = FmIndex(np.frombuffer(body.buffers()[2], "<u8")[: lengths.sum()], lengths)
             passage, first, size = index.repeated_windows(window)
             at = held[passage]
-            yield _marks(shard, doc[at], tag[at], start[at] + first, size, 0, "repeated")
+            yield _marks(shard, doc[at], tag[at], start[at] + first, size, 0, REPEATED)
             # The later places of a passage are streamed as one: the first place is earlier than all of them.
             copies = np.flatnonzero(bare & (same >= 0))
             if not len(copies):
@@ -342,7 +346,7 @@ def _search(window: int):
             low, high = np.searchsorted(passage, of), np.searchsorted(passage, of, side="right")
             run_ = _ragged(low, high - low)
             copies = np.repeat(copies, high - low)
-            yield _marks(shard, doc[copies], tag[copies], start[copies] + first[run_], size[run_], 0, "repeated")
+            yield _marks(shard, doc[copies], tag[copies], start[copies] + first[run_], size[run_], 0, REPEATED)
 
     return releasing(run)
 
@@ -402,10 +406,10 @@ def remove_repeats(
         "marks",
     )
     # Both joins below bring the texts together with marks of their documents by the same shuffle.
-    wanted = F.struct("shard", "start", "windows", "same", (F.col("kind") == "spread").alias("spread"))
-    wanted = marks.where("kind <> 'copy'").groupBy("doc", "tag").agg(F.collect_list(wanted).alias("wanted"))
+    wanted = F.struct("shard", "start", "windows", "same", (F.col("kind") == SPREAD).alias("spread"))
+    wanted = marks.where(F.col("kind") != COPY).groupBy("doc", "tag").agg(F.collect_list(wanted).alias("wanted"))
     fetched = docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(_fetch(window, shards, parts), _WORDS)
-    copies = marks.where("kind = 'copy'").select(
+    copies = marks.where(F.col("kind") == COPY).select(
         F.expr(f"int(bigint(shard) * {parts} div {shards})").alias("part"), "shard", "doc", "tag", "start", "same", F.lit(None).cast("binary").alias("words")
     )
     sent = fetched.unionByName(copies)

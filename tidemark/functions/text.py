@@ -52,7 +52,12 @@ def tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    parts = F.split(squeeze(text), r"(?<=[.!?]) ")
+    return sentences_of_line(squeeze(text))
+
+
+def sentences_of_line(flat: Column) -> Column:
+    """Sentences of a text that is in single spaces already."""
+    parts = F.split(flat, r"(?<=[.!?]) ")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
@@ -80,12 +85,19 @@ def chunk_id(doc_id: Column, doc_version: Column, offset: Column, text_hash: Col
     return sha(doc_id, doc_version, offset.cast("string"), text_hash)
 
 
+#: What stands before a secret, and the secret.
+SECRETS = (
+    r"(?i)(Bearer\s+)[^\s\"']+",
+    r"(?i)((?:token|api_key|secret|password|authorization)\s*[:=]\s*[\"']?)[^\s\"',}]+",
+    r"(?i)(\"(?:token|api_key|secret|password)\"\s*:\s*\")[^\"]+",
+)
+
+
 def redact(text: Column) -> Column:
     """Bearer tokens and the values of secret-named keys as ``***REDACTED***``."""
-    put = r"$1***REDACTED***"
-    out = F.regexp_replace(text, r"(?i)(Bearer\s+)[^\s\"']+", put)
-    out = F.regexp_replace(out, r"(?i)((?:token|api_key|secret|password|authorization)\s*[:=]\s*[\"']?)[^\s\"',}]+", put)
-    return F.regexp_replace(out, r"(?i)(\"(?:token|api_key|secret|password)\"\s*:\s*\")[^\"]+", put)
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "$1***REDACTED***")
+    return text
 
 
 #: Content type by file extension.

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chunking, distill, ingest
-from tidemark.session import read_table
+from tidemark.session import read_table, spread_small
+
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread_small(read_table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
+
 
 
 def _path():
@@ -41,9 +43,10 @@ def doc_ids(spark, sf_dir):
 
 
 def extract_text(spark, sf_dir):
-    """Text files pass through as they are; other types have no text here."""
+    """The text of every document as its extractor passes it on, with the type of its file; without one, no text."""
     kind = T.content_type(_path())
-    return _docs(spark, sf_dir).where(kind.isin("txt", "md")).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    read = F.when(kind.isNotNull(), F.sha2("text", 256))
+    return _docs(spark, sf_dir).select("doc_id", kind.alias("content_type"), read.alias("text_sha256"))
 
 
 def pipeline_signature(spark, sf_dir):
@@ -76,9 +79,7 @@ def distill_answer(spark, sf_dir):
 
 
 def _keywords(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    found = distill.keywords(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
-    return docs.join(found, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+    return _docs(spark, sf_dir).withColumn("keywords", distill.keywords(F.col("text")))
 
 
 def distill_keywords(spark, sf_dir):
@@ -110,8 +111,10 @@ def noise_flags(spark, sf_dir):
 
 
 def _quality(spark, sf_dir):
-    k = _keywords(spark, sf_dir)
-    q = distill.quality(F.col("text"), F.lit("text"), F.size("keywords"), F.size(distill.entities(F.col("text"))))
+    k = _keywords(spark, sf_dir).withColumn("flat", T.squeeze(F.col("text")))
+    k = k.withColumn("parts", T.sentences_of_line(F.col("flat"))).withColumn("n_entities", F.size(distill.entities(F.col("text"))))
+    k = k.withColumn("n_keywords", F.size("keywords"))
+    q = distill.quality(F.col("text"), F.col("flat"), F.col("parts"), F.lit("text"), F.col("n_keywords"), F.col("n_entities"))
     return k.select("doc_id", "source", "text", *[c.alias(n) for n, c in q.items()])
 
 
@@ -384,7 +387,9 @@ ORACLE = {
     "content_type_of": "SELECT doc_id, ['txt', 'md', 'csv', 'pdf', 'json', NULL][doc_id % 6 + 1] AS content_type FROM documents",
     "chunk_strategy": "SELECT doc_id, ['structured', 'markdown', 'fixed', 'structured', 'fixed', 'fixed'][doc_id % 6 + 1] AS strategy FROM documents",
     "doc_ids": f"SELECT doc_id, sha256({_PATH}) AS path_id FROM documents",
-    "extract_text": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents WHERE doc_id % 6 < 2",
+    "extract_text": """
+        SELECT doc_id, kind AS content_type, CASE WHEN kind IS NOT NULL THEN sha256(coalesce(text, '')) END AS text_sha256
+        FROM (SELECT doc_id, text, ['txt', 'md', 'csv', 'pdf', 'json', NULL][doc_id % 6 + 1] AS kind FROM documents)""",
     "pipeline_signature": """
         SELECT source, count(*) AS files, sha256('1.0.01.0.01.0.0|size=2800|overlap=420|strategy=auto') AS signature FROM documents GROUP BY 1""",
     "split_sentences": f"WITH {_S} SELECT doc_id, pos, sentence FROM s",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.filters import Field, compile_filter
 from tidemark.operators import evaluate, ingest, memory, search, snapshots
-from tidemark.session import read_table
+from tidemark.session import read_table, spread_small
 from tidemark.sources import extract
 
 
@@ -98,12 +98,12 @@ def extract_tsv_rows(spark, sf_dir):
 
 def html_to_markdown(spark, sf_dir):
     out = extract.html_to_markdown(F.col("html"))
-    return read_table(spark, sf_dir, "pages").select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
+    return spread_small(read_table(spark, sf_dir, "pages")).select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
 
 
 def extract_html(spark, sf_dir):
     out = extract.extract_html(F.col("html"))
-    return read_table(spark, sf_dir, "pages").select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
+    return spread_small(read_table(spark, sf_dir, "pages")).select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
 
 
 def change_detection(spark, sf_dir):

@@ -8,14 +8,14 @@ from tidemark.functions.text import sentences, truncate
 from tidemark.operators import keyword as K
 from tidemark.operators import publication as P
 from tidemark.operators import search as S
-from tidemark.session import read_table
+from tidemark.session import read_table, spread_small
 
 #: The stated queries; the id is also that of the query's vector.
 ASKED = {1: "the of", 2: "de la", 3: "der", 4: "license version", 5: "tionthe"}
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _scores(spark, sf_dir):
@@ -44,24 +44,31 @@ def search_trigram(spark, sf_dir):
     return K.top_k(hits, 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
-def _hybrid(spark, sf_dir, filter_keywords):
-    e = read_table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0")
-    asked = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(list(ASKED))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def _hybrid(spark, sf_dir, filter_vectors, filter_keywords):
+    """Vector and keyword lists fused; the filter is on metadata, the label that an id has in ``embeddings``."""
+    e = read_table(spark, sf_dir, "embeddings")
+    asked = e.where(F.col("vec_id").isin(list(ASKED))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     words = _scores(spark, sf_dir)
+    passing = e.where("label IN (0, 2, 4, 6, 8)")
     if filter_keywords:
-        words = words.where("id % 2 = 0")
-    fused = S.rrf((S.top_k(S.vector_scores(e, asked), 20), 1.0), (K.top_k(words, 20), 1.0))
+        words = words.join(passing.select(F.col("vec_id").alias("id")), "id", "left_semi")
+    fused = S.rrf((S.nearest(passing if filter_vectors else e, asked, 20), 1.0), (K.top_k(words, 20), 1.0))
     return S.top_k(fused, 10, 9).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def search_hybrid(spark, sf_dir):
-    """Vector and keyword lists fused, both under the filter (even ids)."""
-    return _hybrid(spark, sf_dir, True)
+    """Vector and keyword lists fused, both under the filter."""
+    return _hybrid(spark, sf_dir, True, True)
 
 
 def search_hybrid_unfiltered_kw(spark, sf_dir):
     """The parity form: the filter holds for the vector side only."""
-    return _hybrid(spark, sf_dir, False)
+    return _hybrid(spark, sf_dir, True, False)
+
+
+def search_hybrid_all(spark, sf_dir):
+    """No filter on either side."""
+    return _hybrid(spark, sf_dir, False, False)
 
 
 def explain_vector(spark, sf_dir):
@@ -141,7 +148,8 @@ def bundle_upsert(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, search_keyword, keyword_normalized, search_trigram, search_hybrid, search_hybrid_unfiltered_kw, explain_vector,
+        bm25_stats, search_keyword, keyword_normalized, search_trigram, search_hybrid, search_hybrid_unfiltered_kw,
+        search_hybrid_all, explain_vector,
         list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, semantic_publish, semantic_rollback,
         semantic_unpublish, bundle_upsert,
     )
@@ -160,11 +168,14 @@ _BM25 = rf"""
 _TOP = 'SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS "rank", doc_id, score FROM {} QUALIFY "rank" <= {}'
 
 
-def _hybrid_sql(where: str) -> str:
+_PASSING = "label IN (0, 2, 4, 6, 8)"
+
+
+def _hybrid_sql(vectors: str, keywords: str) -> str:
     return f"""
-        WITH {_BM25}, k2 AS (SELECT * FROM kw WHERE {where}), kt AS ({_TOP.format("k2", 20)}),
+        WITH {_BM25}, k2 AS (SELECT * FROM kw WHERE {keywords}), kt AS ({_TOP.format("k2", 20)}),
         vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
-               FROM embeddings e, embeddings q WHERE e.vec_id % 2 = 0 AND q.vec_id BETWEEN 1 AND 5),
+               FROM (SELECT * FROM embeddings WHERE {vectors}) e, embeddings q WHERE q.vec_id BETWEEN 1 AND 5),
         vt AS ({_TOP.format("vs", 20)}),
         f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + "rank")), 9) AS score FROM (SELECT * FROM kt UNION ALL SELECT * FROM vt) GROUP BY 1, 2)
         {_TOP.format("f", 10)}"""
@@ -205,8 +216,9 @@ ORACLE = {
                             WHERE length(needle) >= 3 AND query_id NOT IN (SELECT query_id FROM kw)),
         tg AS (SELECT query_id, doc_id, ((length(folded) - length(replace(folded, needle, ''))) / length(needle))::DOUBLE AS score FROM d, q WHERE contains(folded, needle))
         {_TOP.format("tg", 10)}""",
-    "search_hybrid": _hybrid_sql("doc_id % 2 = 0"),
-    "search_hybrid_unfiltered_kw": _hybrid_sql("TRUE"),
+    "search_hybrid": _hybrid_sql(_PASSING, f"doc_id IN (SELECT vec_id FROM embeddings WHERE {_PASSING})"),
+    "search_hybrid_unfiltered_kw": _hybrid_sql(_PASSING, "TRUE"),
+    "search_hybrid_all": _hybrid_sql("TRUE", "TRUE"),
     "explain_vector": f"""
         WITH {_BM25}, t AS ({_TOP.format("kw", 10)}) SELECT query_id, "rank", doc_id, substr(text, 1, 200) AS preview FROM t JOIN documents USING (doc_id)""",
     "list_bundles": f"WITH {_B} SELECT bundle_id, doc_id, status, collection_id, published_at::BIGINT AS published_at FROM b",

@@ -63,7 +63,7 @@ def _asked(spark, sf_dir):
 
 
 def _knn(spark, sf_dir, vectors, k, metric="cosine"):
-    return S.top_k(S.vector_scores(vectors, _asked(spark, sf_dir), metric), k)
+    return S.nearest(vectors, _asked(spark, sf_dir), k, metric)
 
 
 def knn_join(spark, sf_dir):
@@ -81,9 +81,8 @@ def search_vector_filtered(spark, sf_dir):
 def search_include_uncommitted(spark, sf_dir):
     """Committed (labels below 8) and staged rows searched together, each result with its origin."""
     e = read_table(spark, sf_dir, "embeddings")
-    asked = _asked(spark, sf_dir)
-    done = S.vector_scores(e.where("label < 8"), asked).withColumn("committed", F.lit(True))
-    staged = S.vector_scores(e.where("label >= 8"), asked).withColumn("committed", F.lit(False))
+    done = _knn(spark, sf_dir, e.where("label < 8"), 5).withColumn("committed", F.lit(True))
+    staged = _knn(spark, sf_dir, e.where("label >= 8"), 5).withColumn("committed", F.lit(False))
     found = S.top_k(S.best_per_item(done.unionByName(staged)), 5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score", "committed")
 
@@ -92,7 +91,8 @@ def merge_dedup(spark, sf_dir):
     """The same id in two segments keeps its best score: here each vector and its reverse."""
     e = read_table(spark, sf_dir, "embeddings")
     again = e.withColumn("embedding", F.reverse("embedding"))
-    found = S.top_k(S.best_per_item(S.vector_scores(e.unionByName(again), _asked(spark, sf_dir), "dot")), 3)
+    segments = [_knn(spark, sf_dir, x, 3, "dot") for x in (e, again)]
+    found = S.top_k(S.best_per_item(segments[0].unionByName(segments[1])), 3)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 

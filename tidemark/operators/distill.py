@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import STOPWORDS, sentences, squeeze, truncate
 
+#: What marks a telling sentence, a definition, a name and a topic.
 _MODAL = r"(?i)(?<![A-Za-z0-9_])(must|should|provides|supports|requires|ensures|enables|preserves)(?![A-Za-z0-9_])"
 _COPULA = r"(?i)(?<![A-Za-z0-9_])(is|are|means|includes)(?![A-Za-z0-9_])"
 _ENTITY = r"(?<![A-Za-z0-9_])(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*|[A-Z]{2,}(?:-[A-Z0-9]+)*)(?![A-Za-z0-9_])"
@@ -43,8 +44,8 @@ def sentence_score(sentence: Column, index: Column) -> Column:
 def summary_sentences(parts: Column, most: int = 2) -> Column:
     """The best sentences, in the order of the text. Scores are compared to nine digits."""
     scored = F.transform(parts, lambda s, i: F.struct((-F.round(sentence_score(s, i), 9)).alias("by"), i.alias("at"), s.alias("s")))
-    best = F.slice(F.array_sort(scored), 1, most)
-    return F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["at"].alias("at"), x["s"].alias("s")))), lambda x: x["s"])
+    best = F.slice(F.sort_array(scored), 1, most)
+    return F.transform(F.sort_array(F.transform(best, lambda x: F.struct(x["at"].alias("at"), x["s"].alias("s")))), lambda x: x["s"])
 
 
 def summary(text: Column, parts: Column) -> Column:
@@ -69,19 +70,27 @@ def question(of_title: Column, first_keyword: Column) -> Column:
     )
 
 
-def keywords(df: DataFrame, id_col: str, text_col: str, most: int = 6) -> DataFrame:
-    """id and its keywords: the weightiest terms (double weight among the first 24), ties by term."""
-    terms = F.regexp_extract_all(F.lower(squeeze(F.col(text_col))), F.lit("[a-z0-9][a-z0-9_-]{2,}"), F.lit(0))
-    weighed = (
-        df.select(F.col(id_col).alias("id"), F.posexplode(terms).alias("at", "term"))
-        .where(~F.col("term").isin(STOPWORDS))
-        .groupBy("id", "term")
-        .agg(F.sum(F.when(F.col("at") < 24, 2).otherwise(1)).alias("weight"))
-    )
-    order = Window.partitionBy("id").orderBy(F.desc("weight"), "term")
-    top = weighed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"])
-    return top.groupBy("id").agg(ordered.alias("keywords"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def keywords(text: Column, most: int = 6) -> Column:
+    """The weightiest terms of a text (double weight among the first 24), ties by term.
+
+    Counted within the row, by the runs of the sorted terms, so that no row meets another. The first terms
+    stand in the list twice.
+    """
+    terms = F.regexp_extract_all(F.lower(squeeze(text)), F.lit("[a-z0-9][a-z0-9_-]{2,}"), F.lit(0))
+
+    def best(s: Column) -> Column:
+        fresh = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda p, a, j: F.struct((a - F.coalesce(F.get(p, j + 1), F.size(s))).alias("by"), F.get(s, a).alias("term"))
+        found = _let(fresh, lambda p: F.slice(F.sort_array(F.transform(p, lambda a, j: run(p, a, j))), 1, most))
+        return F.when(F.size(s) > 0, F.transform(found, lambda x: x["term"])).otherwise(F.array().cast("array<string>"))
+
+    twice = lambda t: F.filter(F.concat(t, F.slice(t, 1, 24)), lambda w: ~w.isin(STOPWORDS))
+    return _let(terms, lambda t: _let(F.sort_array(twice(t)), best))
 
 
 def entities(text: Column, most: int = 6) -> Column:
@@ -98,7 +107,8 @@ def themes(of_title: Column, text: Column, terms: Column, names: Column, most: i
 
 
 def mean_words(parts: Column) -> Column:
-    words = F.aggregate(parts, F.lit(0), lambda n, s: n + F.size(F.split(s, " ")))
+    """Words of a sentence are one more than its single spaces."""
+    words = F.aggregate(parts, F.lit(0), lambda n, s: n + F.char_length(s) - F.char_length(F.replace(s, F.lit(" "), F.lit(""))) + 1)
     return F.when(F.size(parts) == 0, 0.0).otherwise(words / F.size(parts))
 
 
@@ -108,7 +118,8 @@ def repeated_lines(text: Column) -> Column:
 
 
 def noisy(flat: Column) -> Column:
-    runs, digits = F.regexp_count(flat, F.lit(r"[^A-Za-z0-9_\s]{3,}")), F.regexp_count(flat, F.lit("[0-9]"))
+    runs = F.regexp_count(flat, F.lit(r"[^A-Za-z0-9_\s]{3,}"))
+    digits = F.char_length(flat) - F.char_length(F.translate(flat, "0123456789", ""))
     return (runs > 1) | ((F.char_length(flat) > 0) & (digits / F.char_length(flat) > 0.2))
 
 
@@ -117,12 +128,11 @@ def mostly_uppercase(flat: Column) -> Column:
     return (F.size(words) > 0) & (F.size(F.filter(words, upper)) / F.size(words) > 0.4)
 
 
-def quality(text: Column, label: Column, n_keywords: Column, n_entities: Column) -> dict[str, Column]:
-    """Coverage, density, structure, noise penalty and confidence in hundredths, and the flags.
+def quality(text: Column, flat: Column, parts: Column, label: Column, n_keywords: Column, n_entities: Column) -> dict[str, Column]:
+    """From a text, the same in single spaces, and its sentences: coverage, density, structure, noise penalty and confidence in hundredths, and the flags.
 
     All are whole hundredths, so confidence is computed in whole ten-thousandths and rounded half up.
     """
-    flat, parts = squeeze(text), sentences(text)
     n, mean = F.size(parts), mean_words(parts)
     length = F.char_length(flat)
     coverage = F.when((length >= 120) & (length <= 2200), 82).when(length >= 60, 68).otherwise(48)

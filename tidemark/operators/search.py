@@ -2,32 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors as V
-
 RRF_K = 60
-#: Queries that travel in one row of the block join.
-BLOCK = 64
-
-
-def vector_scores(vectors: DataFrame, queries: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score of each vector for each query (query_id, q).
-
-    Queries travel in blocks of ``BLOCK``: each vector meets one row per block and yields the block's
-    scores as an array.
+#: Queries of a block and rows of a shard: the scores of the two take BLOCK * TILE * 8 bytes at most.
+BLOCK, TILE = 256, 4096
+#: Bytes of queries up to which their blocks are broadcast; beyond, blocks and shards meet in a grid of cells.
+MOST_BROADCAST = 32 << 20
+#: Blocks and shards in a cell of the grid.
+GRID = 16
+#: Digits of the scores that results are ranked by.
+DIGITS = 6
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+    return np.divide(m, norm, out=m.copy(), where=norm != 0)
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs, greater being better."""
+    if metric == "dot":
+        return q @ x.T
+    if metric == "cosine":
+        return _unit(q) @ _unit(x).T
+    out = np.empty((len(q), len(x)))
+    for i, one in enumerate(q):  # by differences: the expanded square loses digits between near vectors
+        out[i] = 1.0 / (1.0 + np.sqrt(np.square(x - one).sum(axis=1)))
+    return out
+
+
+_BLOCK = "dim int, ids binary, cells binary"
+
+
+def _packed(size: int):
+    """(id, vector) rows as matrices of one dimension and at most ``size`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            lengths = np.diff(vectors.offsets.to_numpy())
+            for dim in np.unique(lengths):
+                own = np.flatnonzero(lengths == dim)
+                for at in range(0, len(own), size):
+                    some = own[at : at + size]
+                    cells = vectors.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    yield pa.record_batch(
+                        [pa.array([dim], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([cells.tobytes()])], names=["dim", "ids", "cells"]
+                    )
+
+    return run
+
+
+def _tiles(metric: str, k: int, digits: int):
+    """Per query and tile the k best rows by rounded score, ties to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.to_pylist():
+                query_ids, ids = np.frombuffer(tile["query_ids"], "<i8"), np.frombuffer(tile["ids"], "<i8")
+                q, x = (np.frombuffer(tile[c], "<f8").reshape(-1, tile["dim"]) for c in ("query_cells", "cells"))
+                scores = np.round(_scores(q, x, metric), digits) + 0.0
+                rows, picks = [], []
+                for i, own in enumerate(scores):
+                    pick = np.arange(len(ids))
+                    if len(pick) > 4 * k:
+                        pick = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k])
+                    pick = pick[np.lexsort((ids[pick], -own[pick]))][:k]
+                    rows.append(np.full(len(pick), i))
+                    picks.append(pick)
+                row, pick = np.concatenate(rows), np.concatenate(picks)
+                yield pa.record_batch([pa.array(query_ids[row]), pa.array(ids[pick]), pa.array(scores[row, pick])], names=["query_id", "id", "score"])
+
+    return run
+
+
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", digits: int = DIGITS, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """Per query (query_id, q) its k best vectors: query_id, id, score, rank.
+
+    Rows and queries are packed into matrices and scored in tiles, with selection within the tile, so that no score
+    leaves it unless it is among the tile's k best. Few queries are broadcast, their bytes being counted first; else
+    shards and blocks meet in a grid, so that each is sent once per ``GRID`` of the others.
     """
-    prep = V.normalize if metric == "cosine" else (lambda v: v)
-    blocks = queries.select("query_id", prep(F.col("q")).alias("q")).withColumn("block", F.expr(f"query_id div {BLOCK}"))
-    blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("own")).withColumn("__one", F.lit(1))
-    rows = vectors.select(F.col(id_col).alias("id"), prep(F.col(vector_col)).alias("v")).withColumn("__one", F.lit(1))
-    distance = {"cosine": V.cosine_distance, "l2": V.l2_distance, "dot": V.dot_distance}[metric]
-    score = lambda x: F.struct(x["query_id"].alias("query_id"), V.distance_to_score(distance(F.col("v"), x["q"]), metric).alias("score"))
-    return rows.join(blocks, "__one").select("id", F.inline(F.transform("own", score))).select("query_id", "id", "score")
-
-
-def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    asked = queries.where("q IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()
+    n_blocks = max(1, -(-n // BLOCK))
+    shards = rows.mapInArrow(_packed(TILE), _BLOCK)
+    blocks = asked.repartition(n_blocks).mapInArrow(_packed(BLOCK), _BLOCK).select("dim", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"))
+    if size <= MOST_BROADCAST:
+        tiles = shards.join(F.broadcast(blocks), "dim")
+    else:
+        n_shards = max(1, -(-rows.count() // TILE))
+        down, across = max(-(-n_shards // GRID), min(n_shards, 4 * parallel)), -(-n_blocks // GRID)
+        cell = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        placed = shards.withColumn("down", cell(down)).withColumn("across", every(across))
+        tiles = placed.join(blocks.withColumn("across", cell(across)).withColumn("down", every(down)), ["dim", "down", "across"])
+    found = tiles.select("dim", "query_ids", "query_cells", "ids", "cells").mapInArrow(_tiles(metric, k, digits), "query_id long, id long, score double")
+    return top_k(found, k, digits)
+
+
+def top_k(scores: DataFrame, k: int, digits: int = DIGITS) -> DataFrame:
     """The k best per query by rounded score, ties to the smaller id, with ranks from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -12,14 +12,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Most bytes of an Arrow batch. Spark's own limit suits short rows; here one row may hold a long document.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once, unless they find it by themselves.
+    """Send this package to the executors, once, unless they find it by themselves, and bound their Arrow batches.
 
     They do if it is installed, on PYTHONPATH, or in the folder that the application started in.
     """
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if spark.conf.get(_BATCH, None) == "67108864b":  # as Spark has it, not set by the user
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
@@ -65,3 +69,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of input up to which a table may have fewer row groups than there are cores.
+SMALL_BYTES = 128 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table over all cores, for work that is heavy per row; a large one comes in enough splits by itself."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df

@@ -65,20 +65,28 @@ def test_layers():
 
 def test_snapshots(spark):
     records = spark.createDataFrame([("c", "s1", "a"), ("c", "s1", "b"), ("c", "s2", "c")], "collection_id string, segment_id string, chunk_id string")
-    kind = "collection_id string, version int, segment_ids array<string>, tombstone_ids array<string>"
-    manifests = spark.createDataFrame([("c", 0, ["s1"], []), ("c", 1, ["s1", "s2"], ["b"])], kind)
-    ids = lambda m: {r.chunk_id for r in snapshots.snapshot(records, m).collect()}
+    manifests = spark.createDataFrame([("c", 0, ["s1"]), ("c", 1, ["s1", "s2"])], "collection_id string, version int, segment_ids array<string>")
+    tombstones = spark.createDataFrame([("c", "b", 1, None)], "collection_id string, chunk_id string, born int, gone int")
+    ids = lambda m, dead=tombstones: {r.chunk_id for r in snapshots.snapshot(records, m, dead).collect()}
     assert ids(snapshots.latest(manifests)) == {"a", "c"}
     assert ids(snapshots.at_version(manifests, 0)) == {"a", "b"}
     segments = spark.createDataFrame([("c", "s1", "ready"), ("c", "s2", "building"), ("d", "s3", "ready")], "collection_id string, segment_id string, status string")
-    pending = spark.createDataFrame([("c", "a")], "collection_id string, chunk_id string")
-    new = {r.collection_id: r for r in snapshots.publish(manifests, segments, pending).collect()}
-    assert (new["c"].version, new["c"].segment_ids, new["c"].tombstone_ids) == (2, ["s1"], ["a", "b"])
-    assert (new["d"].version, new["d"].tombstone_ids) == (0, [])
-    back = snapshots.rollback(manifests, 0).first()
-    assert (back.version, back.segment_ids) == (2, ["s1"])
-    kept = snapshots.compaction(records, snapshots.latest(manifests), pending).first()
+    pending = spark.createDataFrame([("c", "a"), ("c", "b")], "collection_id string, chunk_id string")
+    new, added = snapshots.publish(manifests, segments, tombstones, pending)
+    assert {tuple(r) for r in new.select("collection_id", "version", F.array_join("segment_ids", ",")).collect()} == {("c", 2, "s1"), ("d", 0, "s3")}
+    assert {tuple(r) for r in added.collect()} == {("c", "a", 2, None)}
+    assert ids(new, tombstones.unionByName(added)) == set()
+    back, dead = snapshots.rollback(manifests, tombstones, 0)
+    assert (back.first().version, back.first().segment_ids) == (2, ["s1"])
+    assert ids(back, dead) == {"a", "b"}
+    assert ids(snapshots.latest(manifests), dead) == {"a", "c"}  # the older version stays as it was
+    every = manifests.unionByName(back)
+    forth, dead = snapshots.rollback(every, dead, 1)  # and forward again
+    assert ids(forth, dead) == {"a", "c"}
+    assert ids(back, dead) == {"a", "b"}
+    kept = snapshots.compaction(records, snapshots.latest(manifests), tombstones, pending).first()
     assert (kept.kept, kept.removed) == (1, 2)
+    assert [tuple(r) for r in snapshots.compact(records, snapshots.latest(manifests), tombstones, pending).select("chunk_id", "segment_id").collect()] == [("c", "c-compact-2")]
 
 
 LONG = "A first sentence. " * 30

@@ -131,33 +131,46 @@ def _records(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir):
-    """Version 0 of each collection: labels below 5, no tombstones; version 1: all, ids divisible by 7 dead."""
-    r = _records(spark, sf_dir)
-    early = F.filter(F.array_sort(F.collect_set("segment_id")), lambda s: s < "s5")
-    zero = r.groupBy("collection_id").agg(F.lit(0).alias("version"), early.alias("segment_ids"), F.array().cast("array<string>").alias("tombstone_ids"))
-    dead = F.array_sort(F.collect_set(F.when(F.col("vec_id") % 7 == 0, F.col("chunk_id"))))
-    one = r.groupBy("collection_id").agg(F.lit(1).alias("version"), F.array_sort(F.collect_set("segment_id")).alias("segment_ids"), dead.alias("tombstone_ids"))
-    return zero.unionByName(one)
+    """Version 0 of each collection: labels below 5; version 1: all labels."""
+    r = _records(spark, sf_dir).select("collection_id", "segment_id").distinct()
+    all_ids = F.array_sort(F.collect_set("segment_id"))
+    held = r.groupBy("collection_id").agg(all_ids.alias("every"))
+    zero = held.select("collection_id", F.lit(0).alias("version"), F.filter("every", lambda s: s < "s5").alias("segment_ids"))
+    return zero.unionByName(held.select("collection_id", F.lit(1).alias("version"), F.col("every").alias("segment_ids")))
+
+
+def _tombstones(spark, sf_dir):
+    """From version 1 on, ids divisible by 7 are dead."""
+    return _records(spark, sf_dir).where("vec_id % 7 = 0").select("collection_id", "chunk_id", F.lit(1).alias("born"), F.lit(None).cast("int").alias("gone"))
 
 
 def _pending(spark, sf_dir):
     return _records(spark, sf_dir).where("vec_id % 11 = 0").select("collection_id", "chunk_id")
 
 
-def _shown(manifests):
-    return manifests.select(
-        "collection_id", "version", F.array_join("segment_ids", ",").alias("segments"), F.size("tombstone_ids").alias("n_tombstones"), F.sha2(F.array_join("tombstone_ids", ","), 256).alias("tombstones_sha256")
+def _shown(manifests, tombstones):
+    """Manifests with the number of their tombstones, and two sums over the dead ids that tell which they are."""
+    n = F.col("chunk_id").cast("long")
+    dead = N.dead_at(tombstones, manifests).groupBy("collection_id").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"), F.bit_xor(n).alias("bits"))
+    none = F.lit(0).cast("long")
+    return manifests.join(dead, "collection_id", "left").select(
+        "collection_id",
+        "version",
+        F.array_join("segment_ids", ",").alias("segments"),
+        F.coalesce("n", none).alias("n_tombstones"),
+        F.coalesce("total", none).alias("tombstone_sum"),
+        F.coalesce("bits", none).alias("tombstone_xor"),
     )
 
 
 def snapshot_scan(spark, sf_dir):
     m = N.latest(_manifests(spark, sf_dir))
-    return N.snapshot(_records(spark, sf_dir), m).select("collection_id", "segment_id", "vec_id")
+    return N.snapshot(_records(spark, sf_dir), m, _tombstones(spark, sf_dir)).select("collection_id", "segment_id", "vec_id")
 
 
 def time_travel_scan(spark, sf_dir):
     m = N.at_version(_manifests(spark, sf_dir), 0)
-    return N.snapshot(_records(spark, sf_dir), m).select("collection_id", "segment_id", "vec_id")
+    return N.snapshot(_records(spark, sf_dir), m, _tombstones(spark, sf_dir)).select("collection_id", "segment_id", "vec_id")
 
 
 def tombstone_apply(spark, sf_dir):
@@ -166,20 +179,34 @@ def tombstone_apply(spark, sf_dir):
 
 
 def latest_manifest(spark, sf_dir):
-    return _shown(N.latest(_manifests(spark, sf_dir)))
+    return _shown(N.latest(_manifests(spark, sf_dir)), _tombstones(spark, sf_dir))
 
 
 def manifest_publish(spark, sf_dir):
     segments = _records(spark, sf_dir).select("collection_id", "segment_id").distinct().withColumn("status", F.lit("ready"))
-    return _shown(N.publish(_manifests(spark, sf_dir), segments, _pending(spark, sf_dir)))
+    held = _tombstones(spark, sf_dir)
+    new, added = N.publish(_manifests(spark, sf_dir), segments, held, _pending(spark, sf_dir))
+    return _shown(new, held.unionByName(added))
 
 
 def manifest_rollback(spark, sf_dir):
-    return _shown(N.rollback(_manifests(spark, sf_dir), 0))
+    return _shown(*N.rollback(_manifests(spark, sf_dir), _tombstones(spark, sf_dir), 0))
+
+
+def manifest_checksum(spark, sf_dir):
+    shown = latest_manifest(spark, sf_dir)
+    check = N.checksum(F.split("segments", ","), F.col("n_tombstones"), F.col("tombstone_xor"), F.col("version"))
+    return shown.select("collection_id", "version", check.alias("checksum"))
 
 
 def compaction_stats(spark, sf_dir):
-    return N.compaction(_records(spark, sf_dir), N.latest(_manifests(spark, sf_dir)), _pending(spark, sf_dir))
+    return N.compaction(_records(spark, sf_dir), N.latest(_manifests(spark, sf_dir)), _tombstones(spark, sf_dir), _pending(spark, sf_dir))
+
+
+def compact_segments(spark, sf_dir):
+    """The rows of the segments that compaction writes."""
+    new = N.compact(_records(spark, sf_dir), N.latest(_manifests(spark, sf_dir)), _tombstones(spark, sf_dir), _pending(spark, sf_dir))
+    return new.select("collection_id", "segment_id", "vec_id")
 
 
 def collection_status(spark, sf_dir):
@@ -220,7 +247,7 @@ QUERIES = {
     for f in (
         search_vector, vec_dot, vec_cosine, vec_l2, vec_neg_dot, vec_normalize, distance_to_score, knn_join, search_vector_filtered,
         search_include_uncommitted, merge_dedup, rrf_fuse, search_fused, snapshot_scan, time_travel_scan, tombstone_apply, latest_manifest,
-        manifest_publish, manifest_rollback, compaction_stats, collection_status, list_collections, tombstones_by_reason, compaction_decision,
+        manifest_publish, manifest_rollback, manifest_checksum, compaction_stats, compact_segments, collection_status, list_collections, tombstones_by_reason, compaction_decision,
     )
 }
 
@@ -248,7 +275,9 @@ _R = """
         SELECT collection_id, 1, list_sort(list_distinct(list(segment_id))), list_sort(list(chunk_id) FILTER (vec_id % 7 = 0))
         FROM r GROUP BY 1),
     pend AS (SELECT collection_id, chunk_id FROM r WHERE vec_id % 11 = 0)"""
-_SHOW = "collection_id, version, array_to_string(seg, ',') AS segments, len(dead)::INTEGER AS n_tombstones, sha256(coalesce(array_to_string(dead, ','), '')) AS tombstones_sha256"
+_SHOW = """collection_id, version, array_to_string(seg, ',') AS segments, len(dead)::BIGINT AS n_tombstones,
+    coalesce(list_sum(list_transform(dead, lambda x: x::BIGINT)), 0)::BIGINT AS tombstone_sum,
+    coalesce(list_aggregate(list_transform(dead, lambda x: x::BIGINT), 'bit_xor'), 0)::BIGINT AS tombstone_xor"""
 _SNAP = """
     SELECT r.collection_id, r.segment_id, r.vec_id FROM r JOIN m ON r.collection_id = m.collection_id AND m.version = {v}
     WHERE list_contains(m.seg, r.segment_id) AND NOT list_contains(m.dead, r.chunk_id)"""
@@ -304,6 +333,12 @@ ORACLE = {
             count(*) FILTER (NOT (vec_id % 7 = 0 OR vec_id % 11 = 0)) AS kept,
             count(*) FILTER (vec_id % 7 = 0 OR vec_id % 11 = 0) AS removed, count(DISTINCT segment_id) AS segments
         FROM r GROUP BY 1""",
+    "manifest_checksum": f"""
+        WITH {_R}, x AS (SELECT {_SHOW} FROM m WHERE version = 1)
+        SELECT collection_id, version, sha256('{{"segment_ids":["' || replace(segments, ',', '","') || '"],"n_tombstones":' || n_tombstones
+            || ',"tombstone_bits":' || tombstone_xor || ',"version":' || version || '}}') AS checksum FROM x""",
+    "compact_segments": f"""
+        WITH {_R} SELECT collection_id, collection_id || '-compact-2' AS segment_id, vec_id FROM r WHERE NOT (vec_id % 7 = 0 OR vec_id % 11 = 0)""",
     "collection_status": """
         SELECT 'c' || vec_id % 2 AS collection_id, count(*) AS records, count(DISTINCT label) AS segments,
                sum(len(embedding) * 4)::BIGINT AS bytes, count(*) FILTER (vec_id % 11 = 0) AS tombstones

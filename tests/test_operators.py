@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import chunking, distill, ingest, keyword, publication, search, snapshots
 from tidemark.sources import extract
-from tidemark.streaming.cycle import read_registry, run_cycle, start
+from tidemark.streaming.cycle import live_records, read_registry, run_cycle, start
 
 
 def one(spark, column, **values):
@@ -198,6 +198,35 @@ def test_cycles(spark, tmp_path):
     (root / "sub" / "b.json").unlink()
     assert kinds(run_cycle(spark, str(root), registry, 1)) == [("a.txt", "modified"), ("b.json", "deleted"), ("bad.json", "unchanged"), ("d.docx", "unchanged")]
     assert kinds(run_cycle(spark, str(root), registry, 1))[0] == ("a.txt", "modified")  # the same batch again
+    alive = lambda: sorted((r.path.rsplit("/", 1)[1], r.chunk_text) for r in live_records(spark, registry).collect())
+    assert alive() == [("a.txt", "other"), ("d.docx", "Hello")]
+    dead = spark.read.parquet(f"{registry}/tombstones/batch=1").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in dead) == [("a.txt", "file_updated"), ("b.json", "file_deleted")]
+    assert spark.read.parquet(f"{registry}/decisions/batch=1").first().reason == "none"
+    (root / "a.txt").write_text("text")  # as it first was: the same chunk id is alive again
+    run_cycle(spark, str(root), registry, 2, budget_bytes=100)
+    assert spark.read.parquet(f"{registry}/decisions/batch=2").first().reason == "budget"
+    assert spark.read.parquet(f"{registry}/staged/batch=2").count() == 1  # the others were not read
+    assert alive() == [("a.txt", "text"), ("d.docx", "Hello")]
+    (root / "d.docx").unlink()
+    run_cycle(spark, str(root), registry, 3)
+    assert alive() == [("a.txt", "text")]
+
+
+def test_sql_dumps():
+    dump = """-- a dump
+CREATE TABLE public."users" (id integer NOT NULL, "full name" text DEFAULT 'a, b', PRIMARY KEY (id), CONSTRAINT c CHECK (id > 0));
+COPY public.users (id, "full name") FROM stdin;
+1\tAda L
+2\t\\N
+\\.
+/* more */ INSERT INTO `tags` (`k`, `v`) VALUES (1, 'it''s; (x)'), (2, NULL), (-3, 'a\\'b');
+INSERT INTO tags (v, k) VALUES ('z', 9);
+"""
+    users = "Table: users\nColumns: id, full name\n---\nid: 1, full name: Ada L\nid: 2, full name: "
+    tags = "Table: tags\nColumns: k, v\n---\nk: 1, v: it's; (x)\nk: 2, v: \nk: -3, v: a'b\nk: 9, v: z"
+    assert extract.sql_dump_text(dump) == f"{users}\n\n{tags}"
+    assert extract.sql_dump_text("SELECT 1;") == "SELECT 1;"
 
 
 def test_stream(spark, tmp_path):

@@ -78,22 +78,46 @@ def extract_json_flatten(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", extract.flatten_json(F.col("props")).alias("text"))
 
 
+# Files made of the tables' rows, twenty to a file, which the extractors then parse.
+
+
+def _file(rows, key, line, head=None, end=""):
+    """file_id and content: the lines of each file's rows in the order of the key."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("at"), line.alias("line")))), lambda x: x["line"]), "\n")
+    parts = [F.lit(head + "\n")] if head else []
+    return rows.groupBy(F.expr(f"{key} div 20").alias("file_id")).agg(F.concat(*parts, body, F.lit(end)).alias("content"))
+
+
+def _parsed(files, kind):
+    e = extract.extracted(F.lit(kind), F.col("content"))
+    return files.select("file_id", e.alias("e")).select("file_id", F.col("e.text").alias("text"), F.col("e.error").alias("error"))
+
+
 def extract_jsonl_rows(spark, sf_dir):
-    """Every event's properties as a labelled row of JSON lines."""
-    return _events(spark, sf_dir).select("event_id", F.concat(F.lit("k: "), F.coalesce(F.get_json_object("props", "$.k"), F.lit(""))).alias("line"))
+    """Events' properties as files of JSON lines, parsed to labelled rows."""
+    return _parsed(_file(_events(spark, sf_dir), "event_id", F.col("props")), "jsonl")
 
 
 def extract_csv_rows(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return o.select("o_orderkey", extract.labelled_row(o.columns).alias("line"))
+    """Orders as CSV files, with quotes, delimiters and line feeds in a field."""
+    o = read_table(spark, sf_dir, "orders")
+    note = F.concat(F.lit('"'), "o_orderstatus", F.lit(', ""'), "o_orderpriority", F.lit('""\nnext"'))
+    return _parsed(_file(o, "o_orderkey", F.concat_ws(",", "o_orderkey", "o_custkey", note), "o_orderkey,o_custkey,note"), "csv")
 
 
 def extract_tsv_rows(spark, sf_dir):
-    """Labelled rows with the header line in front of the first."""
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    line = extract.labelled_row(c.columns)
-    first = c.agg(F.min("c_custkey").alias("first"))
-    return c.join(F.broadcast(first)).select("c_custkey", F.when(F.col("c_custkey") == F.col("first"), F.concat(F.lit(extract.header_line(c.columns) + "\n"), line)).otherwise(line).alias("line"))
+    """Customers as TSV files; the header line stands in front of the rows."""
+    c = read_table(spark, sf_dir, "customer")
+    return _parsed(_file(c, "c_custkey", F.concat_ws("\t", "c_custkey", "c_name", "c_mktsegment"), "c_custkey\tc_name\tc_mktsegment"), "tsv")
+
+
+def extract_sql_dump(spark, sf_dir):
+    """Customers as SQL dumps: a table and one INSERT per row, with quotes in a value."""
+    c = read_table(spark, sf_dir, "customer")
+    values = F.concat_ws(", ", "c_custkey", F.concat(F.lit("'it''s "), "c_name", F.lit("; (x)'")), F.lit("NULL"))
+    line = F.concat(F.lit("INSERT INTO `customer` VALUES ("), values, F.lit(");"))
+    head = "-- dump\nCREATE TABLE IF NOT EXISTS `customer` (\n  `c_custkey` int NOT NULL,\n  `c_name` varchar(25),\n  c_note text,\n  PRIMARY KEY (`c_custkey`)\n);"
+    return _parsed(_file(c, "c_custkey", line, head, "\n"), "sql")
 
 
 def html_to_markdown(spark, sf_dir):
@@ -192,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *map(_filter_query, FILTERS), pipeline_counters, ingest_status, latency_summary, budget_action, extract_json_flatten,
-        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, html_to_markdown, extract_html, change_detection, chunk_sources_join,
+        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, extract_sql_dump, html_to_markdown, extract_html, change_detection, chunk_sources_join,
         memory_list, memory_assemble, rag_prompt, resolve_layer, eval_hit_at_k, eval_delta, eval_gate,
     )
 }
@@ -261,13 +285,19 @@ ORACLE = {
         SELECT user_id, CASE WHEN p > 95 THEN 'skip' WHEN p > 85 THEN 'compact' WHEN p > 70 THEN 'warn' ELSE 'normal' END AS action
         FROM (SELECT user_id, sum(k0) / count(*) * 2 AS p FROM {_EV} GROUP BY 1)""",
     "extract_json_flatten": "SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events",
-    "extract_jsonl_rows": "SELECT event_id, 'k: ' || coalesce(json_extract_string(props, '$.k'), '') AS line FROM events",
+    "extract_jsonl_rows": """
+        SELECT event_id // 20 AS file_id, 'Columns: k' || chr(10) || string_agg('k: ' || coalesce(json_extract_string(props, '$.k'), ''), chr(10) ORDER BY event_id) AS text,
+               NULL::VARCHAR AS error FROM events GROUP BY 1""",
     "extract_csv_rows": """
-        SELECT o_orderkey, 'o_orderkey: ' || o_orderkey || ', o_custkey: ' || o_custkey || ', o_orderstatus: ' || o_orderstatus
-            || ', o_orderpriority: ' || o_orderpriority AS line FROM orders""",
+        SELECT o_orderkey // 20 AS file_id, string_agg('o_orderkey: ' || o_orderkey || ', o_custkey: ' || o_custkey || ', note: ' || o_orderstatus || ', "'
+               || o_orderpriority || '"' || chr(10) || 'next', chr(10) ORDER BY o_orderkey) AS text, NULL::VARCHAR AS error FROM orders GROUP BY 1""",
     "extract_tsv_rows": """
-        SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer) THEN 'Columns: c_custkey, c_name, c_mktsegment' || chr(10) ELSE '' END
-            || 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_mktsegment: ' || c_mktsegment AS line FROM customer""",
+        SELECT c_custkey // 20 AS file_id, 'Columns: c_custkey, c_name, c_mktsegment' || chr(10) || string_agg('c_custkey: ' || c_custkey || ', c_name: ' || c_name
+               || ', c_mktsegment: ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS text, NULL::VARCHAR AS error FROM customer GROUP BY 1""",
+    "extract_sql_dump": """
+        SELECT c_custkey // 20 AS file_id, 'Table: customer' || chr(10) || 'Columns: c_custkey, c_name, c_note' || chr(10) || '---' || chr(10)
+               || string_agg('c_custkey: ' || c_custkey || ', c_name: it''s ' || c_name || '; (x), c_note: ', chr(10) ORDER BY c_custkey) AS text,
+               NULL::VARCHAR AS error FROM customer GROUP BY 1""",
     "html_to_markdown": f"""
         WITH x AS (SELECT page_id, {_html(_drop("html", ("script", "style", "nav", "header", "footer")))} AS t FROM pages)
         SELECT page_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_sha256 FROM x""",

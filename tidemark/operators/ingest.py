@@ -9,14 +9,33 @@ from tidemark.functions.text import CONTENT_TYPES, chunk_hash, chunk_id
 
 #: Larger files are left out.
 MOST_BYTES = 1 << 30
+#: Files that are named one by one to the reader.
+MOST_NAMED = 10_000
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, size and modified of the files that an extractor reads; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(CONTENT_TYPES) + "}").load(root)
+    return files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"/\.[^/]+")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def read_files(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """path, size, modified, content of the wanted (path) files: by name if they are few, else those of the whole folder."""
+    names = [r["path"] for r in wanted.select("path").limit(MOST_NAMED + 1).collect()]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if not names:
+        found = reader.load(root).where(F.lit(False))
+    elif len(names) <= MOST_NAMED:
+        found = spark.read.format("binaryFile").load(names)
+    else:
+        found = reader.load(root).join(wanted.select("path"), "path", "left_semi")
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """path, size, modified and fingerprint of the files that an extractor reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(CONTENT_TYPES) + "}").load(root)
-    return files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"/\.[^/]+")).select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("fingerprint")
-    )
+    files = list_files(spark, root)
+    return read_files(spark, root, files).select("path", "size", "modified", F.sha2("content", 256).alias("fingerprint"))
 
 
 def known_fingerprint(fingerprint: Column, signature: Column, current: Column) -> Column:

@@ -9,6 +9,7 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -152,6 +153,121 @@ def json_lines_text(content: str) -> str:
     return "\n".join([header_line(columns), *(", ".join(f"{c}: {shown(row.get(c))}" for c in columns) for row in rows)])
 
 
+#: Words of an SQL dump: comments, quoted text, names, numbers and punctuation.
+_SQL_WORD = re.compile(
+    r"""(?P<skip>\s+|--[^\n]*|/\*.*?\*/)|(?P<text>[eE]?'(?:[^'\\]|\\.|'')*')|(?P<name>"(?:[^"]|"")*"|`[^`]*`|\[[^\]]*\])|(?P<bare>[^\s,();'"`]+)|(?P<mark>.)""",
+    re.DOTALL,
+)
+#: What begins an entry of CREATE TABLE that is no column.
+_SQL_CONSTRAINTS = {"primary", "key", "unique", "index", "constraint", "foreign", "check", "fulltext", "exclude"}
+
+
+class _Dump:
+    """Tables of an SQL dump, read statement by statement: CREATE TABLE, INSERT INTO, and COPY with its rows."""
+
+    def __init__(self, content: str):
+        self.tables: dict[str, tuple[list[str], list[list[str]]]] = {}
+        self._text, self._at = content, 0
+        while (word := self._next()) is not None:
+            kind = word[1].lower()
+            if word[0] == "bare" and kind in ("create", "insert", "copy"):
+                getattr(self, f"_{kind}")()
+
+    def _next(self) -> tuple[str, str] | None:
+        while m := _SQL_WORD.match(self._text, self._at):
+            self._at = m.end()
+            if m.lastgroup != "skip":
+                return m.lastgroup, m[0]
+        return None
+
+    def _statement(self) -> Iterator[tuple[str, str]]:
+        while (word := self._next()) is not None and word != ("mark", ";"):
+            yield word
+
+    @staticmethod
+    def _name(word: str) -> str:
+        return ".".join(p.strip('"`[]') for p in word.split(".")).rsplit(".", 1)[-1]
+
+    @staticmethod
+    def _groups(words: Iterable[tuple[str, str]]) -> Iterator[list[list[tuple[str, str]]]]:
+        """The top-level parentheses, each as its entries between commas."""
+        depth, entries = 0, [[]]
+        for word in words:
+            if word == ("mark", "("):
+                depth += 1
+                if depth == 1:
+                    entries = [[]]
+                    continue
+            elif word == ("mark", ")"):
+                depth -= 1
+                if depth == 0:
+                    yield entries
+                    continue
+            if depth == 1 and word == ("mark", ","):
+                entries.append([])
+            elif depth:
+                entries[-1].append(word)
+
+    def _named(self, words: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str]]]:
+        """The table's name, and what follows from the first parenthesis on."""
+        at = words.index(("mark", "(")) if ("mark", "(") in words else len(words)
+        names = [w for kind, w in words[:at] if kind in ("name", "bare") and w.lower() != "values"]
+        return self._name(names[-1]) if names else "", words[at:]
+
+    def _create(self) -> None:
+        words = list(self._statement())
+        if "table" not in [w.lower() for _, w in words[:4]]:
+            return
+        name, rest = self._named(words)
+        for entries in self._groups(rest):
+            columns = [self._name(e[0][1]) for e in entries if e and e[0][1].lower() not in _SQL_CONSTRAINTS]
+            self.tables.setdefault(name, (columns, []))
+            return
+
+    @staticmethod
+    def _value(entry: list[tuple[str, str]]) -> str:
+        if len(entry) == 1 and entry[0][0] == "text":
+            body = entry[0][1].lstrip("eE")[1:-1].replace("''", "'")
+            return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(m[1], m[1]), body, flags=re.DOTALL)
+        text = "".join(w for _, w in entry)
+        return "" if text.lower() == "null" else text
+
+    def _insert(self) -> None:
+        words = list(self._statement())
+        at = next((i for i, w in enumerate(words) if w[1].lower() == "values"), None)
+        if at is None:
+            return
+        name, listed = self._named(words[:at])
+        columns = next(([self._name(e[0][1]) for e in entries if e] for entries in self._groups(listed)), None)
+        rows = [[self._value(e) for e in entries] for entries in self._groups(words[at + 1 :])]
+        if name not in self.tables:
+            self.tables[name] = (columns or [f"col{i + 1}" for i in range(len(rows[0]) if rows else 0)], [])
+        own = self.tables[name][0]
+        if columns and columns != own:
+            rows = [[dict(zip(columns, row, strict=False)).get(c, "") for c in own] for row in rows]
+        self.tables[name][1].extend(rows)
+
+    def _copy(self) -> None:
+        words = list(self._statement())
+        if [w.lower() for _, w in words[-2:]] != ["from", "stdin"]:
+            return
+        name, listed = self._named(words[:-2])
+        columns = next(([self._name(e[0][1]) for e in entries if e] for entries in self._groups(listed)), [])
+        body, mark, _ = self._text[self._at :].lstrip("\n").partition("\n\\.")
+        self._at = self._text.index(body, self._at) + len(body) + len(mark) if body else self._at
+        own = self.tables.setdefault(name, (columns, []))
+        own[1].extend([["" if x == "\\N" else x for x in line.split("\t")] for line in body.split("\n") if line])
+
+
+def sql_dump_text(content: str) -> str:
+    """Tables of an SQL dump as labelled rows; a dump without tables as it is."""
+    sections = []
+    for name, (columns, rows) in _Dump(content).tables.items():
+        lines = [", ".join(f"{c}: {row[i] if i < len(row) else ''}" for i, c in enumerate(columns)) for row in rows]
+        sections.append("\n".join([f"Table: {name}", header_line(columns), "---", *lines]))
+    return "\n\n".join(sections) if sections else content
+
+
 def _zip_texts(content: bytes, pattern: str, tag: str, joint: str) -> list[str]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = sorted((int(m[1] or 0), n) for n in z.namelist() if (m := re.fullmatch(pattern, n)))
@@ -182,7 +298,9 @@ def extract_bytes(kind: str, content: bytes) -> str:
         return json_lines_text(text)
     if kind == "json":
         return "\n".join(flat_lines(json.loads(text)))
-    if kind in ("txt", "md", "log", "html", "sql"):
+    if kind == "sql":
+        return sql_dump_text(text)
+    if kind in ("txt", "md", "log", "html"):
         return text
     raise ValueError(f"no extractor for {kind}")
 
@@ -199,9 +317,15 @@ def _extract(kind: pa.Array, content: pa.Array) -> pa.Array:
     return pa.array(made, pa.struct([("text", pa.string()), ("error", pa.string())]))
 
 
+def extracted(kind: Column, content: Column) -> Column:
+    """Struct of text and error of a file's content (binary) of a kind; HTML passes through for the expressions."""
+    return _extract(kind, content.cast("binary"))
+
+
 def extract_files(files: DataFrame) -> DataFrame:
-    """(path, content) to path, content_type, text, error; HTML through the expressions."""
+    """(path, content, ...) to path, content_type, text, error and the further columns; HTML through the expressions."""
     kind = content_type(F.col("path"))
-    read = files.select("path", kind.alias("content_type"), _extract(kind, F.col("content")).alias("e"))
+    others = [c for c in files.columns if c not in ("path", "content")]
+    read = files.select("path", *others, kind.alias("content_type"), _extract(kind, F.col("content")).alias("e"))
     text = F.when(F.col("content_type") == "html", extract_html(F.col("e.text"))).otherwise(F.col("e.text"))
-    return read.select("path", "content_type", text.alias("text"), F.col("e.error").alias("error"))
+    return read.select("path", "content_type", text.alias("text"), F.col("e.error").alias("error"), *others)

@@ -1,8 +1,11 @@
 """Periodic re-ingestion with Structured Streaming.
 
 The stream only says when to run: a file source never reports deletions, so each cycle compares a
-full listing with the registry. A cycle's outcome is a registry version of its own, written under the
-batch's number, so a batch that runs again after a failure overwrites its own version and no other.
+full listing with the registry. A file of the same size and time as before isn't read. What is new or changed
+is read once, extracted, chunked and embedded to records; the chunks that a changed or deleted file had become
+tombstones; then storage use and tombstones decide whether the records are compacted. All a cycle makes goes
+into folders of the batch's number, the registry last, so a batch that runs again after a failure overwrites
+its own folders and no other.
 """
 
 from __future__ import annotations
@@ -11,10 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.ingest import change_set, scan_files
+from tidemark.functions.text import normalize_text
+from tidemark.operators import chunking, snapshots
+from tidemark.operators.ingest import build_records, change_set, list_files, mock_embedding, pipeline_signature, read_files
 from tidemark.sources.extract import extract_files
 
 REGISTRY = "path string, size long, modified timestamp, fingerprint string, status string, error string"
+RECORDS = "path string, chunk_id string, chunk_text string, vector array<double>, batch int"
+TOMBSTONES = "chunk_id string, path string, reason string, batch int"
+DECISIONS = "batch int, records long, tombstones long, bytes long, budget string, reason string"
+#: Bytes of records that count as a full storage, and dimension of the embedding.
+BUDGET_BYTES, DIMENSION = 1 << 40, 16
 
 
 def _versions(spark: SparkSession, registry: str) -> list[int]:
@@ -34,23 +44,83 @@ def read_registry(spark: SparkSession, registry: str, before: int | None = None)
     return spark.read.schema(REGISTRY).parquet(f"{registry}/batch={found[-1]}")
 
 
-def run_cycle(spark: SparkSession, root: str, registry: str, batch: int) -> DataFrame:
-    """One cycle: list, compare, extract what is new or changed, and write the registry. Returns the changes.
+def _read(spark: SparkSession, registry: str, name: str, schema: str, since: int = -1, before: int | None = None) -> DataFrame:
+    """The rows that the batches wrote, one folder each."""
+    folders = [f"{registry}/{name}/batch={v}" for v in _versions(spark, f"{registry}/{name}") if v >= since and (before is None or v < before)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def live_records(spark: SparkSession, registry: str, before: int | None = None) -> DataFrame:
+    """Records since the last compaction, which wrote all that was alive, without their tombstones."""
+    whole = [v for v in _versions(spark, f"{registry}/compacted") if before is None or v < before]
+    since = whole[-1] if whole else -1
+    base = spark.read.schema(RECORDS).parquet(f"{registry}/compacted/batch={since}") if whole else spark.createDataFrame([], RECORDS)
+    records = base.unionByName(_read(spark, registry, "records", RECORDS, since + 1, before))
+    dead = _read(spark, registry, "tombstones", TOMBSTONES, since + 1, before).select("chunk_id", F.col("batch").alias("died"))
+    # A chunk that comes back in or after the batch of its tombstone is alive.
+    gone = (records["chunk_id"] == dead["chunk_id"]) & (records["batch"] < dead["died"])
+    return records.join(dead, gone, "left_anti")
+
+
+def _records_of(texts: DataFrame, batch: int) -> DataFrame:
+    """Records of (path, content_type, text): each file by the chunker that suits it."""
+    docs = texts.select("path", "content_type", normalize_text(F.col("text")).alias("text"), chunking.strategy(F.col("path")).alias("strategy"))
+    made = None
+    for name in ("markdown", "structured", "fixed"):
+        own = chunking.chunk(docs.where(F.col("strategy") == name).drop("strategy"), "text", name)
+        made = own if made is None else made.unionByName(own)
+    chunks = made.select(F.sha2("path", 256).alias("doc_id"), F.lit("1.0.0").alias("doc_version"), F.col("path").alias("source_uri"), "content_type", "text", "label", "offset")
+    signature = pipeline_signature("1.0.0", "1.0.0", chunking.SIZE, chunking.OVERLAP, "auto")
+    records = build_records(chunks, signature, f"mock-{DIMENSION}")
+    return records.select(
+        F.col("metadata.source_uri").alias("path"), "chunk_id", "chunk_text", mock_embedding(F.col("chunk_text"), DIMENSION).alias("vector"), F.lit(batch).alias("batch")
+    )
+
+
+def _decide(spark: SparkSession, registry: str, batch: int, budget_bytes: int) -> None:
+    """Why to compact, if at all, and the compacted records."""
+    live, cycles = live_records(spark, registry), batch - max(_versions(spark, f"{registry}/compacted"), default=-1)
+    since = batch - cycles
+    count = live.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.octet_length("chunk_text") + 8 * F.size("vector")), F.lit(0)).alias("bytes"))
+    dead = _read(spark, registry, "tombstones", TOMBSTONES, since + 1).agg(F.count(F.lit(1)).alias("tombstones"))
+    budget = snapshots.budget_action(F.col("bytes") * 100 / budget_bytes)
+    reason = snapshots.compaction_decision(budget, F.col("tombstones"), F.col("records") + F.col("tombstones"), F.lit(cycles))
+    told = count.crossJoin(dead).select(F.lit(batch).alias("batch"), "records", "tombstones", F.col("bytes").cast("long").alias("bytes"), budget.alias("budget"), reason.alias("reason"))
+    told.write.mode("overwrite").parquet(f"{registry}/decisions/batch={batch}")
+    if spark.read.schema(DECISIONS).parquet(f"{registry}/decisions/batch={batch}").first()["reason"] != "none":
+        live.write.mode("overwrite").parquet(f"{registry}/compacted/batch={batch}")
+
+
+def run_cycle(spark: SparkSession, root: str, registry: str, batch: int, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
+    """One cycle, from listing to compaction. Returns the changes (path, change_type).
 
     A file whose extraction fails is registered with its error; it is tried again when it changes.
     """
-    scan = scan_files(spark, root)
     known = read_registry(spark, registry, before=batch)
-    changes = change_set(scan, known)
-    fresh = changes.where("change_type IN ('added', 'modified')").select("path")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    tried = extract_files(content.join(fresh, "path", "left_semi")).select("path", "error")
-    done = scan.join(fresh, "path", "left_semi").join(tried, "path", "left")
-    new = done.select("path", "size", "modified", "fingerprint", F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "error")
-    same = known.join(changes.where("change_type = 'unchanged'").select("path"), "path", "left_semi")
-    changes = changes.persist()
-    changes.count()
-    new.unionByName(same).write.mode("overwrite").parquet(f"{registry}/batch={batch}")
+    listed = list_files(spark, root)
+    stat = known.select("path", F.col("size").alias("s"), F.col("modified").alias("m"), F.col("fingerprint").alias("was"))
+    listed = listed.join(stat, "path", "left")
+    same_stat = F.coalesce((F.col("size") == F.col("s")) & (F.col("modified") == F.col("m")), F.lit(False))
+    touched = read_files(spark, root, listed.where(~same_stat))
+    staged = f"{registry}/staged/batch={batch}"
+    extract_files(touched.withColumn("fingerprint", F.sha2("content", 256))).write.mode("overwrite").parquet(staged)
+    read = spark.read.parquet(staged)
+    unread = listed.where(same_stat).select("path", "size", "modified", F.col("was").alias("fingerprint"))
+    scan = read.select("path", "size", "modified", "fingerprint").unionByName(unread)
+    change_set(scan, known).write.mode("overwrite").parquet(f"{registry}/changes/batch={batch}")
+    changes = spark.read.parquet(f"{registry}/changes/batch={batch}")
+    fresh = read.join(changes.where("change_type IN ('added', 'modified')"), "path", "left_semi")
+    _records_of(fresh.where("error IS NULL"), batch).write.mode("overwrite").parquet(f"{registry}/records/batch={batch}")
+    left = changes.where("change_type IN ('modified', 'deleted')").select("path", F.concat(F.lit("file_"), F.when(F.col("change_type") == "deleted", "deleted").otherwise("updated")).alias("reason"))
+    dead = live_records(spark, registry, before=batch).join(left, "path").select("chunk_id", "path", "reason", F.lit(batch).alias("batch"))
+    dead.write.mode("overwrite").parquet(f"{registry}/tombstones/batch={batch}")
+    _decide(spark, registry, batch, budget_bytes)
+    status = F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")
+    new = fresh.select("path", "size", "modified", "fingerprint", status, "error")
+    same = changes.where("change_type = 'unchanged'").select("path")
+    # A file that was read but is the same keeps its status under its new time.
+    kept = known.select("path", "fingerprint", "status", "error").join(scan.join(same, "path", "left_semi").select("path", "size", "modified"), "path")
+    new.unionByName(kept.select(new.columns)).write.mode("overwrite").parquet(f"{registry}/batch={batch}")
     return changes
 
 
@@ -61,7 +131,6 @@ def start(spark: SparkSession, root: str, registry: str, checkpoint: str, interv
         changes = run_cycle(spark, root, registry, batch)
         if on_cycle:
             on_cycle(changes, batch)
-        changes.unpersist()
 
     if interval is None:
         ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()

@@ -68,6 +68,8 @@ def near(words):
         texts.append(" ".join(w))
     for i in range(6):
         texts.append(" ".join(other[: 60 - i]))
+    for n in (90, 96, 108, 120, 135, 150, 168, 187):  # sets of many sizes with a common beginning
+        texts.append(words(52, n))
     return [*texts, texts[0], texts[0], "one two", "one two", "one two three", "", None, " \n", words(60, 9000), words(60, 9000) + " z"] + [
         words(200 + i, 40) for i in range(40)
     ]

@@ -207,6 +207,61 @@ def test_license_templates_find_themselves(spark):
     assert all(n == pytest.approx(1) for n in norms.values()) and len(norms) == len(names)
 
 
+def test_licenses_against_brute_force_cosines(spark):
+    """One-sentence files: cosines by dictionaries, and the nearest licensed ancestor by walking up."""
+    import math
+    import random
+    from collections import Counter
+
+    templates = [(name, Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower()))) for name, own in sorted(TEMPLATES.items()) for t in own]
+    df = Counter(term for _, c in templates for term in c)
+    idf = lambda term: 1 + math.log((1 + len(templates)) / (1 + df[term]))
+
+    def vector(counts):
+        return {t: (1 + math.log(n)) * idf(t) for t, n in counts.items()}
+
+    def cosine(a, b):
+        dot = sum(w * b[t] for t, w in a.items() if t in b)
+        norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+        return dot / (norm(a) * norm(b)) if a and b else 0.0
+
+    known = [(name, vector(c)) for name, c in templates]
+
+    def best(text):
+        parts = [text] + [m[1] for m in [re.search(r"(?i)(?:licen[cs]ed|released|distributed|available|published|provided)\s+(under\s.*)", text)] if m]
+        found = [(-round(cosine(vector(Counter(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", p.lower()))), v), 9), name) for p in parts for name, v in known]
+        score, name = min(found)
+        return (name, -score) if -score >= 0.7 else (None, None)
+
+    r = random.Random(5)
+    short = [t for own in TEMPLATES.values() for t in own if len(t) < 400 and not re.search(r"[.!?]\s", t) and re.search("(?i)licen[cs]e", t)]
+    rows = []
+    for i in range(120):
+        w = r.choice(short).split()
+        for _ in range(r.randrange(6)):  # words that change the cosine, up to losing the licence
+            w.insert(r.randrange(len(w)), r.choice(["this", "work", "license", "copy", "alpha", "beta", "under", "version"]))
+        folder = "/".join(r.choice("ab") for _ in range(r.randrange(4)))
+        name = r.choice(["LICENSE", "x.py", "y.c"]) + str(i)
+        rows.append((i, " ".join(w) if r.random() < 0.8 else "nothing to see here", f"{folder}/{name}".lstrip("/")))
+    got = {g.doc_id: g for g in license_scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    own = {i: best(t) if re.search("(?i)licen[cs]e|copyright", t) else (None, None) for i, t, _ in rows}
+    files = defaultdict(list)
+    for i, t, path in rows:
+        if own[i][0]:  # one sentence is all of the file, so each is a licence file
+            files[path.rpartition("/")[0]].append((-own[i][1], own[i][0]))
+    assert sum(o[0] is not None for o in own.values()) > 40
+    for i, _, path in rows:
+        if own[i][0]:
+            assert (got[i].license, got[i].origin) == (own[i][0], "file")
+            assert got[i].score == pytest.approx(own[i][1], abs=1e-8)
+            continue
+        folder = path.rpartition("/")[0]
+        while folder and folder not in files:
+            folder = folder.rpartition("/")[0]
+        want = min(files[folder])[1] if folder in files else None
+        assert (got[i].license, got[i].origin) == (want, "inherited" if want else None), path
+
+
 def brute_topk(vectors, asked, k):
     """Every row is a candidate; a query is an id."""
     rows = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]

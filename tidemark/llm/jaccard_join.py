@@ -5,7 +5,8 @@ numbers of bands and rows are chosen for a target recall at the threshold. Repre
 shuffled on their band hashes; buckets of one are dropped, as are buckets whose members another
 band's bucket holds alike. The members' n-gram sets are then compared in blocks: a large bucket is
 dealt into parts, and each pair of parts is one task's work, so neither a task nor a row grows with
-the bucket. A block returns one row per member, its number of links and the root of its local
+the bucket. Parts of a large bucket hold sets of like size, and only those meet whose sizes the threshold
+allows. A block returns one row per member, its number of links and the root of its local
 tree, never pairs. A pair that meets in several bands counts in the first. The local trees are joined
 to classes by distributed connected components.
 
@@ -17,6 +18,7 @@ copies; an empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -237,22 +239,39 @@ def jaccard_classes(
         .select(
             "at.band",
             "at.hash",
-            F.greatest(F.ceil(F.col("members") / PART_ROWS), F.ceil(F.col("at.grams") / PART_GRAMS)).cast("int").alias("parts"),
+            ((F.col("members") > PART_ROWS) | (F.col("at.grams") > PART_GRAMS)).alias("large"),
             F.monotonically_increasing_id().alias("bucket"),
         )
     )
     buckets = materialize(buckets, "buckets")
-    members = materialize(placed.select("rep", "band", "hash").join(buckets, ["band", "hash"]).select("rep", "band", "bucket", "parts"), "members")
+    # Sets whose Jaccard similarity reaches the threshold lie in the same or in neighbouring classes of size.
+    like = F.floor(F.log("n_grams") / (-log(threshold) * (1 + 1e-9))) if threshold < 1 else F.col("n_grams")
+    members = materialize(
+        placed.select("rep", "band", "hash", "n_grams")
+        .join(buckets, ["band", "hash"])
+        .select("rep", "band", "bucket", "n_grams", F.when(F.col("large"), like).otherwise(0).cast("int").alias("size_class")),
+        "members",
+    )
+    grid = (
+        members.groupBy("bucket", "size_class")
+        .agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n_grams") / PART_GRAMS)).cast("int").alias("parts"))
+        .groupBy("bucket")
+        .agg(F.collect_list(F.struct("size_class", "parts")).alias("classes"))  # a hundred classes reach sets of 5e9 n-grams
+    )
     active = members.select("rep").distinct()
     wanted = materialize(reps.join(active, "rep").select("rep", "weight", "bands", "rep_doc", "rep_hash"), "active")
     texts = keyed.join(
         wanted.select("rep", "rep_doc", "rep_hash"), F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("text_hash") == F.col("rep_hash"))
     ).select("rep", "text")
     sets = texts.mapInArrow(_sets(n), "rep long, grams binary").groupBy("rep").agg(F.first("grams").alias("grams"))
-    part = F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int")
+    own_parts = F.element_at(F.filter("classes", lambda c: c["size_class"] == F.col("size_class")), 1)["parts"]
+    near = F.filter("classes", lambda c: F.abs(c["size_class"] - F.col("size_class")) <= 1)
+    label = lambda size_class, n: (size_class.cast("long") * 2**32 + n).cast("long")
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda n: label(c["size_class"], n))))
     blocks = (
-        members.withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        members.join(grid, "bucket")
+        .withColumn("part", label(F.col("size_class"), F.pmod(F.xxhash64("rep", "bucket"), own_parts)))
+        .withColumn("other", F.explode(others))
         .select("rep", "band", "bucket", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         .join(wanted.select("rep", "weight", "bands"), "rep")
         .join(sets, "rep")

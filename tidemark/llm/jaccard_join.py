@@ -249,14 +249,17 @@ def jaccard_classes(
     members = materialize(
         placed.select("rep", "band", "hash", "n_grams")
         .join(buckets, ["band", "hash"])
-        .select("rep", "band", "bucket", "n_grams", F.when(F.col("large"), like).otherwise(0).cast("int").alias("size_class")),
+        .select("rep", "band", "bucket", "large", "n_grams", F.when(F.col("large"), like).otherwise(0).cast("int").alias("size_class")),
         "members",
     )
-    grid = (
-        members.groupBy("bucket", "size_class")
+    # Of the large buckets only, so that this table is small beside the members and its size is known to the join.
+    grid = materialize(
+        members.where("large")
+        .groupBy("bucket", "size_class")
         .agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n_grams") / PART_GRAMS)).cast("int").alias("parts"))
         .groupBy("bucket")
-        .agg(F.collect_list(F.struct("size_class", "parts")).alias("classes"))  # a hundred classes reach sets of 5e9 n-grams
+        .agg(F.collect_list(F.struct("size_class", "parts")).alias("classes")),  # a hundred classes reach sets of 5e9 n-grams
+        "large-buckets",
     )
     active = members.select("rep").distinct()
     wanted = materialize(reps.join(active, "rep").select("rep", "weight", "bands", "rep_doc", "rep_hash"), "active")
@@ -269,7 +272,8 @@ def jaccard_classes(
     label = lambda size_class, n: (size_class.cast("long") * 2**32 + n).cast("long")
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["parts"] - 1), lambda n: label(c["size_class"], n))))
     blocks = (
-        members.join(grid, "bucket")
+        members.join(grid, "bucket", "left")
+        .withColumn("classes", F.coalesce("classes", F.array(F.struct(F.lit(0).alias("size_class"), F.lit(1).alias("parts")))))
         .withColumn("part", label(F.col("size_class"), F.pmod(F.xxhash64("rep", "bucket"), own_parts)))
         .withColumn("other", F.explode(others))
         .select("rep", "band", "bucket", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))

@@ -24,8 +24,9 @@ from tidemark.llm.chunk_table import ChunkTable, portions
 from tidemark.llm.vocabulary import TokenizerFile
 from tidemark.llm.worker import PAIR_BYTES, releasing
 
-#: Pair tests and pieces that a task remembers, each of them: some 20 MB.
-REMEMBER = 80_000
+#: Pair tests and pieces that a worker keeps from task to task, each of them, and bytes of chunks. Learning them anew
+#: in each task would take more CPU time than the encoding itself.
+REMEMBER, CHUNK_BYTES = 400_000, 80_000_000
 
 _ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\x09-\x0d\x20]+")
 
@@ -74,10 +75,6 @@ class PrefixBpe:
         self.file = file
         self._symbols = {i: self._cut(t) for t, i in file.vocab.items()}
         self._automaton = SuffixAutomaton({s: i for i, s in self._symbols.items()})
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop what was learned from texts; the vocabulary's own tables stay."""
         self._apart: dict[tuple[int, int], bool] = {}
         self._pieces: dict[str, list[int]] = {}
 
@@ -152,23 +149,19 @@ class PrefixBpe:
         return " ".join([names[i] for i in ids])
 
 
-#: Vocabularies that a worker has read.
-_LOADED: dict[str, PrefixBpe] = {}
+_LOADED: dict[str, ChunkTable] = {}
 
 
-def _loaded(path: str) -> PrefixBpe:
+def _table(path: str) -> ChunkTable:
     if path not in _LOADED:
-        _LOADED[path] = PrefixBpe(TokenizerFile(path))
+        size = lambda both: PAIR_BYTES // 2 + len(both[0]) + len(both[1])
+        _LOADED[path] = ChunkTable(PrefixBpe(TokenizerFile(path)).encode_chunks, size, CHUNK_BYTES)
     return _LOADED[path]
 
 
-def _table(bpe: PrefixBpe) -> ChunkTable:
-    return ChunkTable(bpe.encode_chunks, lambda both: PAIR_BYTES // 2 + len(both[0]) + len(both[1]))
-
-
 def encode_text(path: str, text: str) -> tuple[bytes, str]:
     """Ids, little-endian, and decoded text of one text."""
-    values = _table(_loaded(path)).look_up([text.encode()])[0]
+    values = _table(path).look_up([text.encode()])[0]
     return b"".join([v[0] for v in values]), b" ".join([v[1] for v in values if v[1]]).decode()
 
 
@@ -177,13 +170,7 @@ _OUT = "n_tokens long, ids binary, decoded string"
 
 def _encoder(path: str, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(path)
-        try:
-            yield from encoded(_table(bpe), batches)
-        finally:
-            bpe.forget()
-
-    def encoded(table: ChunkTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(path)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for start, some in portions(texts):

@@ -1,4 +1,4 @@
-"""A task's table of white-space-delimited chunks and what they encode to.
+"""A worker's table of white-space-delimited chunks and what they encode to.
 
 White space (bytes 9-13 and 32) always ends a piece of the vocabularies used here, so a text encodes
 to the concatenation of what its chunks encode to. ASCII letters may be lowered first, because the
@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from tidemark.llm.worker import CACHE_BYTES, PAIR_BYTES
+from tidemark.llm.worker import PAIR_BYTES
 
 
 class ChunkTable:
     """Remembers chunks up to ``budget`` bytes; further ones are encoded whenever they are met."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], size: Callable[[object], int] = len, budget: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[list[bytes]], list], size: Callable[[object], int] = len, budget: int = 40_000_000):
         self._encode, self._size, self._known, self._left = encode, size, {}, budget
 
     def look_up(self, texts: list[bytes]) -> list[list]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_table import ChunkTable, portions
 from tidemark.llm.vocabulary import byte_alphabet
-from tidemark.llm.worker import CACHE_BYTES, PAIR_BYTES, releasing
+from tidemark.llm.worker import PAIR_BYTES, releasing
 from tidemark.session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
@@ -42,7 +42,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 class _Encoder:
     """Chunks to ids with the ``tokenizers`` library; plain chunks by the pieces they are cut into."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, budget: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,11 +53,7 @@ class _Encoder:
         alphabet = byte_alphabet()
         self._alphabet = {c: "".join([alphabet[b] for b in chr(c).encode()]) for c in range(256)}
         self._pieces: dict[str, bytes] = {}
-        self._left = 0
-
-    def start(self, budget: int) -> None:
-        """A task begins: pieces are remembered anew, up to so many bytes."""
-        self._pieces, self._left = {}, budget
+        self._left = budget
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,24 +77,23 @@ class _Encoder:
         return out
 
 
-#: Tokenizers that a worker has read.
-_LOADED: dict[str, _Encoder] = {}
+#: What a worker keeps from task to task: the tokenizer, and chunks and pieces up to these bytes. Learning them
+#: anew in each task would take a third more CPU time.
+CHUNK_BYTES, PIECE_BYTES = 50_000_000, 70_000_000
+_LOADED: dict[str, ChunkTable] = {}
+
+
+def _table(path: str) -> ChunkTable:
+    if path not in _LOADED:
+        _LOADED[path] = ChunkTable(_Encoder(path, PIECE_BYTES), budget=CHUNK_BYTES)
+    return _LOADED[path]
 
 
 def _cut(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _LOADED:
-            _LOADED[path] = _Encoder(path)
-        encoder = _LOADED[path]
-        encoder.start(CACHE_BYTES // 2)
-        try:
-            yield from cut(ChunkTable(encoder), batches)
-        finally:
-            encoder.start(0)
-
-    def cut(table: ChunkTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(path)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, some in portions(texts):

@@ -1,4 +1,4 @@
-"""What a reused Python worker holds from one task to the next: its code and vocabularies, no task's data."""
+"""What a reused Python worker holds from one task to the next: vocabularies with caches of a bounded size, nothing else."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from functools import wraps
 
 import pyarrow as pa
 
-#: Bytes that a task's caches may hold in one worker, keys and values with what Python adds to them.
-CACHE_BYTES = 40_000_000
 #: What Python adds to a pair of a dictionary.
 PAIR_BYTES = 200
 

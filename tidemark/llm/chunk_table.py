@@ -31,17 +31,18 @@ class ChunkTable:
         if missing:
             fresh = list(missing.difference(known))
             made = dict(zip(fresh, self._encode(fresh), strict=True))
+            known.update(made)
             for i, chunks in waiting:
-                out[i] = [made[c] if c in made else known[c] for c in chunks]
+                out[i] = list(map(known.get, chunks))
             for chunk, value in made.items():
-                self._left -= PAIR_BYTES + len(chunk) + self._size(value)
-                if self._left < 0:
-                    break
-                known[chunk] = value
+                if self._left > 0:
+                    self._left -= PAIR_BYTES + len(chunk) + self._size(value)
+                else:
+                    del known[chunk]
         return out
 
 
-def portions(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def portions(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``most`` bytes, with the place of the first."""
     start, size = 0, 0
     for i, text in enumerate(texts):

@@ -69,6 +69,10 @@ class _Encoder:
     def __call__(self, chunks: list[bytes]) -> list[bytes]:
         get, out = self._pieces.get, []
         for chunk in chunks:
+            if chunk.isalpha():  # letters of ASCII are one piece
+                piece = chunk.decode().lower()
+                out.append(get(piece) or self._piece(piece))
+                continue
             text = chunk.decode("utf-8", "replace")
             if _PLAIN.fullmatch(text):
                 out.append(b"".join([get(p) or self._piece(p) for p in _PIECE.findall(text.lower())]))
@@ -79,7 +83,7 @@ class _Encoder:
 
 #: What a worker keeps from task to task: the tokenizer, and chunks and pieces up to these bytes. Learning them
 #: anew in each task would take a third more CPU time.
-CHUNK_BYTES, PIECE_BYTES = 50_000_000, 70_000_000
+CHUNK_BYTES, PIECE_BYTES = 130_000_000, 100_000_000
 _LOADED: dict[str, ChunkTable] = {}
 
 

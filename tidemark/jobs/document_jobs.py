@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.jobs import chunk_sql
 from tidemark.operators import chunking, distill, ingest
 from tidemark.session import read_table, spread_small
 
@@ -272,6 +273,24 @@ def chunk_count_by_source(spark, sf_dir):
     return _paragraphs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+def chunk_quality(spark, sf_dir):
+    """Chunks of the structured chunker, characters, duplicates and their ratio per source."""
+    c = _chunks(spark, sf_dir, "structured")
+    own = c.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    return own.groupBy("source").agg(
+        F.sum("n").alias("chunks"),
+        F.sum("chars").alias("chars"),
+        F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_chars"),
+        F.sum(F.col("n") - 1).alias("duplicates"),
+        F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("duplicate_ratio"),
+    )
+
+
+def chunk_labels(spark, sf_dir):
+    """Chunks of the structured chunker per source and label."""
+    return _chunks(spark, sf_dir, "structured").groupBy("source", "label").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def semantic_records(spark, sf_dir):
     """Ids of the semantic units and of their records, from title, summary and answer."""
     d = _docs(spark, sf_dir).select("doc_id", "text", T.sentences(F.col("text")).alias("parts"))
@@ -290,7 +309,7 @@ QUERIES = {
         sentence_scores, distill_title, distill_summary, distill_answer, distill_keywords, distill_question, distill_entities,
         distill_themes, noise_flags, quality_signals, dedup_key, duplicate_groups, bundle_diagnostics, approval_gate, redact, mock_embed,
         chunk_markdown_sections, log_entries, *map(_chunk_query, chunking.CHUNKERS), chunk_ids, build_records, validate_records,
-        ingest_quality, duplicate_ratio, label_distribution, chunk_count_by_source, semantic_records,
+        ingest_quality, duplicate_ratio, label_distribution, chunk_count_by_source, chunk_quality, chunk_labels, semantic_records,
     )
 }
 
@@ -453,3 +472,5 @@ ORACLE = {
             'semantic:' || sha256(doc_id || ':0:' || lower(trim(regexp_replace(title || chr(10) || summary || chr(10) || answer, '\s+', ' ', 'g')))) AS chunk_id,
             sha256(title || chr(10) || chr(10) || summary || chr(10) || chr(10) || answer) AS text_sha256 FROM distilled""",
 }
+
+ORACLE |= chunk_sql.oracles(_D, _L, _TITLE, _KEYWORDS, _ENTITIES)

@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.functions.filters import Field, cli_filter, compile_filter
+from tidemark.functions.filters import Field, cli_filter, compile_filter, filter_errors
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,11 @@ def test_command_line_options():
     assert cli_filter("a", None, "table") == {"source_uri": "a", "chunk_label": "table"}
     with pytest.raises(ValueError):
         cli_filter(content_type="exe", known_types=("txt",))
+
+
+def test_filter_errors():
+    good = {"a": "x", "b": 1, "c": None, "d": True, "e": ["x", 2], "f": {"$gt": 1, "$ne": None, "$in": ["x"], "$like": {}}}
+    assert filter_errors(good) == [] == filter_errors({})
+    assert filter_errors([1]) == ["a filter is a mapping"]
+    bad = {"a": [True], "b": {"$gt": True, "$in": "x", "$nin": [None], "$ne": [1]}, 3: "x", "c": object()}
+    assert filter_errors(bad) == ["a: unfit value", "b.$gt: unfit value", "b.$in: unfit value", "b.$nin: unfit value", "b.$ne: unfit value", "3: a field name is a string", "c: unfit value"]

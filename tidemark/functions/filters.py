@@ -80,6 +80,36 @@ def compile_filter(document: Any, fields: dict[str, Field]) -> Column:
     return _all([_field(fields.get(k), v) for k, v in document.items()])
 
 
+def _scalars(values: Any) -> bool:
+    return isinstance(values, (list, tuple)) and all(kind_of(v) in ("number", "string") for v in values)
+
+
+def _fits(name: str, value: Any) -> bool:
+    if name in _ORDER:
+        return kind_of(value) in ("number", "string")
+    if name == "$ne":
+        return value is None or kind_of(value) is not None
+    return _scalars(value) if name in ("$in", "$nin") else True
+
+
+def filter_errors(document: Any) -> list[str]:
+    """What a caller should hear about a filter document before it is compiled; nothing if it is well formed.
+
+    Unknown operators are well formed, though no row passes them.
+    """
+    if not isinstance(document, dict):
+        return ["a filter is a mapping"]
+    found = []
+    for field, condition in document.items():
+        if not isinstance(field, str):
+            found.append(f"{field!r}: a field name is a string")
+        elif isinstance(condition, dict):
+            found += [f"{field}.{op}: unfit value" for op, value in condition.items() if not _fits(op, value)]
+        elif not (condition is None or kind_of(condition) or _scalars(condition)):
+            found.append(f"{field}: unfit value")
+    return found
+
+
 def cli_filter(source: str | None = None, content_type: str | None = None, label: str | None = None, known_types: tuple[str, ...] = ()) -> dict:
     """The filter document of the command-line options; an unknown content type is an error."""
     if content_type is not None and known_types and content_type not in known_types:

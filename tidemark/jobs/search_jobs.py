@@ -77,6 +77,16 @@ def explain_vector(spark, sf_dir):
     return top.join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", "doc_id", F.substring("text", 1, 200).alias("preview"))
 
 
+def search_requests(spark, sf_dir):
+    """Documents as search requests, with the vector of their id if there is one; each is accepted or refused."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    mode = F.element_at(F.array(*map(F.lit, ("vector", "keyword", "hybrid", "fuzzy"))), (F.col("n_chars") % 4 + 1).cast("int"))
+    text = F.when(F.col("n_chars") % 3 > 0, F.col("text")).otherwise(" \n")
+    why = S.request_error(F.when(F.col("source") != "src3", F.col("source")), F.col("n_chars") % 9, mode, F.col("embedding"), text)
+    return d.join(e, "doc_id", "left").select("doc_id", F.coalesce(why, F.lit("accepted")).alias("outcome"))
+
+
 # Bundles: a document's is its source and group of ten ids; its units are the documents.
 
 
@@ -149,7 +159,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, search_keyword, keyword_normalized, search_trigram, search_hybrid, search_hybrid_unfiltered_kw,
-        search_hybrid_all, explain_vector,
+        search_hybrid_all, explain_vector, search_requests,
         list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, semantic_publish, semantic_rollback,
         semantic_unpublish, bundle_upsert,
     )
@@ -221,6 +231,11 @@ ORACLE = {
     "search_hybrid_all": _hybrid_sql("TRUE", "TRUE"),
     "explain_vector": f"""
         WITH {_BM25}, t AS ({_TOP.format("kw", 10)}) SELECT query_id, "rank", doc_id, substr(text, 1, 200) AS preview FROM t JOIN documents USING (doc_id)""",
+    "search_requests": """
+        SELECT doc_id, CASE WHEN source = 'src3' OR coalesce(source, '') = '' THEN 'no collection' WHEN coalesce(n_chars % 9, 0) = 0 THEN 'top_k is not positive'
+            WHEN n_chars % 4 = 3 THEN 'unknown mode' WHEN n_chars % 4 <> 1 AND coalesce(len(embedding), 0) = 0 THEN 'no vector'
+            WHEN n_chars % 4 <> 0 AND (n_chars % 3 = 0 OR NOT regexp_matches(coalesce(text, ''), '\\S')) THEN 'no text' ELSE 'accepted' END AS outcome
+        FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "list_bundles": f"WITH {_B} SELECT bundle_id, doc_id, status, collection_id, published_at::BIGINT AS published_at FROM b",
     "published_bundle_for_doc": f"WITH {_B} SELECT doc_id, collection_id, bundle_id FROM live",
     "published_unit_lookups": r"""

@@ -154,3 +154,15 @@ def resolve_layer(requested: Column, semantic_ready: Column) -> Column:
 def requested_layer(fuse: bool = False, semantic: bool = False, layer: str | None = None) -> str:
     """What the flags ask for: fuse before semantic before the named layer before auto."""
     return "fused" if fuse else "semantic" if semantic else layer or "auto"
+
+
+def request_error(collection: Column, top_k: Column, mode: Column, vector: Column, text: Column) -> Column:
+    """Why a search request is refused, or null: modes are vector, keyword and hybrid; missing values are refused."""
+    no_vector, no_text = F.coalesce(F.size(vector) <= 0, F.lit(True)), ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+    return (
+        F.when(F.coalesce(collection, F.lit("")) == "", "no collection")
+        .when(F.coalesce(top_k, F.lit(0)) <= 0, "top_k is not positive")
+        .when(~F.coalesce(mode.isin("vector", "keyword", "hybrid"), F.lit(False)), "unknown mode")
+        .when((mode != "keyword") & no_vector, "no vector")
+        .when((mode != "vector") & no_text, "no text")
+    )

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ngram_lm, oracles
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.conversation_repair import damaged, repair_conversations
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.fingerprints import edited_fingerprints
 from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.license_scan import license_scan
 from tidemark.llm.packing import pack
+from tidemark.llm.periodic_runs import periodic_runs, run_report, with_planted_period
 from tidemark.llm.secret_scan import secret_scan
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.topk import exact_topk
@@ -76,6 +79,20 @@ def op10_exact_topk(spark, sf_dir):
     return exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op11_fingerprints(spark, sf_dir):
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    documents = read_table(spark, sf_dir, "documents")
+    return run_report(periodic_runs(documents, with_planted_period(F.col("text"), F.col("doc_id"))))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return repair_conversations(rows, present_col="present", digests=True).withColumnRenamed("repaired", "repaired_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_language_model": op2_language_model,
@@ -87,6 +104,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
@@ -95,6 +115,9 @@ ORACLE = {
     "op7_secret_scan": oracles.SECRET_SCAN,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_exact_topk": oracles.EXACT_TOPK,
+    "op11_fingerprints": oracles.FINGERPRINTS,
+    "op12_periodic_runs": oracles.PERIODIC_RUNS,
+    "op13_conversation_repair": oracles.CONVERSATION_REPAIR,
 }
 
 

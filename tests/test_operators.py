@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import chunking, distill, ingest, keyword, publication, search, snapshots
+from tidemark.operators import chunking, distill, ingest, keyword, postings, publication, search, snapshots
 from tidemark.sources import extract
 from tidemark.streaming.cycle import live_records, read_registry, run_cycle, start
 
@@ -37,8 +37,9 @@ def test_redact(spark):
 
 def test_bm25_corpus(spark):
     rows = [(1, "The quick brown fox jumps over the lazy dog"), (2, "Machine learning and artificial intelligence"), (3, "The brown fóx was very quick today"), (4, "Deep learning neural networks")]
-    docs = keyword.document_terms(spark.createDataFrame(rows, "id long, text string"), "id", "text")
-    got = keyword.keyword_scores(docs, {1: "quick fox", 2: "lazy", 3: "brown-fox", 4: '"', 5: "fox zebra"}).collect()
+    index = postings.build(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(1, "quick fox"), (2, "lazy"), (3, "brown-fox"), (4, '"'), (5, "fox zebra"), (6, None)], "query_id long, query string")
+    got = postings.keyword_scores(index, asked).collect()
     scores = {(r.query_id, r.id): r.score for r in got}
     assert set(scores) == {(1, 1), (1, 3), (2, 1), (3, 1), (3, 3)}
     assert scores[1, 3] == pytest.approx(1.906412e-06, abs=1e-11)

@@ -80,6 +80,76 @@ def compile_filter(document: Any, fields: dict[str, Field]) -> Column:
     return _all([_field(fields.get(k), v) for k, v in document.items()])
 
 
+# Open metadata: a JSON object per row, whose fields are not declared and whose kinds may differ from row to row.
+
+_NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+_TYPES = {"number": "double", "string": "string", "boolean": "boolean"}
+
+
+def _stored(metadata: Column, field: str) -> Column:
+    """The field's value as a variant: null if missing, the variant null if it is JSON null."""
+    if "'" in field:  # paths can't name it
+        return F.try_variant_get(metadata, "$", "map<string,variant>")[field]
+    return F.try_variant_get(metadata, f"$['{field}']", "variant")
+
+
+def _as(value: Column, kind: str) -> Column:
+    """The value where it is of that kind, else null: a number is never read as text."""
+    stored = F.schema_of_variant(value)
+    right = stored.rlike(_NUMBERS) if kind == "number" else stored == kind.upper()
+    return F.when(right, F.try_variant_get(value, "$", _TYPES[kind]))
+
+
+def _open_equals(value: Column, wanted: Any) -> Column:
+    if wanted is None:
+        return F.coalesce(F.is_variant_null(value), F.lit(False))
+    kind = kind_of(wanted)
+    if kind is None:
+        return F.lit(False)
+    return F.coalesce(_as(value, kind) == F.lit(float(wanted) if kind == "number" else wanted), F.lit(False))
+
+
+def _open_any(value: Column, wanted: Any) -> Column:
+    parts = [_open_equals(value, v) for v in wanted] if isinstance(wanted, (list, tuple)) else []
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+
+
+def _open_operator(value: Column, name: str, wanted: Any) -> Column:
+    if name in _ORDER:
+        kind = kind_of(wanted)
+        if kind not in ("number", "string"):
+            return F.lit(False)
+        return F.coalesce(getattr(_as(value, kind), _ORDER[name])(F.lit(float(wanted) if kind == "number" else wanted)), F.lit(False))
+    if name == "$ne":
+        return ~_open_equals(value, wanted)
+    if name == "$in":
+        return _open_any(value, wanted)
+    if name == "$nin":
+        return ~_open_any(value, wanted)
+    return F.lit(False)
+
+
+def compile_open_filter(document: Any, metadata: Column) -> Column:
+    """A predicate over metadata given as JSON text, by the kind that each row stores: true or false, never null.
+
+    Rows whose metadata is null, no JSON or no object pass only a filter that is no mapping. Numbers compare as doubles, strings
+    by their bytes; values of other kinds, lists and objects, equal nothing; a field is a top-level key.
+    """
+    if not isinstance(document, dict):
+        return F.lit(True)
+    variant = F.try_parse_json(metadata)
+    parts = [F.coalesce(F.schema_of_variant(variant).startswith("OBJECT"), F.lit(False))]
+    for field, condition in document.items():
+        if condition is None:
+            continue
+        value = _stored(variant, field)
+        if isinstance(condition, dict):
+            parts += [_open_operator(value, k, v) for k, v in condition.items()]
+        else:
+            parts.append(_open_any(value, condition) if isinstance(condition, (list, tuple)) else _open_equals(value, condition))
+    return _all(parts)
+
+
 def _scalars(values: Any) -> bool:
     return isinstance(values, (list, tuple)) and all(kind_of(v) in ("number", "string") for v in values)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.filters import Field, compile_filter
+from tidemark.functions.filters import Field, compile_filter, compile_open_filter
 from tidemark.operators import evaluate, ingest, memory, search, snapshots
 from tidemark.session import read_table, spread_small
 from tidemark.sources import extract
@@ -44,6 +44,49 @@ def _filter_query(name):
     return run
 
 
+#: Filters over open metadata, each with its SQL over the columns that the metadata is made of.
+OPEN_FILTERS = {
+    "above": ({"k": {"$gte": 20, "$lt": 50}}, "k >= 20 AND k < 50"),
+    "number_as_text": ({"k": {"$gt": "20"}}, "false"),
+    "number_equals_text": ({"k": "30"}, "false"),
+    "equal": ({"k": 30}, "k = 30"),
+    "any_number": ({"k": [11, 22.0, "33"]}, "k IN (11, 22)"),
+    "not_equal": ({"status": {"$ne": "click"}}, "k % 5 = 0 OR event_type <> 'click'"),
+    "not_in": ({"status": {"$nin": ["click", "view"]}}, "k % 5 = 0 OR event_type NOT IN ('click', 'view')"),
+    "in_missing": ({"other": {"$in": ["a"]}}, "false"),
+    "not_in_missing": ({"other": {"$nin": ["a"]}}, "true"),
+    "text_order": ({"status": {"$gt": "d", "$lte": "purchase"}}, "k % 5 <> 0 AND event_type > 'd' AND event_type <= 'purchase'"),
+    "no_constraint": ({"status": None, "k": {"$lt": 50}}, "k < 50"),
+    "unknown": ({"k": {"$like": 1, "$gt": 0}}, "false"),
+    "boolean": ({"even": True}, "k % 2 = 0"),
+    "boolean_is_no_number": ({"even": {"$ne": 1}}, "true"),
+    "stored_null": ({"none": {"$ne": None}}, "false"),
+    "null_is_present": ({"none": {"$ne": "x"}}, "true"),
+    "in_null": ({"none": {"$in": [None]}}, "true"),
+    "list_equals_nothing": ({"tags": ["a"]}, "false"),
+    "either_kind": ({"mixed": [3, "t3"]}, "k % 7 = 3"),
+    "quoted_name": ({"it's": {"$lte": 10.5}}, "k <= 10"),
+}
+
+
+def filter_open_metadata(spark, sf_dir):
+    """Which filters each event passes, its metadata being JSON whose fields and kinds differ from row to row."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    status = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(', "status": "'), "event_type", F.lit('"')))
+    mixed = F.when(k % 2 == 0, (k % 7).cast("string")).otherwise(F.concat(F.lit('"t'), k % 7, F.lit('"')))
+    even = F.when(k % 2 == 0, "true").otherwise("false")
+    fields = [F.lit('{"none": null, "tags": ["a"], "it\'s": '), k, F.lit(', "even": '), even, F.lit(', "mixed": '), mixed, F.lit(', "k": '), k, status, F.lit("}")]
+    e = read_table(spark, sf_dir, "events").select("event_id", F.concat(*fields).alias("metadata"))
+    return e.select("event_id", *[compile_open_filter(f, F.col("metadata")).alias(name) for name, (f, _) in OPEN_FILTERS.items()])
+
+
+def filter_open_props(spark, sf_dir):
+    """Events that pass a filter on their properties as they are stored."""
+    e = read_table(spark, sf_dir, "events")
+    wanted = {"k": {"$gt": 10, "$lte": 60, "$nin": [42, "43"]}, "missing": {"$ne": "x"}}
+    return e.where(compile_open_filter(wanted, F.col("props"))).select("event_id", "event_type")
+
+
 def pipeline_counters(spark, sf_dir):
     """Events of a pipeline folded to counters per type."""
     e = _events(spark, sf_dir)
@@ -120,6 +163,27 @@ def extract_sql_dump(spark, sf_dir):
     return _parsed(_file(c, "c_custkey", line, head, "\n"), "sql")
 
 
+def extract_yaml(spark, sf_dir):
+    """Events as YAML files: a list of maps with quotes, a flow list, a nested map and block scalars."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    lines = [F.concat(F.lit("- id: "), "event_id", F.lit("  # a comment")), F.concat(F.lit("  type: 'it''s "), "event_type", F.lit("'")),
+             F.concat(F.lit("  props:\n    k: "), "k", F.lit("\n    tags: [a, \"b, c\", "), "k", F.lit("]")),
+             F.concat(F.lit("  note: >-\n    folded\n    "), "event_type", F.lit("\n  last: |\n    one\n      two: "), "k")]
+    return _parsed(_file(e, "event_id", F.concat_ws("\n", *lines), "---"), "yaml")
+
+
+def extract_rtf(spark, sf_dir):
+    """Documents as RTF, with escapes, a font table, fallback characters and paragraphs."""
+    text = F.coalesce("text", F.lit(""))
+    for wanted, put in (("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"), ("\n", "\\par ")):
+        text = F.replace(text, F.lit(wanted), F.lit(put))
+    text = F.regexp_replace(text, F.lit(r"[^\x00-\x7F]"), F.lit(r"\\u233\\'65"))
+    head = r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator nobody;}\f0 "
+    files = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(head), text, F.lit("}")).alias("content"))
+    e = extract.extracted(F.lit("rtf"), F.col("content"))
+    return spread_small(files).select("doc_id", e.alias("e")).select("doc_id", F.char_length("e.text").alias("n_chars"), F.sha2(F.col("e.text"), 256).alias("text_sha256"))
+
+
 def html_to_markdown(spark, sf_dir):
     out = extract.html_to_markdown(F.col("html"))
     return spread_small(read_table(spark, sf_dir, "pages")).select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
@@ -215,8 +279,8 @@ def eval_gate(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        *map(_filter_query, FILTERS), pipeline_counters, ingest_status, latency_summary, budget_action, extract_json_flatten,
-        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, extract_sql_dump, html_to_markdown, extract_html, change_detection, chunk_sources_join,
+        *map(_filter_query, FILTERS), filter_open_metadata, filter_open_props, pipeline_counters, ingest_status, latency_summary, budget_action, extract_json_flatten,
+        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, extract_sql_dump, extract_yaml, extract_rtf, html_to_markdown, extract_html, change_detection, chunk_sources_join,
         memory_list, memory_assemble, rag_prompt, resolve_layer, eval_hit_at_k, eval_delta, eval_gate,
     )
 }
@@ -278,6 +342,23 @@ ORACLE = {
     "ingest_status": f"""
         SELECT user_id, count(*) AS files, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS errors,
                strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_ingest, sum(k0)::BIGINT AS chunks FROM {_EV} GROUP BY 1""",
+    "filter_open_metadata": f"""
+        SELECT event_id, {", ".join(f"({sql}) AS {name}" for name, (_, sql) in OPEN_FILTERS.items())}
+        FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events)""",
+    "filter_open_props": """
+        SELECT event_id, event_type FROM events WHERE json_extract_string(props, '$.k')::BIGINT > 10 AND json_extract_string(props, '$.k')::BIGINT <= 60
+            AND json_extract_string(props, '$.k')::BIGINT <> 42""",
+    "extract_yaml": """
+        WITH e AS (SELECT event_id // 20 AS file_id, event_id, event_type AS t, json_extract_string(props, '$.k') AS k,
+                          '[' || (row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1) || '].' AS i FROM events)
+        SELECT file_id, string_agg(i || 'id: ' || event_id || chr(10) || i || 'type: it''s ' || t || chr(10) || i || 'props.k: ' || k || chr(10) || i || 'props.tags[0]: a'
+                   || chr(10) || i || 'props.tags[1]: b, c' || chr(10) || i || 'props.tags[2]: ' || k || chr(10) || i || 'note: folded ' || t
+                   || chr(10) || i || 'last: one' || chr(10) || '  two: ' || k || chr(10), chr(10) ORDER BY event_id) AS text, NULL::VARCHAR AS error
+        FROM e GROUP BY 1""",
+    "extract_rtf": r"""
+        WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[^\x00-\x7F]', 'é', 'g'), '\n{3,}', chr(10) || chr(10), 'g'),
+                          ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)
+        SELECT doc_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM d""",
     "latency_summary": """
         SELECT event_type, min(value) AS least, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS most,
                round(avg(value), 6) AS mean FROM events GROUP BY 1""",

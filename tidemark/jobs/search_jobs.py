@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import sentences, truncate
+from tidemark.functions.text import sentences, tokens, truncate
 from tidemark.operators import keyword as K
+from tidemark.operators import postings
 from tidemark.operators import publication as P
 from tidemark.operators import search as S
 from tidemark.session import read_table, spread_small
@@ -18,13 +19,28 @@ def _docs(spark, sf_dir):
     return spread_small(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Indexes of this application, by table; a table that changes needs a new one.
+_BUILT: dict[tuple[str, str, str], postings.Index] = {}
+
+
+def _index(spark, sf_dir, terms_of=postings.word_terms):
+    key = (spark.sparkContext.applicationId, sf_dir, terms_of.__name__)
+    if key not in _BUILT:
+        _BUILT[key] = postings.build(_docs(spark, sf_dir), "doc_id", "text", terms_of)
+    return _BUILT[key]
+
+
+def _asked(spark):
+    return spark.createDataFrame(list(ASKED.items()), "query_id long, query string")
+
+
 def _scores(spark, sf_dir):
-    return K.keyword_scores(K.document_terms(_docs(spark, sf_dir), "doc_id", "text"), ASKED)
+    return postings.keyword_scores(_index(spark, sf_dir), _asked(spark))
 
 
 def bm25_stats(spark, sf_dir):
     """Document frequency and count of every term of the corpus."""
-    return K.bm25_stats(K.document_terms(_docs(spark, sf_dir), "doc_id", "text"))
+    return _index(spark, sf_dir).terms
 
 
 def search_keyword(spark, sf_dir):
@@ -38,12 +54,20 @@ def keyword_normalized(spark, sf_dir):
 
 def search_trigram(spark, sf_dir):
     """Substring search for the queries without a keyword match."""
-    docs = _docs(spark, sf_dir)
-    found = _scores(spark, sf_dir)
-    hits = K.trigram_scores(K.document_terms(docs, "doc_id", "text"), docs, ASKED, "doc_id", "text", found)
+    unmet = _asked(spark).join(_scores(spark, sf_dir).select("query_id").distinct(), "query_id", "left_anti")
+    hits = postings.substring_scores(_index(spark, sf_dir, postings.trigram_terms), unmet)
     return K.top_k(hits, 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
+def search_phrases(spark, sf_dir):
+    """Every benchmark item as a query: its first three terms as a phrase, and its fourth."""
+    terms = tokens(F.coalesce(F.col("text"), F.lit("")))
+    asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("t")).where(F.size("t") >= 4)
+    asked = asked.select("query_id", F.concat_ws(" ", F.array_join(F.slice("t", 1, 3), "-"), F.get("t", 3)).alias("query"))
+    found = K.top_k(postings.keyword_scores(_index(spark, sf_dir), asked), 10)
+    return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
 def _hybrid(spark, sf_dir, filter_vectors, filter_keywords):
     """Vector and keyword lists fused; the filter is on metadata, the label that an id has in ``embeddings``."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -158,7 +182,7 @@ def bundle_upsert(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, search_keyword, keyword_normalized, search_trigram, search_hybrid, search_hybrid_unfiltered_kw,
+        bm25_stats, search_keyword, keyword_normalized, search_trigram, search_phrases, search_hybrid, search_hybrid_unfiltered_kw,
         search_hybrid_all, explain_vector, search_requests,
         list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, semantic_publish, semantic_rollback,
         semantic_unpublish, bundle_upsert,
@@ -224,8 +248,23 @@ ORACLE = {
     "search_trigram": f"""
         WITH {_BM25}, q AS (SELECT * FROM (VALUES {", ".join(f"({q}, '{t}')" for q, t in ASKED.items())}) v(query_id, needle)
                             WHERE length(needle) >= 3 AND query_id NOT IN (SELECT query_id FROM kw)),
-        tg AS (SELECT query_id, doc_id, ((length(folded) - length(replace(folded, needle, ''))) / length(needle))::DOUBLE AS score FROM d, q WHERE contains(folded, needle))
+        ts AS (SELECT count(*)::DOUBLE AS n, avg(greatest(length(folded) - 2, 0)) AS avgdl FROM d),
+        m AS (SELECT query_id, doc_id, greatest(length(folded) - 2, 0) AS dl, ((length(folded) - length(replace(folded, needle, ''))) / length(needle))::DOUBLE AS f,
+                     count(*) OVER (PARTITION BY query_id) AS df FROM d, q WHERE contains(folded, needle)),
+        tg AS (SELECT query_id, doc_id, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM m, ts)
         {_TOP.format("tg", 10)}""",
+    "search_phrases": rf"""
+        WITH {_BM25}, b AS (SELECT item_id AS query_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS t FROM benchmark),
+        q AS (SELECT * FROM b WHERE len(t) >= 4),
+        x AS (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM d),
+        p AS (SELECT query_id, a.doc_id, a.dl, count(*)::DOUBLE AS f, 0 AS part
+              FROM q JOIN x AS a ON a.term = t[1] JOIN x AS b ON b.doc_id = a.doc_id AND b.i = a.i + 1 AND b.term = t[2]
+              JOIN x AS c ON c.doc_id = a.doc_id AND c.i = a.i + 2 AND c.term = t[3] GROUP BY 1, 2, 3
+              UNION ALL SELECT query_id, doc_id, dl, count(*)::DOUBLE, 1 FROM q JOIN x ON term = t[4] GROUP BY 1, 2, 3),
+        pd AS (SELECT *, count(*) OVER (PARTITION BY query_id, part) AS df FROM p),
+        ps AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+               FROM pd, st GROUP BY 1, 2 HAVING count(*) = 2)
+        {_TOP.format("ps", 10)}""",
     "search_hybrid": _hybrid_sql(_PASSING, f"doc_id IN (SELECT vec_id FROM embeddings WHERE {_PASSING})"),
     "search_hybrid_unfiltered_kw": _hybrid_sql(_PASSING, "TRUE"),
     "search_hybrid_all": _hybrid_sql("TRUE", "TRUE"),

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 
 def hits(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """Per case and mode whether one of the first k results is expected.
@@ -42,9 +46,49 @@ def failures(of_totals: DataFrame, thresholds: dict[str, dict[str, float]]) -> D
     return of_totals.join(F.broadcast(wanted), "mode").withColumn("got", got).where("got < wanted").select("mode", "gate", "wanted", "got")
 
 
+#: Parts into which a pass cuts the interval of a wanted rank.
+PARTS = 1024
+#: Ranks that a latency report wants, in thousandths.
+RANKS = {"median": 500, "p95": 950}
+
+
+def _same(keys: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys], F.lit(True))
+
+
+def _scale(of: str) -> Column:
+    """What the parts of an interval are equal in: the value where the ends are near to each other, else its logarithm, by sign."""
+    low, high, x = F.abs("low"), F.abs("high"), F.col(of)
+    near = (F.signum("low") == F.signum("high")) & (F.greatest(low, high) <= 4 * F.least(low, high))
+    return F.when(near, x).when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 745))  # above 0 for the least double
+
+
+def ranked_values(df: DataFrame, value: str, ranks: dict[str, int], *keys: str) -> DataFrame:
+    """Per key the values of nearest rank, ceil(n * p), for ranks in thousandths, by histogram passes.
+
+    A pass counts the values of each wanted rank's interval in PARTS parts (a few rows per task and key, whatever the number of
+    values), and takes the least and the greatest value of the part that holds the rank as the next interval, until
+    both are one: some seven passes at most, however the values are spread. No task ever holds or sorts the values of a key. Null and NaN values take no part.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    of = [f"of_{k}" for k in keys]
+    bounds = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    wanted = F.explode(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])).alias("name", "share")
+    state = bounds.select(*[F.col(k).alias(f"of_{k}") for k in keys], "low", "high", "n", wanted)
+    state = materialize(state.select(*of, "name", "low", "high", F.greatest(F.lit(1).cast("long"), F.expr("(n * share + 999) div 1000")).alias("rank")), "ranks")
+    found = state.where("low = high")
+    while not (state := state.where("low < high")).isEmpty():
+        share = (_scale("v") - _scale("low")) / (_scale("high") - _scale("low"))
+        inside = v.join(state, _same(keys)).where("v BETWEEN low AND high").select(*of, "name", "rank", "v", F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).alias("part"))
+        counted = inside.groupBy(*of, "name", "rank", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*of, "name").orderBy("part"))
+        chosen = counted.withColumn("upto", upto).where("upto >= rank AND upto - n < rank")
+        state = materialize(chosen.select(*of, "name", "low", "high", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank")), "ranks")
+        found = found.unionByName(state.where("low = high"))
+    return found.groupBy(*of).pivot("name", list(ranks)).agg(F.first("low"))
+
+
 def latency(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Least, median, p95, largest and mean; percentiles are the nearest rank, ceil(n * p)."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(*keys).agg(
-        F.min(value).alias("least"), rank(0.5).alias("median"), rank(0.95).alias("p95"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean")
-    )
+    """Least, median, p95, largest and mean; percentiles are the nearest rank, ceil(n * p). A key without values has nulls."""
+    plain = df.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    return plain.join(ranked_values(df, value, RANKS, *keys), _same(keys), "left").select(*keys, "least", "median", "p95", "most", "mean")

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import CONTENT_TYPES, chunk_hash, chunk_id
 
 #: Larger files are left out.
 MOST_BYTES = 1 << 30
+#: Files from this size on are fingerprinted by so many bytes of each end.
+SAMPLED_FROM, SAMPLE = 100 << 20, 64 << 10
 #: Files that are named one by one to the reader.
 MOST_NAMED = 10_000
 
 
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(CONTENT_TYPES) + "}").load(root)
+    return files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"/\.[^/]+"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """path, size and modified of the files that an extractor reads; no content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(CONTENT_TYPES) + "}").load(root)
-    return files.where((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(r"/\.[^/]+")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def read_files(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
@@ -32,10 +44,31 @@ def read_files(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+def ends_of(path: str, size: int, sample: int = SAMPLE) -> tuple[bytes, bytes]:
+    """The first and the last bytes of a file, read as two ranges; nothing else is read."""
+    store, name = fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path))
+    with store.open_input_file(name) as file:
+        return file.read_at(min(sample, size), 0), file.read_at(min(sample, size), max(0, size - sample))
+
+
+@F.arrow_udf(T.StringType())
+def sampled_fingerprint(path: pa.Array, size: pa.Array, modified: pa.Array) -> pa.Array:
+    """SHA-256 of a large file's two ends, size and time of change in milliseconds."""
+
+    def one(p: str, n: int, ms: int) -> str:
+        head, tail = ends_of(p, n)
+        return hashlib.sha256(head + tail + f"{n}:{ms}".encode()).hexdigest()
+
+    return pa.array([one(*x) for x in zip(path.to_pylist(), size.to_pylist(), modified.to_pylist(), strict=True)], pa.string())
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, modified and fingerprint of the files that an extractor reads."""
+    """path, size, modified and fingerprint of the files that an extractor reads: of large files only the ends are read."""
     files = list_files(spark, root)
-    return read_files(spark, root, files).select("path", "size", "modified", F.sha2("content", 256).alias("fingerprint"))
+    small = _binary(spark, root).where(F.col("length") <= SAMPLED_FROM)  # the reader skips the content of files that this leaves out
+    whole = small.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("fingerprint"))
+    ends = files.where(F.col("size") > SAMPLED_FROM).withColumn("fingerprint", sampled_fingerprint("path", "size", F.unix_millis("modified")))
+    return whole.unionByName(ends)
 
 
 def known_fingerprint(fingerprint: Column, signature: Column, current: Column) -> Column:

@@ -1,87 +1,10 @@
-"""BM25 keyword search over batches of queries.
-
-Terms are folded runs of letters and digits. A query's white-space-delimited words must all occur; a
-word of several terms is a phrase. Statistics are those of the whole corpus.
-"""
+"""Ranking of keyword results: the best per query, and scores from 0 to 1."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import fold, tokens
-from tidemark.session import materialize
-
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-
-
-def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, terms and n_terms per document."""
-    terms = tokens(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(F.col(id_col).alias("id"), terms.alias("terms")).withColumn("n_terms", F.size("terms"))
-
-
-def corpus_stats(documents: DataFrame) -> DataFrame:
-    """One row: number of documents and mean length."""
-    return documents.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avgdl"))
-
-
-def bm25_stats(documents: DataFrame) -> DataFrame:
-    """Document frequency and count of every term."""
-    own = documents.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def idf(n_docs: Column, df: Column) -> Column:
-    return F.greatest(F.ln((n_docs - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
-
-
-def _words(text: str) -> list[str]:
-    return [w for w in text.replace('"', " ").split() if w]
-
-
-def _count_of(parts: list[str], terms: Column, line: Column) -> Column:
-    """Occurrences of a term, or of a phrase in the joined terms."""
-    if len(parts) == 1:
-        return F.size(F.filter(terms, lambda t: t == parts[0]))
-    phrase = " ".join(parts)
-    return ((F.char_length(line) - F.char_length(F.replace(line, F.lit(f" {phrase} "), F.lit("")))) / (len(phrase) + 2)).cast("int")
-
-
-def keyword_scores(documents: DataFrame, queries: dict[int, str]) -> DataFrame:
-    """query_id, id, score of all documents that hold all words of a query.
-
-    The queries are a handful that the caller states. One pass over the terms leaves a narrow table of
-    lengths and counts; its totals are one row, and the scores are computed row by row.
-    """
-    spark = documents.sparkSession
-    stated = [(q, w) for q, t in queries.items() for w in _words(t)]
-    schema = "query_id long, word string"
-    cut = spark.createDataFrame(stated, schema).select("query_id", tokens(F.col("word")).alias("parts")).collect() if stated else []
-    words = [(r["query_id"], r["parts"]) for r in cut if r["parts"]]
-    if not words:
-        return documents.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
-    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    counts = F.array(*[_count_of(parts, F.col("terms"), line) for _, parts in words])
-    narrow = materialize(documents.select("id", "n_terms", counts.alias("tf")), "term-counts")
-    held = [F.count_if(F.element_at("tf", i + 1) > 0).alias(f"df{i}") for i in range(len(words))]
-    stats = narrow.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_terms").alias("avgdl"), *held).first()
-    if not stats["n_docs"]:
-        return narrow.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
-    length = K1 * (1 - B + B * F.col("n_terms") / F.lit(stats["avgdl"] or 1.0))
-
-    def scored(query_id: int) -> Column:
-        own = [i for i, (q, _) in enumerate(words) if q == query_id]
-        total, all_held = F.lit(0.0), F.lit(True)
-        for i in own:
-            tf = F.element_at("tf", i + 1)
-            total = total + idf(F.lit(float(stats["n_docs"])), F.lit(stats[f"df{i}"])) * tf * (K1 + 1) / (tf + length)
-            all_held = all_held & (tf > 0)
-        return F.when(all_held, F.struct(F.lit(query_id).cast("long").alias("query_id"), total.alias("score")))
-
-    found = F.filter(F.array(*[scored(q) for q in dict.fromkeys(q for q, _ in words)]), lambda x: x.isNotNull())
-    return narrow.select("id", F.explode(found).alias("x")).select("x.query_id", "id", "x.score")
-
 
 def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """The k best per query by rounded score, ties to the smaller id."""
@@ -95,13 +18,3 @@ def min_max(ranked: DataFrame) -> DataFrame:
     own = Window.partitionBy("query_id")
     low, span = F.min("score").over(own), F.max("score").over(own) - F.min("score").over(own)
     return ranked.withColumn("score", F.when(span == 0, F.lit(1.0)).otherwise((F.col("score") - low) / span))
-
-
-def trigram_scores(documents: DataFrame, df: DataFrame, queries: dict[int, str], id_col: str, text_col: str, found: DataFrame) -> DataFrame:
-    """Substring matches, for queries of three characters or more without a keyword match."""
-    spark = documents.sparkSession
-    probe = spark.createDataFrame([(q, t) for q, t in queries.items() if len(t) >= 3], "query_id long, query string")
-    unmet = F.broadcast(probe.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", fold(F.col("query")).alias("needle")).withColumn("__one", F.lit(1)))
-    text = df.select(F.col(id_col).alias("id"), fold(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).withColumn("__one", F.lit(1))
-    n = (F.char_length("text") - F.char_length(F.replace("text", "needle", F.lit("")))) / F.char_length("needle")
-    return text.join(unmet, "__one").where(F.contains("text", F.col("needle"))).select("query_id", "id", n.cast("double").alias("score"))

@@ -37,6 +37,12 @@ def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def scorable(rows: DataFrame) -> DataFrame:
+    """The rows (id, v) that have an id and a vector of finite components."""
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & whole)
+
+
 _BLOCK = "dim int, ids binary, cells binary"
 
 
@@ -88,12 +94,13 @@ def nearest(
     """Per query (query_id, q) its k best vectors: query_id, id, score, rank.
 
     Rows and queries are packed into matrices and scored in tiles, with selection within the tile, so that no score
-    leaves it unless it is among the tile's k best. Few queries are broadcast, their bytes being counted first; else
+    leaves it unless it is among the tile's k best. Rows and queries without an id, and vectors that are null, empty or hold null or
+    non-finite components, take no part; a query without any result has no row; repeated ids are results of their own. Few queries are broadcast, their bytes being counted first; else
     shards and blocks meet in a grid, so that each is sent once per ``GRID`` of the others.
     """
     parallel = vectors.sparkSession.sparkContext.defaultParallelism
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where("q IS NOT NULL").select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    rows = scorable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")))
+    asked = scorable(queries.select(F.col("query_id").cast("long").alias("id"), F.col("q").cast("array<double>").alias("v")))
     n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v") * 8), F.lit(0))).first()
     n_blocks = max(1, -(-n // BLOCK))
     shards = rows.mapInArrow(_packed(TILE), _BLOCK)

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import csv
-import email
-import email.policy
 import io
 import json
 import re
-import zipfile
 from collections.abc import Iterable, Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import content_type
+from tidemark.sources import formats
 
 
 def labelled_row(columns: list[str]) -> Column:
@@ -268,29 +265,13 @@ def sql_dump_text(content: str) -> str:
     return "\n\n".join(sections) if sections else content
 
 
-def _zip_texts(content: bytes, pattern: str, tag: str, joint: str) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = sorted((int(m[1] or 0), n) for n in z.namelist() if (m := re.fullmatch(pattern, n)))
-        return [joint.join(e.text or "" for e in ElementTree.fromstring(z.read(n)).iter() if e.tag.endswith(tag)) for _, n in names]
-
-
-def mail_text(content: bytes) -> str:
-    mail = email.message_from_bytes(content, policy=email.policy.default)
-    head = [f"{k}: {mail[k]}" for k in ("Subject", "From", "To", "Cc", "Date") if mail[k]]
-    body = mail.get_body(("plain", "html"))
-    files = [f"- {a.get_filename()} ({len(a.get_payload(decode=True) or b'')} bytes)" for a in mail.iter_attachments()]
-    parts = ["\n".join(head), body.get_content().strip() if body else "", "Attachments:\n" + "\n".join(files) if files else ""]
-    return "\n\n".join(p for p in parts if p)
+_OFFICE = {"docx": formats.docx_text, "pptx": formats.pptx_text, "xlsx": formats.xlsx_text, "rtf": formats.rtf_text}
 
 
 def extract_bytes(kind: str, content: bytes) -> str:
-    """Text of one file of a kind that has no expression."""
-    if kind == "docx":
-        return "\n\n".join(_zip_texts(content, r"word/document()\.xml", "}t", ""))
-    if kind == "pptx":
-        return "\n\n".join(t for t in _zip_texts(content, r"ppt/slides/slide(\d+)\.xml", "}t", " ") if t)
-    if kind == "eml":
-        return mail_text(content)
+    """Text of one file of a kind that has no expression; of a mail what needs no conversion."""
+    if kind in _OFFICE:
+        return _OFFICE[kind](content)
     text = content.decode("utf-8", "replace")
     if kind in ("csv", "tsv"):
         return delimited_text(text, "," if kind == "csv" else "\t", kind == "tsv")
@@ -298,6 +279,8 @@ def extract_bytes(kind: str, content: bytes) -> str:
         return json_lines_text(text)
     if kind == "json":
         return "\n".join(flat_lines(json.loads(text)))
+    if kind in ("yaml", "yml"):
+        return "\n".join(flat_lines(formats.yaml_value(text)))
     if kind == "sql":
         return sql_dump_text(text)
     if kind in ("txt", "md", "log", "html"):
@@ -305,21 +288,36 @@ def extract_bytes(kind: str, content: bytes) -> str:
     raise ValueError(f"no extractor for {kind}")
 
 
-@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+_PARTS = ["text", "html", "after", "error"]
+
+
+@F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in _PARTS]))
 def _extract(kind: pa.Array, content: pa.Array) -> pa.Array:
+    """Text, or an error; a mail that has only an HTML body leaves it to the expressions, and what comes after it."""
+
     def one(k: str | None, c: bytes | None) -> dict:
         try:
-            return {"text": extract_bytes(k or "", c or b""), "error": None}
+            if k == "eml":
+                head, body, html, files = formats.mail_parts(c or b"")
+                whole = "\n\n".join(p for p in (head, body, "" if html else files) if p)
+                return {"text": whole, "html": html or None, "after": files if html and files else None}
+            return {"text": extract_bytes(k or "", c or b"")}
         except Exception as err:  # one bad file is a row with its error, not a failed job
-            return {"text": None, "error": f"{type(err).__name__}: {err}"}
+            return {"error": f"{type(err).__name__}: {err}"}
 
     made = [one(k, c) for k, c in zip(kind.to_pylist(), content.to_pylist(), strict=True)]
-    return pa.array(made, pa.struct([("text", pa.string()), ("error", pa.string())]))
+    return pa.array(made, pa.struct([(name, pa.string()) for name in _PARTS]))
+
+
+def _text_of(kind: Column, e: Column) -> Column:
+    mail = F.concat_ws("\n\n", e["text"], extract_html(e["html"]), e["after"])
+    return F.when(kind == "html", extract_html(e["text"])).when(e["html"].isNotNull(), mail).otherwise(e["text"])
 
 
 def extracted(kind: Column, content: Column) -> Column:
-    """Struct of text and error of a file's content (binary) of a kind; HTML passes through for the expressions."""
-    return _extract(kind, content.cast("binary"))
+    """Struct of text and error of a file's content (binary) of a kind."""
+    e = _extract(kind, content.cast("binary"))
+    return F.struct(_text_of(kind, e).alias("text"), e["error"].alias("error"))
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -327,5 +325,4 @@ def extract_files(files: DataFrame) -> DataFrame:
     kind = content_type(F.col("path"))
     others = [c for c in files.columns if c not in ("path", "content")]
     read = files.select("path", *others, kind.alias("content_type"), _extract(kind, F.col("content")).alias("e"))
-    text = F.when(F.col("content_type") == "html", extract_html(F.col("e.text"))).otherwise(F.col("e.text"))
-    return read.select("path", "content_type", text.alias("text"), F.col("e.error").alias("error"), *others)
+    return read.select("path", "content_type", _text_of(F.col("content_type"), F.col("e")).alias("text"), F.col("e.error").alias("error"), *others)

@@ -274,3 +274,14 @@ def test_powers_advance_runs():
         for s, n in reversed(runs):
             many = repair.advance(s, n, many)
         assert one == many == repair.apply(repair.transition(runs), repair.END)
+
+
+def test_a_worker_holds_the_caches_of_one_operator():
+    from tidemark.llm import worker
+
+    worker.drop_others("")
+    worker.held("one")["path"] = "cache"
+    assert list(worker.releasing(iter, "one")([1, 2])) == [1, 2]
+    assert worker.held("one") == {"path": "cache"}
+    assert list(worker.releasing(iter)([3])) == [3]
+    assert worker.held("one") == {}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.chunk_table import ChunkTable, portions
 from tidemark.llm.vocabulary import TokenizerFile
-from tidemark.llm.worker import PAIR_BYTES, releasing
+from tidemark.llm.worker import PAIR_BYTES, held, releasing
 
 #: Pair tests and pieces that a worker keeps from task to task, each of them, and bytes of chunks. Learning them anew
 #: in each task would take more CPU time than the encoding itself.
@@ -149,14 +149,14 @@ class PrefixBpe:
         return " ".join([names[i] for i in ids])
 
 
-_LOADED: dict[str, ChunkTable] = {}
 
 
 def _table(path: str) -> ChunkTable:
-    if path not in _LOADED:
+    loaded = held("bpe")
+    if path not in loaded:
         size = lambda both: PAIR_BYTES // 2 + len(both[0]) + len(both[1])
-        _LOADED[path] = ChunkTable(PrefixBpe(TokenizerFile(path)).encode_chunks, size, CHUNK_BYTES)
-    return _LOADED[path]
+        loaded[path] = ChunkTable(PrefixBpe(TokenizerFile(path)).encode_chunks, size, CHUNK_BYTES)
+    return loaded[path]
 
 
 def encode_text(path: str, text: str) -> tuple[bytes, str]:
@@ -191,7 +191,7 @@ def _encoder(path: str, digests: bool):
                     names=["doc_id", "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"],
                 )
 
-    return releasing(run)
+    return releasing(run, "bpe")
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", digests: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_table import ChunkTable, portions
 from tidemark.llm.vocabulary import byte_alphabet
-from tidemark.llm.worker import PAIR_BYTES, releasing
+from tidemark.llm.worker import PAIR_BYTES, held, releasing
 from tidemark.session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
@@ -84,13 +84,13 @@ class _Encoder:
 #: What a worker keeps from task to task: the tokenizer, and chunks and pieces up to these bytes. Learning them
 #: anew in each task would take a third more CPU time.
 CHUNK_BYTES, PIECE_BYTES = 130_000_000, 100_000_000
-_LOADED: dict[str, ChunkTable] = {}
 
 
 def _table(path: str) -> ChunkTable:
-    if path not in _LOADED:
-        _LOADED[path] = ChunkTable(_Encoder(path, PIECE_BYTES), budget=CHUNK_BYTES)
-    return _LOADED[path]
+    loaded = held("packing")
+    if path not in loaded:
+        loaded[path] = ChunkTable(_Encoder(path, PIECE_BYTES), budget=CHUNK_BYTES)
+    return loaded[path]
 
 
 def _cut(path: str, capacity: int, end_id: int):
@@ -117,7 +117,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    return releasing(run)
+    return releasing(run, "packing")
 
 
 def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

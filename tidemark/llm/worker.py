@@ -1,8 +1,9 @@
-"""What a reused Python worker holds from one task to the next: vocabularies with caches of a bounded size, nothing else."""
+"""What a reused Python worker holds from one task to the next: the caches, of bounded size, of one operator at a time."""
 
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -22,11 +23,29 @@ def give_back() -> None:
         trim(0)
 
 
-def releasing(run: Run) -> Run:
-    """``run``, giving memory back when its iterator ends, fails or is abandoned."""
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """What an operator keeps in this worker until a task of another operator comes."""
+    return _HELD.setdefault(operator, {})
+
+
+def drop_others(operator: str) -> None:
+    others = [name for name in _HELD if name != operator]
+    for name in others:
+        _HELD.pop(name).clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
+def releasing(run: Run, keeps: str = "") -> Run:
+    """``run``, dropping first what other operators hold, and giving memory back when its iterator ends, fails or is abandoned."""
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others(keeps)
         try:
             yield from run(batches)
         finally:

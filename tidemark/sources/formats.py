@@ -421,13 +421,29 @@ def _below(e: ElementTree.Element, *names: str) -> list[ElementTree.Element]:
 
 
 def docx_text(content: bytes) -> str:
-    """Paragraphs of a document, a blank line between them; tabs and line breaks inside are kept."""
-    members, shown = Members(content), {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}
-    paragraphs = []
-    for p in _below(members.root("word/document.xml"), "p"):
-        runs = [x for r in _below(p, "r") for x in r]  # children of runs: their properties hold tab stops of the same name
-        paragraphs.append("".join(x.text or "" if _local(x) == "t" else shown.get(_local(x), "") for x in runs))
-    return "\n\n".join(paragraphs).strip()
+    """Paragraphs of a document, a blank line between them; tabs and line breaks of runs are kept.
+
+    Text that stands in no paragraph is one by itself; so is a paragraph inside another, after what the outer one held before it.
+    """
+    shown, paragraphs = {"tab": "\t", "br": "\n", "cr": "\n", "noBreakHyphen": "-"}, [[]]
+
+    def walk(e: ElementTree.Element, in_run: bool) -> None:
+        name = _local(e)
+        if name == "p":
+            paragraphs.append([])
+        if name == "t":
+            paragraphs[-1].append(e.text or "")
+        elif in_run and name in shown:  # properties hold tab stops of the same name
+            paragraphs[-1].append(shown[name])
+        for x in e:
+            walk(x, name == "r")
+        if name == "p":
+            paragraphs.append([])
+
+    walk(Members(content).root("word/document.xml"), False)
+    # Empty paragraphs are kept as such, the lists that only close one are not.
+    closed = [x for i, x in enumerate(paragraphs) if x or i % 2]
+    return "\n\n".join(map("".join, closed)).strip()
 
 
 def pptx_text(content: bytes) -> str:

@@ -8,6 +8,7 @@ from tidemark.functions.filters import Field, compile_filter, compile_open_filte
 from tidemark.operators import evaluate, ingest, memory, search, snapshots
 from tidemark.session import read_table, spread_small
 from tidemark.sources import extract
+from tidemark.streaming.counters import counters
 
 
 def _events(spark, sf_dir):
@@ -88,11 +89,8 @@ def filter_open_props(spark, sf_dir):
 
 
 def pipeline_counters(spark, sf_dir):
-    """Events of a pipeline folded to counters per type."""
-    e = _events(spark, sf_dir)
-    return e.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("events"), F.count_if(F.col("value") > 100).alias("large"), F.round(F.sum("value"), 4).alias("total"), F.sum("k").cast("long").alias("k_total")
-    )
+    """Events of a pipeline folded to counters per type; the same fold runs as a stream."""
+    return counters(_events(spark, sf_dir))
 
 
 def ingest_status(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import chunking, distill, ingest, keyword, postings, publication, search, snapshots
+from tidemark.operators import chunking, collections, distill, evaluate, ingest, keyword, postings, publication, search, snapshots
 from tidemark.sources import extract
 from tidemark.streaming.cycle import live_records, read_registry, run_cycle, start
 
@@ -238,3 +238,43 @@ def test_stream(spark, tmp_path):
     query = start(spark, str(root), str(tmp_path / "registry"), str(tmp_path / "checkpoint"), None, lambda changes, batch: seen.append((batch, changes.count())))
     assert query.awaitTermination(120)
     assert seen == [(0, 1)]
+
+
+_REQUEST = "seq long, collection_id string, action string, dimension int, metric string, model string, schema_version string, quantization string, m int, ef_construction int, ef_search int"
+
+
+def test_collections(spark):
+    good = (4, "cosine", "mock", "1", "fp16", 16, 200, 100)
+    changed = lambda i, x: (*good[:i], x, *good[i + 1 :])
+    none = (None,) * 8
+    asked = [(1, "a", "create", *good), (2, "a", "create", *good), (3, "a", "create", *changed(0, 0)), (4, "a", "delete", *none), (5, "a", "delete", *none), (6, "a", "create", *changed(1, "l2")),
+             (7, " ", "create", *good), (8, "b", "create", *changed(1, None)), (9, "b", "create", *changed(2, " ")), (10, "b", "create", *changed(3, None)), (11, "b", "create", *changed(4, "int8")),
+             (12, "b", "create", *changed(5, 3)), (13, "b", "create", *changed(6, 801)), (14, "b", "create", *changed(7, None)), (15, "b", "rename", *good), (16, "k", "create", *good), (17, None, None, *none)]
+    judged = collections.judge(spark.createDataFrame(asked, _REQUEST), spark.createDataFrame([("k",)], "collection_id string"))
+    assert [r.outcome for r in judged.orderBy("seq").collect()] == [
+        "created", "already exists", "dimension is not positive", "deleted", "not found", "created", "no collection", "unknown metric", "no model", "no schema version",
+        "unknown quantization", "m is not from 4 to 64", "ef_construction is not from 50 to 800", "ef_search is not from 10 to 500", "unknown action", "already exists", "unknown action",
+    ]
+    assert [(r.collection_id, r.seq, r.metric) for r in collections.live(judged).collect()] == [("a", 6, "l2")]
+    assert collections.live(collections.judge(spark.createDataFrame([], _REQUEST))).count() == 0
+
+
+def test_evaluation_of_searches(spark):
+    docs = spark.createDataFrame([(1, "red apple"), (2, "red pear"), (3, "green apple"), (4, None)], "id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None)], "id long, v array<double>")
+    cases = spark.createDataFrame([(1, "red", [1.0, 0.0]), (3, "apple", [0.0, 1.0]), (4, "", None), (9, "none such", [1.0])], "case_id long, query string, q array<double>")
+    index = postings.build(docs, "id", "text")
+    found = {}
+    for r in evaluate.search_cases(cases, vectors, index, 2).orderBy("rank").collect():
+        found.setdefault((r.case_id, r.mode), []).append(r.id)
+    # No case finds its own row; an empty query, a vector that can't be scored or of another length finds nothing.
+    assert found == {(1, "vector"): [2, 3], (1, "keyword"): [2], (1, "hybrid"): [2, 3], (3, "vector"): [2, 1], (3, "keyword"): [1], (3, "hybrid"): [1, 2]}
+    only = spark.createDataFrame([(3,), (3,)], "id long")
+    layer = evaluate.search_cases(cases, vectors, index, 2, passing=only).where("mode = 'hybrid'").collect()
+    assert [(r.case_id, r.id) for r in layer] == [(1, 3)]
+
+
+def test_hits_of_cases_without_an_expected_source(spark):
+    cases = spark.createDataFrame([(1, "m", None), (2, "m", None), (3, "m", "x"), (4, "m", "x")], "case_id long, mode string, expected string")
+    results = spark.createDataFrame([(1, "m", 1, "y"), (2, "m", 1, None), (3, "m", 3, "x"), (4, "m", 2, "x"), (4, "m", 2, "x")], "case_id long, mode string, rank int, source string")
+    assert {r.case_id: r.hit for r in evaluate.hits(cases, results, 2).collect()} == {1: True, 2: False, 3: False, 4: True}

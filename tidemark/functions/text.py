@@ -129,4 +129,4 @@ TIMESTAMPS = (
 
 
 def starts_entry(line: Column) -> Column:
-    return F.lit(False) if not TIMESTAMPS else line.rlike("|".join(f"(?:{p})" for p in TIMESTAMPS))
+    return line.rlike("|".join(f"(?:{p})" for p in TIMESTAMPS))

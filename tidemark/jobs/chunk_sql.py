@@ -76,6 +76,10 @@ _FROM_PACKED = """
         SELECT packed.doc_id, pos::INTEGER AS pos, '{label}' AS label, ({base} + s)::INTEGER AS "offset", length({text})::INTEGER AS length, sha256({text}) AS text_sha256
         FROM packed"""
 
+_QUALITY = """, o AS (SELECT source, sha256(text) AS h, count(*) AS n, sum(length(text)) AS chars FROM c GROUP BY 1, 2)
+        SELECT source, sum(n)::BIGINT AS chunks, sum(chars)::BIGINT AS chars, round(sum(chars)::DOUBLE / sum(n), 6) AS mean_chars,
+               sum(n - 1)::BIGINT AS duplicates, round(sum(n - 1)::DOUBLE / sum(n), 6) AS duplicate_ratio FROM o GROUP BY 1"""
+
 
 def oracles(documents: str, lines: str, title: str, keywords: str, entities: str) -> dict[str, str]:
     """SQL by query, from the CTEs of the documents (d), their lines (l), titles, keywords and entities."""
@@ -85,6 +89,7 @@ def oracles(documents: str, lines: str, title: str, keywords: str, entities: str
     parts = f"""{structured}, c AS (SELECT source, cut.label, substr(cut.body, a + 1, b - a) AS text FROM cut JOIN b5 ON b5.doc_id = cut.doc_id AND b5.block = cut.block)"""
     doc_hash, text_hash = "sha256(doc_id::VARCHAR)", "sha256(substr(body, a + 1, b - a))"
     chunk_id = f"sha256({doc_hash} || '1.0.0' || a || {text_hash})"
+    own = f"{whole}, c AS (SELECT source, substr(body, a + 1, b - a) AS text FROM cut JOIN (SELECT doc_id, source FROM d) USING (doc_id))"
     plain = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
     return {
@@ -101,9 +106,12 @@ def oracles(documents: str, lines: str, title: str, keywords: str, entities: str
             SELECT {chunk_id} AS chunk_id, {doc_hash} AS doc_id, {text_hash} AS chunk_hash,
                    sha256('1.0.01.0.01.0.0|size={_SIZE}|overlap={_OVERLAP}|strategy=fixed') AS pipeline_signature, source AS source_uri, a::INTEGER AS "offset"
             FROM cut JOIN (SELECT doc_id, source FROM d) USING (doc_id)""",
-        "chunk_quality": f"""{parts}, o AS (SELECT source, sha256(text) AS h, count(*) AS n, sum(length(text)) AS chars FROM c GROUP BY 1, 2)
-            SELECT source, sum(n)::BIGINT AS chunks, sum(chars)::BIGINT AS chars, round(sum(chars)::DOUBLE / sum(n), 6) AS mean_chars,
-                   sum(n - 1)::BIGINT AS duplicates, round(sum(n - 1)::DOUBLE / sum(n), 6) AS duplicate_ratio FROM o GROUP BY 1""",
+        "chunk_quality": parts + _QUALITY,
+        "ingest_quality": own + _QUALITY,
+        "duplicate_ratio": f"""{own}, o AS (SELECT sha256(text) AS h, count(*) AS n FROM c GROUP BY 1)
+            SELECT sum(n)::BIGINT AS chunks, sum(n - 1)::BIGINT AS duplicates, round(sum(n - 1)::DOUBLE / sum(n), 6) AS ratio FROM o""",
+        "label_distribution": f"{parts} SELECT label, count(*) AS n FROM c GROUP BY 1",
+        "chunk_count_by_source": f"{own} SELECT source, count(*) AS chunks FROM c GROUP BY 1",
         "chunk_labels": f"{parts} SELECT source, label, count(*) AS chunks FROM c GROUP BY 1, 2",
         "distill_themes": rf"""
             WITH {title}, {keywords}, {entities},

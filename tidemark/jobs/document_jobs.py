@@ -171,30 +171,6 @@ def mock_embed(spark, sf_dir):
 # Chunks
 
 
-def _lines(spark, sf_dir):
-    """Line number, offset and text of each line."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)))
-
-
-def chunk_markdown_sections(spark, sf_dir):
-    """Sections by a running count of heading lines; here a heading is a line of one or two words."""
-    head = F.when(F.regexp_count("line", F.lit(r"\S+")).between(1, 2), 1).otherwise(0)
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    s = _lines(spark, sf_dir).withColumn("section", F.sum(head).over(upto))
-    return s.groupBy("doc_id", "section").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars"))
-
-
-def log_entries(spark, sf_dir):
-    """Entries by a running count of lines that start one; here those that start upper case and hold a comma."""
-    starts = F.when(F.col("line").rlike("^[A-Z].*,"), 1).otherwise(0)
-    upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    e = _lines(spark, sf_dir).withColumn("entry", F.sum(starts).over(upto))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return e.groupBy("doc_id", "entry").agg(F.count(F.lit(1)).alias("lines"), F.sha2(text, 256).alias("text_sha256"))
-
-
 def _chunks(spark, sf_dir, name, size=800, overlap=120):
     return chunking.chunk(_docs(spark, sf_dir).select("doc_id", "source", "text"), "text", name, size, overlap)
 
@@ -239,15 +215,9 @@ def validate_records(spark, sf_dir):
     return e.select("vec_id", F.coalesce(ingest.record_errors(64, v, key), F.lit("")).alias("error"))
 
 
-def _paragraphs(spark, sf_dir):
-    """Non-empty lines as chunks."""
-    return _lines(spark, sf_dir).where("trim(line) <> ''").join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").select("source", F.col("line").alias("text"))
-
-
-def ingest_quality(spark, sf_dir):
+def _quality(c):
     """Chunks, characters, duplicates and their ratio per source."""
-    p = _paragraphs(spark, sf_dir)
-    own = p.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
+    own = c.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
     return own.groupBy("source").agg(
         F.sum("n").alias("chunks"),
         F.sum("chars").alias("chars"),
@@ -257,33 +227,29 @@ def ingest_quality(spark, sf_dir):
     )
 
 
+def ingest_quality(spark, sf_dir):
+    """Quality of the fixed chunks per source."""
+    return _quality(_chunks(spark, sf_dir, "fixed"))
+
+
 def duplicate_ratio(spark, sf_dir):
-    p = _paragraphs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return p.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - 1).alias("duplicates"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("ratio"))
+    """Fixed chunks, and those that repeat another's text, whatever their source."""
+    c = _chunks(spark, sf_dir, "fixed").groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(F.sum("n").alias("chunks"), F.sum(F.col("n") - 1).alias("duplicates"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("ratio"))
 
 
 def label_distribution(spark, sf_dir):
-    """Lines by the label the structured chunker would give them."""
-    line = F.ltrim(F.col("line"))
-    label = F.when(line.rlike(r"^\|.+\|$"), "table").when(line.rlike(r"^(?:[-*+]|[0-9]+\.)\s"), "list").otherwise("paragraph")
-    return _lines(spark, sf_dir).where("trim(line) <> ''").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """Chunks of the structured chunker by label."""
+    return _chunks(spark, sf_dir, "structured").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def chunk_count_by_source(spark, sf_dir):
-    return _paragraphs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
+    return _chunks(spark, sf_dir, "fixed").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def chunk_quality(spark, sf_dir):
-    """Chunks of the structured chunker, characters, duplicates and their ratio per source."""
-    c = _chunks(spark, sf_dir, "structured")
-    own = c.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
-    return own.groupBy("source").agg(
-        F.sum("n").alias("chunks"),
-        F.sum("chars").alias("chars"),
-        F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_chars"),
-        F.sum(F.col("n") - 1).alias("duplicates"),
-        F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("duplicate_ratio"),
-    )
+    """Quality of the structured chunks per source."""
+    return _quality(_chunks(spark, sf_dir, "structured"))
 
 
 def chunk_labels(spark, sf_dir):
@@ -308,7 +274,7 @@ QUERIES = {
         normalize_text, fingerprint, content_type_of, chunk_strategy, doc_ids, extract_text, pipeline_signature, split_sentences,
         sentence_scores, distill_title, distill_summary, distill_answer, distill_keywords, distill_question, distill_entities,
         distill_themes, noise_flags, quality_signals, dedup_key, duplicate_groups, bundle_diagnostics, approval_gate, redact, mock_embed,
-        chunk_markdown_sections, log_entries, *map(_chunk_query, chunking.CHUNKERS), chunk_ids, build_records, validate_records,
+        *map(_chunk_query, chunking.CHUNKERS), chunk_ids, build_records, validate_records,
         ingest_quality, duplicate_ratio, label_distribution, chunk_count_by_source, chunk_quality, chunk_labels, semantic_records,
     )
 }
@@ -395,7 +361,6 @@ _DIAGNOSTICS = f"""{_QUALITY}, {_KEY},
 _L = """
     l0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM d),
     l AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l0)"""
-_P = "p AS (SELECT source, line AS text, sha256(line) AS h FROM l0 WHERE trim(line) <> '')"
 
 ORACLE = {
     "normalize_text": r"""
@@ -445,28 +410,8 @@ ORACLE = {
         v AS (SELECT doc_id, [('0x' || substr(h, 2 * i + 1, 2))::INTEGER / 255.0::DOUBLE * 2 - 1 FOR i IN range(16)] AS v FROM h)
         SELECT doc_id, (i - 1)::INTEGER AS pos, round(v[i] / sqrt(list_dot_product(v, v)), 6) AS x
         FROM (SELECT doc_id, v, unnest(generate_series(1, 16)) AS i FROM v)""",
-    "chunk_markdown_sections": rf"""
-        WITH {_D}, {_L}, x AS (SELECT *, sum(CASE WHEN len(regexp_extract_all(line, '\S+')) BETWEEN 1 AND 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no
-            ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM l)
-        SELECT doc_id, section, min(off) AS "offset", count(*) AS lines, sum(length(line))::BIGINT AS chars FROM x GROUP BY 1, 2""",
-    "log_entries": f"""
-        WITH {_D}, {_L}, x AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z].*,') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no
-            ROWS UNBOUNDED PRECEDING)::BIGINT AS entry FROM l)
-        SELECT doc_id, entry, count(*) AS lines, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS text_sha256 FROM x GROUP BY 1, 2""",
     "validate_records": """
         SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN 'empty id' WHEN vec_id % 17 = 0 THEN 'wrong dimension' ELSE '' END AS error FROM embeddings""",
-    "ingest_quality": f"""
-        WITH {_D}, {_L}, {_P}, o AS (SELECT source, h, count(*) AS n, sum(length(text)) AS chars FROM p GROUP BY 1, 2)
-        SELECT source, sum(n)::BIGINT AS chunks, sum(chars)::BIGINT AS chars, round(sum(chars)::DOUBLE / sum(n), 6) AS mean_chars,
-               sum(n - 1)::BIGINT AS duplicates, round(sum(n - 1)::DOUBLE / sum(n), 6) AS duplicate_ratio FROM o GROUP BY 1""",
-    "duplicate_ratio": f"""
-        WITH {_D}, {_L}, {_P}, o AS (SELECT h, count(*) AS n FROM p GROUP BY 1)
-        SELECT sum(n)::BIGINT AS chunks, sum(n - 1)::BIGINT AS duplicates, round(sum(n - 1)::DOUBLE / sum(n), 6) AS ratio FROM o""",
-    "label_distribution": rf"""
-        WITH {_D}, {_L} SELECT CASE WHEN regexp_matches(ltrim(line), '^\|.+\|$') THEN 'table'
-            WHEN regexp_matches(ltrim(line), '^(?:[-*+]|[0-9]+\.)\s') THEN 'list' ELSE 'paragraph' END AS label, count(*) AS n
-        FROM l0 WHERE trim(line) <> '' GROUP BY 1""",
-    "chunk_count_by_source": f"WITH {_D}, {_L}, {_P} SELECT source, count(*) AS chunks FROM p GROUP BY 1",
     "semantic_records": rf"""
         WITH {_SUMMARY} SELECT doc_id,
             'semantic:' || sha256(doc_id || ':0:' || lower(trim(regexp_replace(title || chr(10) || summary || chr(10) || answer, '\s+', ' ', 'g')))) AS chunk_id,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.filters import Field, compile_filter, compile_open_filter
-from tidemark.operators import evaluate, ingest, memory, search, snapshots
+from tidemark.functions.text import starts_entry
+from tidemark.operators import collections, evaluate, ingest, memory, search, snapshots
 from tidemark.session import read_table, spread_small
 from tidemark.sources import extract
 from tidemark.streaming.counters import counters
@@ -192,6 +194,59 @@ def extract_html(spark, sf_dir):
     return spread_small(read_table(spark, sf_dir, "pages")).select("page_id", F.char_length(out).alias("n_chars"), F.sha2(out, 256).alias("text_sha256"))
 
 
+def _numbered_lines(files, key, start):
+    """Lines of the texts (key, text) with their offsets, and the running count of lines for which ``start`` holds."""
+    own = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = files.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("first", start(F.col("line")))
+    before = F.sum(F.char_length("line") + 1).over(own) - F.char_length("line") - 1
+    return rows.select("*", before.alias("offset"), F.sum(F.col("first").cast("long")).over(own).alias("block"))
+
+
+def chunk_markdown_sections(spark, sf_dir):
+    """Sections of the pages' Markdown, by a running count of heading lines; block 0 stands before the first heading."""
+    text = F.coalesce(extract.html_to_markdown(F.col("html")), F.lit(""))
+    pages = spread_small(read_table(spark, sf_dir, "pages")).select("page_id", text.alias("text"))
+    s = _numbered_lines(pages, "page_id", lambda line: line.rlike(r"^#{1,6}\s+.+$"))
+    return s.groupBy("page_id", F.col("block").alias("section")).agg(
+        F.min("offset").alias("offset"), F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.max(F.when(F.col("first"), F.col("line"))).alias("heading")
+    )
+
+
+def log_entries(spark, sf_dir):
+    """Events as log files, errors with a line that continues them, cut into entries at the lines that begin with a time."""
+    e = read_table(spark, sf_dir, "events")
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "event_type", "user_id", F.when(F.col("event_type") == "error", F.concat(F.lit("\n    props "), "props")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n")
+    files = e.groupBy(F.expr("event_id div 20").alias("file_id")).agg(text.alias("text"))
+    rows = _numbered_lines(files, "file_id", starts_entry)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("file_id", F.col("block").alias("entry")).agg(F.count(F.lit(1)).alias("lines"), F.sha2(joined, 256).alias("text_sha256"))
+
+
+# Collections: a user's events ask for theirs to be created with parameters from the properties, errors to be deleted.
+
+
+def _collection_requests(spark, sf_dir):
+    k, n = F.col("k").cast("long"), F.col("event_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
+    return _events(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), F.when(k % 13 == 0, " ").otherwise(F.concat(F.lit("user-"), "user_id")).alias("collection_id"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("create").alias("action"), (k - 3).alias("dimension"),
+        pick(("cosine", "l2", "dot", "l1"), n).alias("metric"), pick(("m1", "m2", "", "m3", "m4"), n).alias("model"), F.lit("1").alias("schema_version"),
+        pick(("fp16", "sq8", "fp16", "int4"), k).alias("quantization"), k.alias("m"), (k * 10).alias("ef_construction"), (k * 6).alias("ef_search"),
+    )
+
+
+def collection_requests(spark, sf_dir):
+    """What each request comes to."""
+    return collections.judge(_collection_requests(spark, sf_dir)).select("seq", "collection_id", "action", "outcome")
+
+
+def collections_live(spark, sf_dir):
+    """The collections after all requests."""
+    return collections.live(collections.judge(_collection_requests(spark, sf_dir))).select("collection_id", "seq", "dimension", "metric", "model", "quantization")
+
+
 def change_detection(spark, sf_dir):
     """Orders up to 1998 as the registry, those from 1994 on as the scan; urgent ones were changed, some by an older pipeline."""
     o = read_table(spark, sf_dir, "orders")
@@ -241,45 +296,13 @@ def resolve_layer(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", search.resolve_layer(asked, F.col("user_id") % 2 == 0).alias("layer"))
 
 
-# Evaluation: a labelled document is a case, its mode the parity of its id; the results are nearby ids.
-
-
-def _cases(spark, sf_dir):
-    return read_table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 2 == 0, "vector").otherwise("keyword").alias("mode"), F.col("quality").cast("long").alias("expected")
-    )
-
-
-def _results(spark, sf_dir, step):
-    found = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("rank"), ((F.col("doc_id") * step + i) % 5).alias("source")))
-    return read_table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("case_id"), F.when(F.col("doc_id") % 2 == 0, "vector").otherwise("keyword").alias("mode"), F.inline(found)
-    )
-
-
-def _totals(spark, sf_dir, step):
-    return evaluate.totals(evaluate.hits(_cases(spark, sf_dir), _results(spark, sf_dir, step), 2), "mode")
-
-
-def eval_hit_at_k(spark, sf_dir):
-    return _totals(spark, sf_dir, 1)
-
-
-def eval_delta(spark, sf_dir):
-    return evaluate.deltas(_totals(spark, sf_dir, 1), _totals(spark, sf_dir, 2))
-
-
-def eval_gate(spark, sf_dir):
-    gates = {"vector": {"min_hit_rate": 0.9, "min_hit_at_k": 1}, "keyword": {"min_hit_rate": 0.1, "min_hit_at_k": 1_000_000}}
-    return evaluate.failures(_totals(spark, sf_dir, 1), gates)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         *map(_filter_query, FILTERS), filter_open_metadata, filter_open_props, pipeline_counters, ingest_status, latency_summary, budget_action, extract_json_flatten,
-        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, extract_sql_dump, extract_yaml, extract_rtf, html_to_markdown, extract_html, change_detection, chunk_sources_join,
-        memory_list, memory_assemble, rag_prompt, resolve_layer, eval_hit_at_k, eval_delta, eval_gate,
+        extract_jsonl_rows, extract_csv_rows, extract_tsv_rows, extract_sql_dump, extract_yaml, extract_rtf, html_to_markdown, extract_html, chunk_markdown_sections, log_entries,
+        collection_requests, collections_live, change_detection, chunk_sources_join,
+        memory_list, memory_assemble, rag_prompt, resolve_layer,
     )
 }
 
@@ -312,17 +335,18 @@ def _drop(x: str, tags: tuple[str, ...]) -> str:
     return x
 
 
-_CASES = "c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'vector' ELSE 'keyword' END AS mode, quality FROM labels)"
-
-
-def _tot(name: str, step: int) -> str:
-    return f"""{name} AS (SELECT mode, count(*) AS cases, count(*) FILTER (hit) AS hits, count(*) - count(*) FILTER (hit) AS misses,
-            round(count(*) FILTER (hit) / count(*), 6) AS rate
-        FROM (SELECT mode, (doc_id * {step} + 1) % 5 = quality OR (doc_id * {step} + 2) % 5 = quality AS hit FROM c) GROUP BY 1)"""
-
-
 _MEM = "m AS (SELECT conv_id AS session_id, turn AS created, role AS kind, text FROM conversations)"
 _SEP = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+_COLLECTIONS = f"""
+        r AS (SELECT event_id AS seq, k0::BIGINT AS n, CASE WHEN n % 13 = 0 THEN ' ' ELSE 'user-' || user_id END AS collection_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'create' END AS action,
+              n - 3 AS dimension, ['cosine', 'l2', 'dot', 'l1'][event_id % 4 + 1] AS metric, ['m1', 'm2', '', 'm3', 'm4'][event_id % 5 + 1] AS model, ['fp16', 'sq8', 'fp16', 'int4'][n % 4 + 1] AS quantization FROM {_EV}),
+        e AS (SELECT *, CASE WHEN action = 'delete' THEN NULL WHEN trim(collection_id) = '' THEN 'no collection' WHEN dimension <= 0 THEN 'dimension is not positive'
+              WHEN metric = 'l1' THEN 'unknown metric' WHEN model = '' THEN 'no model' WHEN quantization = 'int4' THEN 'unknown quantization'
+              WHEN n NOT BETWEEN 4 AND 64 THEN 'm is not from 4 to 64' WHEN n * 10 NOT BETWEEN 50 AND 800 THEN 'ef_construction is not from 50 to 800'
+              WHEN n * 6 NOT BETWEEN 10 AND 500 THEN 'ef_search is not from 10 to 500' END AS error FROM r),
+        p AS (SELECT *, last_value(CASE WHEN error IS NULL THEN action END IGNORE NULLS) OVER (PARTITION BY collection_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+        j AS (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN action = 'create' AND before = 'create' THEN 'already exists' WHEN action = 'create' THEN 'created'
+              WHEN before = 'create' THEN 'deleted' ELSE 'not found' END AS outcome FROM p)"""
 
 ORACLE = {
     "filter_eq": _where("event_type = 'click'"),
@@ -385,6 +409,20 @@ ORACLE = {
         b AS (SELECT page_id, coalesce(nullif(regexp_extract(h, '<body\b[^>]*>(.*)</body>', 1, 'is'), ''), h) AS h FROM k),
         x AS (SELECT page_id, {_html(_drop("h", ("script", "style", "nav", "header", "footer")))} AS t FROM b)
         SELECT page_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_sha256 FROM x""",
+    "chunk_markdown_sections": rf"""
+        WITH x AS (SELECT page_id, string_split(coalesce({_html(_drop("html", ("script", "style", "nav", "header", "footer")))}, ''), chr(10)) AS ls FROM pages),
+        l AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM x),
+        b AS (SELECT *, regexp_full_match(line, '#{{1,6}}\s+.+') AS head, sum(length(line) + 1) OVER w - length(line) - 1 AS off, sum(regexp_full_match(line, '#{{1,6}}\s+.+')::INTEGER) OVER w AS section
+              FROM l WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+        SELECT page_id, section::BIGINT AS section, min(off)::BIGINT AS "offset", count(*) AS lines, sum(length(line))::BIGINT AS chars, max(line) FILTER (head) AS heading FROM b GROUP BY 1, 2""",
+    "log_entries": """
+        SELECT event_id // 20 AS file_id, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) AS entry, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END::BIGINT AS lines,
+            sha256(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || user_id || CASE WHEN event_type = 'error' THEN ' ' || chr(10) || '    props ' || props ELSE '' END) AS text_sha256
+        FROM events""",
+    "collection_requests": f"WITH {_COLLECTIONS} SELECT seq, collection_id, action, outcome FROM j",
+    "collections_live": f"""
+        WITH {_COLLECTIONS} SELECT collection_id, seq, dimension, metric, model, quantization
+        FROM (SELECT * FROM j WHERE outcome IN ('created', 'deleted') QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY seq DESC) = 1) WHERE outcome = 'created'""",
     "change_detection": """
         WITH o AS (SELECT *, sha256(o_custkey || '|' || o_orderstatus) AS mark FROM orders),
         known AS (SELECT o_orderkey AS path, CASE WHEN o_orderpriority = '1-URGENT' THEN 'old' ELSE mark END
@@ -412,13 +450,4 @@ ORACLE = {
     "resolve_layer": """
         SELECT event_id, CASE WHEN user_id % 2 <> 0 THEN 'raw' ELSE CASE event_type WHEN 'click' THEN 'fused' WHEN 'view' THEN 'semantic'
             WHEN 'error' THEN 'fused' ELSE 'raw' END END AS layer FROM events""",
-    "eval_hit_at_k": f"WITH {_CASES}, {_tot('t', 1)} SELECT * FROM t",
-    "eval_delta": f"""
-        WITH {_CASES}, {_tot('a', 1)}, {_tot('b', 2)} SELECT mode, a.hits AS raw_hits, b.hits AS semantic_hits, b.hits - a.hits AS delta_hits,
-            round(b.rate - a.rate, 6) AS delta_rate FROM a JOIN b USING (mode)""",
-    "eval_gate": f"""
-        WITH {_CASES}, {_tot('t', 1)}, g AS (SELECT * FROM (VALUES ('vector', 'min_hit_rate', 0.9::DOUBLE), ('vector', 'min_hit_at_k', 1.0::DOUBLE),
-            ('keyword', 'min_hit_rate', 0.1::DOUBLE), ('keyword', 'min_hit_at_k', 1000000.0::DOUBLE)) v(mode, gate, wanted)),
-        x AS (SELECT mode, gate, wanted, CASE WHEN gate = 'min_hit_rate' THEN rate ELSE hits::DOUBLE END AS got FROM t JOIN g USING (mode))
-        SELECT * FROM x WHERE got < wanted""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import sentences, tokens, truncate
+from tidemark.operators import evaluate
 from tidemark.operators import keyword as K
 from tidemark.operators import postings
 from tidemark.operators import publication as P
@@ -101,6 +102,56 @@ def explain_vector(spark, sf_dir):
     return top.join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", "doc_id", F.substring("text", 1, 200).alias("preview"))
 
 
+# Evaluation: a document whose id is divisible by 20 and has a vector is a case; it asks by its vector and by its first
+# three terms, and expects documents of its own source. The semantic layer holds the documents of published bundles.
+
+
+def _cases(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").where("doc_id % 20 = 0")
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), F.col("embedding").alias("q"))
+    asked = F.array_join(F.slice(tokens(F.coalesce(F.col("text"), F.lit(""))), 1, 3), " ")
+    return d.select(F.col("doc_id").alias("case_id"), asked.alias("query"), F.col("source").alias("expected")).join(e, "case_id")
+
+
+def _case_hits(spark, sf_dir, semantic):
+    cases = _cases(spark, sf_dir)
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    sources = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    live = P.live_bundles(_bundles(spark, sf_dir)).select("bundle_id")
+    passing = sources.withColumn("bundle_id", F.expr("id div 10")).join(live, "bundle_id", "left_semi") if semantic else None
+    found = evaluate.search_cases(cases, vectors, _index(spark, sf_dir), 5, passing=passing).join(sources, "id")
+    modes = cases.select("case_id", "expected", F.explode(F.array(*map(F.lit, evaluate.MODES))).alias("mode"))
+    return evaluate.hits(modes, found, 5)
+
+
+def _totals(spark, sf_dir, semantic=False):
+    return evaluate.totals(_case_hits(spark, sf_dir, semantic), "mode")
+
+
+def eval_case_hits(spark, sf_dir):
+    """Per case and mode whether a document of the expected source is among the first five."""
+    return _case_hits(spark, sf_dir, False)
+
+
+def eval_hit_at_k(spark, sf_dir):
+    """Cases, hits, misses and hit rate of each mode over the raw layer."""
+    return _totals(spark, sf_dir)
+
+
+def eval_delta(spark, sf_dir):
+    """Per mode what the semantic layer's totals differ by from the raw layer's."""
+    return evaluate.deltas(_totals(spark, sf_dir), _totals(spark, sf_dir, True))
+
+
+#: Thresholds of the gate, per mode.
+GATES = {"vector": {"min_hit_rate": 0.9, "min_hit_at_k": 1}, "keyword": {"min_hit_rate": 0.1, "min_hit_at_k": 1_000_000}, "hybrid": {"min_hit_rate": 0.5}}
+
+
+def eval_gate(spark, sf_dir):
+    """The thresholds that the raw layer doesn't meet."""
+    return evaluate.failures(_totals(spark, sf_dir), GATES)
+
+
 def search_requests(spark, sf_dir):
     """Documents as search requests, with the vector of their id if there is one; each is accepted or refused."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
@@ -183,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, search_keyword, keyword_normalized, search_trigram, search_phrases, search_hybrid, search_hybrid_unfiltered_kw,
-        search_hybrid_all, explain_vector, search_requests,
+        search_hybrid_all, explain_vector, search_requests, eval_case_hits, eval_hit_at_k, eval_delta, eval_gate,
         list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, semantic_publish, semantic_rollback,
         semantic_unpublish, bundle_upsert,
     )
@@ -237,7 +288,47 @@ def _judge(rollback: bool) -> str:
           LEFT JOIN (SELECT DISTINCT replaced_id FROM j WHERE refused IS NULL) g ON g.replaced_id = b.bundle_id)"""
 
 
+def _eval_sql(name: str, semantic: bool) -> str:
+    """The evaluation of one layer, as CTEs: hits per case in ``<name>_hit``, totals in ``<name>``."""
+    held = "IN (SELECT doc_id FROM documents WHERE doc_id // 10 IN (SELECT bundle_id FROM live))" if semantic else "IS NOT NULL"
+    ranked = 'SELECT case_id, id, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, id) AS "rank" FROM {} QUALIFY "rank" <= {}'
+    return f"""
+        {name}_k0 AS (SELECT case_id, doc_id AS id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+            FROM cw JOIN xf USING (term) JOIN xd USING (term), xs GROUP BY 1, 2, need HAVING count(*) = need),
+        {name}_k AS ({ranked.format(f"(SELECT * FROM {name}_k0 WHERE id <> case_id AND id {held})", 20)}),
+        {name}_v0 AS (SELECT case_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, cs
+            WHERE vec_id <> case_id AND vec_id {held}),
+        {name}_v AS ({ranked.format(f"{name}_v0", 20)}),
+        {name}_h0 AS (SELECT case_id, id, round(sum(1.0::DOUBLE / (60 + "rank")), 9) AS score FROM (SELECT * FROM {name}_k UNION ALL SELECT * FROM {name}_v) GROUP BY 1, 2),
+        {name}_h AS ({ranked.format(f"{name}_h0", 5)}),
+        {name}_all AS (SELECT 'vector' AS mode, * FROM {name}_v UNION ALL SELECT 'keyword', * FROM {name}_k UNION ALL SELECT 'hybrid', * FROM {name}_h),
+        {name}_hit AS (SELECT cs.case_id, m.mode, coalesce(bool_or(CASE WHEN expected IS NULL THEN source IS NOT NULL ELSE source = expected END), FALSE) AS hit
+            FROM cs CROSS JOIN (VALUES ('vector'), ('keyword'), ('hybrid')) m(mode) LEFT JOIN (SELECT case_id, mode, source FROM {name}_all JOIN documents ON doc_id = id
+                WHERE "rank" <= 5) r ON r.case_id = cs.case_id AND r.mode = m.mode GROUP BY 1, 2),
+        {name} AS (SELECT mode, count(*) AS cases, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses,
+            round(count(*) FILTER (hit) / count(*), 6) AS rate FROM {name}_hit GROUP BY 1)"""
+
+
+_EVAL = rf"""{_B},
+        xt AS (SELECT doc_id, source, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\p{{L}}\p{{N}}]+') AS terms FROM documents),
+        xs AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS avgdl FROM xt),
+        xf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*)::DOUBLE AS f FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM xt) GROUP BY 1, 2),
+        xd AS (SELECT term, count(*) AS df FROM xf GROUP BY 1),
+        cs AS (SELECT doc_id AS case_id, source AS expected, embedding::DOUBLE[] AS q, terms[1:3] AS asked FROM xt JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),
+        cw AS (SELECT case_id, len(asked) AS need, unnest(asked) AS term FROM cs)"""
+
+
 ORACLE = {
+    "eval_case_hits": f"WITH {_EVAL}, {_eval_sql('a', False)} SELECT * FROM a_hit",
+    "eval_hit_at_k": f"WITH {_EVAL}, {_eval_sql('a', False)} SELECT * FROM a",
+    "eval_delta": f"""
+        WITH {_EVAL}, {_eval_sql('a', False)}, {_eval_sql('se', True)} SELECT mode, a.hits AS raw_hits, se.hits AS semantic_hits, se.hits - a.hits AS delta_hits,
+            round(se.rate - a.rate, 6) AS delta_rate FROM a JOIN se USING (mode)""",
+    "eval_gate": f"""
+        WITH {_EVAL}, {_eval_sql('a', False)}, g AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{g}', {float(x)}::DOUBLE)" for m, gates in GATES.items() for g, x in gates.items())})
+            v(mode, gate, wanted)),
+        x AS (SELECT mode, gate, wanted, CASE WHEN gate = 'min_hit_rate' THEN rate ELSE hits::DOUBLE END AS got FROM a JOIN g USING (mode))
+        SELECT * FROM x WHERE got < wanted""",
     "bm25_stats": rf"""
         WITH {_BM25}, x AS (SELECT doc_id, unnest(terms) AS term FROM d)
         SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM x GROUP BY 1""",

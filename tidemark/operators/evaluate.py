@@ -1,4 +1,4 @@
-"""Retrieval evaluation: hits per mode, deltas between layers, gates, latency."""
+"""Retrieval evaluation: searches of the cases in each mode, hits, deltas between layers, gates, latency."""
 
 from __future__ import annotations
 
@@ -7,16 +7,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import keyword, postings, search
 from tidemark.session import materialize
 
+MODES = ("vector", "keyword", "hybrid")
+
+
+def search_cases(cases: DataFrame, vectors: DataFrame, index: postings.Index, k: int, depth: int = 20, passing: DataFrame | None = None) -> DataFrame:
+    """The k best of every case in each mode: case_id, mode, rank, id.
+
+    cases: (case_id, query, q); vectors: (id, v); passing: the ids that a layer holds, all if none are given. A case is
+    searched without its own row, so that it can't find itself. A case whose vector cannot be scored has no vector
+    results, one whose query has no words no keyword results; the hybrid list fuses what the two modes found.
+    """
+    layer = (lambda rows: rows) if passing is None else (lambda rows: rows.join(passing.select("id").distinct(), "id", "left_semi"))
+    asked = cases.select(F.col("case_id").alias("query_id"), "q")
+    near = search.nearest(layer(vectors), asked, depth + 1, id_col="id", vector_col="v")
+    words = layer(postings.keyword_scores(index, cases.select(F.col("case_id").alias("query_id"), "query")))
+    near = search.top_k(near.where("id <> query_id"), depth)
+    words = keyword.top_k(words.where("id <> query_id"), depth)
+    found = {"vector": near, "keyword": words, "hybrid": search.top_k(search.rrf((near, 1.0), (words, 1.0)), k, 9)}
+    lists = [rows.where(F.col("rank") <= k).select(F.col("query_id").alias("case_id"), F.lit(m).alias("mode"), "rank", "id") for m, rows in found.items()]
+    return materialize(reduce(DataFrame.unionByName, lists), "case-results")
+
 
 def hits(cases: DataFrame, results: DataFrame, k: int) -> DataFrame:
     """Per case and mode whether one of the first k results is expected.
 
-    cases: (case_id, mode, expected); results: (case_id, mode, rank, source).
+    cases: (case_id, mode, expected); results: (case_id, mode, rank, source). A case without an expected source is
+    hit by any result that has one.
     """
     found = results.where(F.col("rank") <= k).select("case_id", "mode", "source")
-    hit = F.max(F.coalesce(F.col("source") == F.col("expected"), F.lit(False)))
+    met = F.when(F.col("expected").isNull(), F.col("source").isNotNull()).otherwise(F.col("source") == F.col("expected"))
+    hit = F.max(F.coalesce(met, F.lit(False)))
     return cases.join(found, ["case_id", "mode"], "left").groupBy("case_id", "mode").agg(hit.alias("hit"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, ngram_lm
 from tidemark.llm.bpe import PrefixBpe, encode_decode
-from tidemark.llm.packing import pack, plan
+from tidemark.llm.packing import pack, plan, solve_patterns
 from tidemark.llm.vocabulary import TokenizerFile
 
 ODD = "abcAB'\"<|>endoftext stré ̸́=!\x85\xa0\x1c　Σσς İıßÀÿ²½×ªµﬁǅ𝒳中文हि٣​\n\t012�"
@@ -179,6 +179,33 @@ def test_packing_repeated_rows(table, vocabulary):
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (1, 4), (1, 4)]
     assert {r.sequence_id for r in rows} == {0}
 
+def test_packing_of_short_texts_has_little_padding(table, vocabulary, words):
+    for n in (0, 1, 4, 16, 50):
+        texts = [words(3, n)] * 12_000
+        rows = pack(table(texts).repartition(3), vocabulary).agg(F.sum("length"), F.countDistinct("sequence_id"), F.countDistinct("sequence_id", "offset"), F.count("*")).first()
+        assert rows[2] == rows[3] >= len(texts)
+        assert rows[1] * 4096 < 1.05 * rows[0] + 4096
+
+
+def test_packing_of_any_capacity(table, vocabulary, words):
+    texts = [words(i, i % 70) for i in range(200)]
+    for capacity in (16, 64, 512):
+        by_sequence = defaultdict(list)
+        for r in pack(table(texts), vocabulary, capacity=capacity).collect():
+            by_sequence[r.sequence_id].append((r.offset, r.length))
+        for own in by_sequence.values():
+            own.sort()
+            assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+            assert sum(n for _, n in own) <= capacity
+
+
+def test_plan_that_is_cut_short_is_logged(caplog):
+    histogram = {s: 100 + s for s in range(20, 120)}
+    assert sum(n for _, n in plan(histogram, 256)) > 0 and not caplog.records
+    columns, use = solve_patterns(np.arange(20, 120), np.full(100, 50.0), 256, rounds=2)
+    assert "rounds" in caplog.text
+    assert (np.einsum("ij,j->i", columns, use) > 49.999).all()
+
 
 def test_plan_is_whole_and_close_to_the_bound():
     r = random.Random(2)

@@ -1,12 +1,14 @@
 """Packing documents into fixed-length sequences as a cutting-stock problem.
 
-A document's ids are cut into pieces of the full length and one remainder. Piece lengths are rounded
-up to units; their histogram, at most capacity / unit counts, is all that reaches the driver. There
+A document's ids are cut into pieces of the full length and one remainder. Short pieces are bundled, those
+that a task meets one after the other, so that rounding costs little: a bundle is placed as one piece, and is filled up
+with the first part of the next short piece, which is cut, unless less than a unit is left. Lengths of
+bundles and of other pieces are rounded up to units; their histogram, at most capacity / unit counts, is all that reaches the driver. There
 a linear program over patterns (multisets of lengths that fit one sequence) is solved by column
 generation: a knapsack dynamic program prices new columns. The patterns' use is rounded down, the
 pieces left over, a few per pattern, are placed largest first, and each pattern gets a range of
-sequence numbers. Pieces are ranked within their length without gathering one length in one task (a
-count per partition gives the offset, a local rank the rest), and the rank alone decides a piece's
+sequence numbers. Pieces and bundles are ranked within their length without gathering one length in one task (a
+count per partition gives the offset, a local rank the rest), and the rank alone decides their
 pattern, sequence and slot.
 
 Defined results: a null text counts as empty and is one piece that holds the end id; pieces of one
@@ -16,6 +18,7 @@ table gives no sequence; other columns play no part.
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import struct
@@ -33,6 +36,9 @@ from tidemark.llm.worker import PAIR_BYTES, held, releasing
 from tidemark.session import materialize
 
 CAPACITY, UNIT, END_ID = 4096, 16, 2
+#: Parts of the capacity: up to the first a piece is bundled, the second is what a bundle holds. With 4096 places, pieces of up to
+#: 128 tokens come in bundles of 1024, of which fewer than a unit stay empty.
+SHORT, BUNDLE = 32, 4
 
 #: Lower-case Latin-1 text without the marker of special tokens, and the pieces that it is cut into.
 _PLAIN = re.compile(r"(?!.*<\|)[\x00-\x7fÀ-ÖØ-öø-ÿ]*", re.DOTALL)
@@ -93,29 +99,58 @@ def _table(path: str) -> ChunkTable:
     return loaded[path]
 
 
-def _cut(path: str, capacity: int, end_id: int):
+_COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "item", "item_tokens", "item_at")
+
+
+def _cut(path: str, capacity: int, end_id: int, unit: int):
+    """Pieces, with the item that each is placed in: its number in the task, its tokens and the piece's place there."""
     end = np.array([end_id], "<u4").tobytes()
+    short, bundle = capacity // SHORT, max(unit, capacity // BUNDLE // unit * unit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path)
+        table, items, kind = _table(path), 0, pa.null()
+        waiting, filled = [], 0  # the bundle that is being filled, at most ``bundle`` pieces
+
+        def rows(some: list[tuple]) -> pa.RecordBatch:
+            ids, *numbers = zip(*some, strict=True) if some else [()] * len(_COLUMNS)
+            return pa.record_batch([pa.array(ids, kind), *(pa.array(n, pa.int64()) for n in numbers)], names=list(_COLUMNS))
+
+        def close() -> list[tuple]:
+            nonlocal waiting, filled, items
+            out = [(*piece, items, filled, at) for piece, at in waiting]
+            items += 1
+            waiting, filled = [], 0
+            return out
+
         for batch in batches:
+            kind, keys = batch.column(0).type, batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for first, some in portions(texts):
-                row, start, length, crc, total = [], [], [], [], []
+                done = []
                 for i, values in enumerate(table.look_up(some)):
                     ids = b"".join([*values, end])
                     n = len(ids) // 4
-                    for at in range(0, n, capacity):
-                        piece = ids[4 * at : 4 * (at + capacity)]
-                        row.append(first + i)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                yield pa.record_batch(
-                    [batch.column(0).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (start, length, crc, total))],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-                )
+                    at = 0
+                    while at < n:
+                        length = min(capacity, n - at)
+                        bundled = length <= short
+                        if bundled and bundle - filled < length:  # fill the bundle up, or close it as it is
+                            if bundle - filled < unit:
+                                done += close()
+                            length = min(length, bundle - filled)
+                        piece = (keys[first + i], at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n)
+                        at += length
+                        if not bundled:
+                            done.append((*piece, items, length, 0))
+                            items += 1
+                            continue
+                        waiting.append((piece, filled))
+                        filled += length
+                        if filled == bundle:
+                            done += close()
+                yield rows(done)
+        if waiting:
+            yield rows(close())
 
     return releasing(run, "packing")
 
@@ -163,8 +198,9 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (as columns) and their use, which minimise the number of sequences: simplex with priced columns.
 
-    Stops at the optimum, or after ``rounds`` pivots with a feasible plan.
+    Stops at the optimum, or after ``rounds`` pivots with a feasible plan, and then logs how far it may be from the optimum.
     """
+    gain = 1.0
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
     use = _times(inverse, demand)
@@ -187,6 +223,9 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         if turn % 200 == 199:
             inverse = _inverse_of(columns)
             use = np.maximum(_times(inverse, demand), 0)
+    else:
+        # The prices divided by the best pattern's worth are a dual solution, so that no plan needs fewer than use / gain.
+        logging.getLogger(__name__).warning("packing: stopped after %d rounds, at most %.4f times the least number of sequences", rounds, gain)
     return columns, np.maximum(use, 0)
 
 
@@ -231,13 +270,13 @@ def pack(
     spark = df.sparkSession
     kind = df.select(df[id_col].alias("doc_id")).schema[0].dataType.simpleString()
     pieces = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(
-        _cut(path, capacity, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+        _cut(path, capacity, end_id, unit), f"doc_id {kind}, {', '.join(f'{c} long' for c in _COLUMNS[1:])}"
     )
     pieces = materialize(
-        pieces.select("*", F.expr(f"int(({unit - 1} + length) div {unit})").alias("units"), F.spark_partition_id().alias("part")),
+        pieces.select("*", F.expr(f"int(({unit - 1} + item_tokens) div {unit})").alias("units"), F.spark_partition_id().alias("part")).drop("item_tokens"),
         "pieces",
     )
-    counts = pieces.groupBy("units", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = pieces.where("item_at = 0").groupBy("units", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(counts, "length-counts")
     histogram = {r["units"]: r["n"] for r in counts.groupBy("units").agg(F.sum("n").alias("n")).collect()}
     slots, sequence, used = [], 0, dict.fromkeys(histogram, 0)
@@ -249,9 +288,9 @@ def pack(
     table = spark.createDataFrame(slots, "units int, low long, high long, each long, first_sequence long")
     before = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("units", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    local = Window.partitionBy("units", "part").orderBy("doc_id", "start")
+    local = Window.partitionBy("units", "part").orderBy("item")
     ranked = (
-        pieces.withColumn("local", F.row_number().over(local))
+        pieces.withColumn("local", F.dense_rank().over(local))
         .join(offsets, ["units", "part"])
         .withColumn("place", F.col("before") + F.col("local") - 1)
     )
@@ -263,10 +302,11 @@ def pack(
         "ids_crc32",
         "doc_tokens",
         "units",
+        "item_at",
         F.expr("first_sequence + (place - low) div each").alias("sequence_id"),
         F.expr("(place - low) % each").alias("slot"),
     )
-    within = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "slot").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "slot", "item_at").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(
         "doc_id",
         "start",

@@ -176,6 +176,16 @@ def test_substring_edges(table, words):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 40), (1, 40)]
 
 
+def test_substrings_of_many_rows_with_one_id_and_text(table, words):
+    """One earlier copy, many rows that repeat a document, and one that holds it twice in itself."""
+    text = words(91, 60)
+    rows = [(1, text), *[(2, text)] * 1500, (3, f"{text} {text}"), *[(4, words(92, 30))] * 900]
+    got = {}
+    for r in remove_repeats(table(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.n_removed))
+    assert got == {1: [(60, 0)], 2: [(60, 60)] * 1500, 3: [(120, 120)], 4: [(30, 0)] * 900}
+
+
 def test_fm_index_finds_earlier_windows():
     rng = np.random.default_rng(5)
     for _ in range(100):

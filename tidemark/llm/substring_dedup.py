@@ -394,6 +394,12 @@ def remove_repeats(
         df[id_col].cast("long").alias("doc_id"),
         text.alias("text"),
     )
+    # Rows that repeat id and text are one document up to the last join.
+    again = materialize(docs.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", "tag"), "repeated-rows")
+    every = docs
+    if not again.isEmpty():
+        once = docs.join(again, ["doc", "tag"], "left_semi").groupBy("doc", "tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        docs = docs.join(again, ["doc", "tag"], "left_anti").unionByName(once)
     some = docs.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(HOT_SAMPLE)) == 0).select("text")
     often = some.mapInArrow(_hot_anchors(window, anchor, HOT_SHARE), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     hot = np.array([r["h"] for r in often.orderBy(F.desc("n"), "h").limit(int(1 / HOT_SHARE)).collect()], np.int64).view(np.uint64)
@@ -418,4 +424,4 @@ def remove_repeats(
     searched = sent.repartitionById(parts, "part").sortWithinPartitions("shard").mapInArrow(_search(window), _MARKS)
     spans = searched.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     out = f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digests else 'kept'} string"
-    return docs.join(spans, ["doc", "tag"], "left").select("doc", "tag", "doc_id", "text", "marks").mapInArrow(_keep(window, digests), out)
+    return every.join(spans, ["doc", "tag"], "left").select("doc", "tag", "doc_id", "text", "marks").mapInArrow(_keep(window, digests), out)

@@ -278,3 +278,31 @@ def test_hits_of_cases_without_an_expected_source(spark):
     cases = spark.createDataFrame([(1, "m", None), (2, "m", None), (3, "m", "x"), (4, "m", "x")], "case_id long, mode string, expected string")
     results = spark.createDataFrame([(1, "m", 1, "y"), (2, "m", 1, None), (3, "m", 3, "x"), (4, "m", 2, "x"), (4, "m", 2, "x")], "case_id long, mode string, rank int, source string")
     assert {r.case_id: r.hit for r in evaluate.hits(cases, results, 2).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_explained_results(spark):
+    kind = "query_id long, id long, rank int, score double"
+    near = spark.createDataFrame([(1, 7, 1, 0.9), (1, 8, 2, 0.5)], kind)
+    words = spark.createDataFrame([(1, 8, 1, 3.5)], kind)
+    fused = spark.createDataFrame([(1, 8, 1, 0.03), (1, 7, 2, 0.01), (2, 9, 1, 0.01)], kind)
+    queries = spark.createDataFrame([(1, "  two\twords "), (2, None)], "query_id long, query string")
+    texts = spark.createDataFrame([(7, "x" * 300), (8, None), (8, "b"), (8, "a")], "id long, text string")
+    got = {(r.query_id, r.id): r for r in search.explain(fused, near, words, queries, texts).collect()}
+    assert len(got) == 3
+    r = got[1, 8]
+    assert (r.rank, r.rrf_score, r.vector_score, r.vector_rank, r.keyword_score, r.keyword_rank, r.preview, r.matched_terms) == (1, 0.03, 0.5, 2, 3.5, 1, "a", "two words")
+    assert (got[1, 7].keyword_score, got[1, 7].keyword_rank, got[1, 7].preview) == (None, None, "x" * 200)
+    assert (got[2, 9].vector_score, got[2, 9].preview, got[2, 9].matched_terms) == (None, None, "")
+
+
+def test_audit_log(spark):
+    kind = "bundle_id long, doc_id long, status string, collection_id string, published_at long"
+    bundles = spark.createDataFrame([(1, 1, "approved", "c", 5), (2, 1, "approved", None, None), (3, 2, "rejected", None, None)], kind)
+    judged = publication.judge(bundles, spark.createDataFrame([(2, "c", True), (3, "c", True)], "bundle_id long, to_collection string, replace boolean"))
+    after = publication.publish(bundles, judged, F.lit(9))
+    gone = publication.unpublished_entries(after, bundles.unionByName(bundles), "b", F.lit(10))
+    entries = publication.published_entries(judged, "a", F.lit(9)).unionByName(gone)
+    assert [tuple(r) for r in publication.audit_log(entries).collect()] == [(2, "c", "publish", 1, "a", 9), (2, "c", "unpublish", None, "b", 10)]
+    assert publication.audit_log(entries, bundle_id=1).count() == 0
+    assert publication.audit_log(entries, bundle_id=2, collection_id="c").count() == 2
+    assert publication.audit_log(entries, collection_id="d").count() == 0

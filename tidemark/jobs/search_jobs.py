@@ -10,7 +10,7 @@ from tidemark.operators import keyword as K
 from tidemark.operators import postings
 from tidemark.operators import publication as P
 from tidemark.operators import search as S
-from tidemark.session import read_table, spread_small
+from tidemark.session import materialize, read_table, spread_small
 
 #: The stated queries; the id is also that of the query's vector.
 ASKED = {1: "the of", 2: "de la", 3: "der", 4: "license version", 5: "tionthe"}
@@ -69,16 +69,22 @@ def search_phrases(spark, sf_dir):
     return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
-def _hybrid(spark, sf_dir, filter_vectors, filter_keywords):
-    """Vector and keyword lists fused; the filter is on metadata, the label that an id has in ``embeddings``."""
+def _two_lists(spark, sf_dir, vectors, passing=None):
+    """The twenty best of the stated queries by vector and by keyword."""
     e = read_table(spark, sf_dir, "embeddings")
     asked = e.where(F.col("vec_id").isin(list(ASKED))).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     words = _scores(spark, sf_dir)
-    passing = e.where("label IN (0, 2, 4, 6, 8)")
-    if filter_keywords:
+    if passing is not None:
         words = words.join(passing.select(F.col("vec_id").alias("id")), "id", "left_semi")
-    fused = S.rrf((S.nearest(passing if filter_vectors else e, asked, 20), 1.0), (K.top_k(words, 20), 1.0))
-    return S.top_k(fused, 10, 9).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    return S.nearest(vectors, asked, 20), K.top_k(words, 20)
+
+
+def _hybrid(spark, sf_dir, filter_vectors, filter_keywords):
+    """Vector and keyword lists fused; the filter is on metadata, the label that an id has in ``embeddings``."""
+    e = read_table(spark, sf_dir, "embeddings")
+    passing = e.where("label IN (0, 2, 4, 6, 8)")
+    near, words = _two_lists(spark, sf_dir, passing if filter_vectors else e, passing if filter_keywords else None)
+    return S.top_k(S.rrf((near, 1.0), (words, 1.0)), 10, 9).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def search_hybrid(spark, sf_dir):
@@ -102,6 +108,15 @@ def explain_vector(spark, sf_dir):
     return top.join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", "doc_id", F.substring("text", 1, 200).alias("preview"))
 
 
+def explain_hybrid(spark, sf_dir):
+    """The hybrid results with their scores and ranks in both lists, a preview and the query's terms."""
+    near, words = _two_lists(spark, sf_dir, read_table(spark, sf_dir, "embeddings"))
+    near, words = materialize(near, "near"), materialize(words, "words")
+    fused = S.top_k(S.rrf((near, 1.0), (words, 1.0)), 10, 9)
+    out = S.explain(fused, near, words, _asked(spark), read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 # Evaluation: a document whose id is divisible by 20 and has a vector is a case; it asks by its vector and by its first
 # three terms, and expects documents of its own source. The semantic layer holds the documents of published bundles.
 
@@ -209,6 +224,15 @@ def publication_log(spark, sf_dir):
     return _judged(spark, sf_dir, "publish").select("bundle_id", "to_collection", "replaced_id", F.coalesce("refused", F.lit("published")).alias("outcome"))
 
 
+def audit_log(spark, sf_dir):
+    """Every action that was taken: the publications, then the withdrawal of a sixth of what is live."""
+    judged = _judged(spark, sf_dir, "publish")
+    b = P.publish(_bundles(spark, sf_dir), judged, F.lit(100))
+    gone = b.where("bundle_id % 6 = 0").select("bundle_id")
+    entries = P.published_entries(judged, "editor", F.lit(100)).unionByName(P.unpublished_entries(b, gone, "steward", F.lit(300)))
+    return P.audit_log(entries)
+
+
 def semantic_publish(spark, sf_dir):
     return _state(P.publish(_bundles(spark, sf_dir), _judged(spark, sf_dir, "publish"), F.lit(100)))
 
@@ -234,8 +258,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, search_keyword, keyword_normalized, search_trigram, search_phrases, search_hybrid, search_hybrid_unfiltered_kw,
-        search_hybrid_all, explain_vector, search_requests, eval_case_hits, eval_hit_at_k, eval_delta, eval_gate,
-        list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, semantic_publish, semantic_rollback,
+        search_hybrid_all, explain_vector, explain_hybrid, search_requests, eval_case_hits, eval_hit_at_k, eval_delta, eval_gate,
+        list_bundles, published_bundle_for_doc, published_unit_lookups, publication_log, audit_log, semantic_publish, semantic_rollback,
         semantic_unpublish, bundle_upsert,
     )
 }
@@ -256,14 +280,17 @@ _TOP = 'SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 _PASSING = "label IN (0, 2, 4, 6, 8)"
 
 
-def _hybrid_sql(vectors: str, keywords: str) -> str:
+def _hybrid_parts(vectors: str, keywords: str) -> str:
     return f"""
-        WITH {_BM25}, k2 AS (SELECT * FROM kw WHERE {keywords}), kt AS ({_TOP.format("k2", 20)}),
+        {_BM25}, k2 AS (SELECT * FROM kw WHERE {keywords}), kt AS ({_TOP.format("k2", 20)}),
         vs AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
                FROM (SELECT * FROM embeddings WHERE {vectors}) e, embeddings q WHERE q.vec_id BETWEEN 1 AND 5),
         vt AS ({_TOP.format("vs", 20)}),
-        f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + "rank")), 9) AS score FROM (SELECT * FROM kt UNION ALL SELECT * FROM vt) GROUP BY 1, 2)
-        {_TOP.format("f", 10)}"""
+        f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + "rank")), 9) AS score FROM (SELECT * FROM kt UNION ALL SELECT * FROM vt) GROUP BY 1, 2)"""
+
+
+def _hybrid_sql(vectors: str, keywords: str) -> str:
+    return f"WITH {_hybrid_parts(vectors, keywords)} {_TOP.format('f', 10)}"
 
 
 _B = """
@@ -361,6 +388,15 @@ ORACLE = {
     "search_hybrid_all": _hybrid_sql("TRUE", "TRUE"),
     "explain_vector": f"""
         WITH {_BM25}, t AS ({_TOP.format("kw", 10)}) SELECT query_id, "rank", doc_id, substr(text, 1, 200) AS preview FROM t JOIN documents USING (doc_id)""",
+    "explain_hybrid": f"""
+        WITH {_hybrid_parts("TRUE", "TRUE")}, t AS ({_TOP.format("f", 10)}), q AS (SELECT * FROM (VALUES {", ".join(f"({q}, '{t}')" for q, t in ASKED.items())}) v(query_id, terms))
+        SELECT t.query_id, t.doc_id, t."rank", t.score AS rrf_score, vt.score AS vector_score, vt."rank" AS vector_rank, kt.score AS keyword_score, kt."rank" AS keyword_rank,
+               substr(text, 1, 200) AS preview, terms AS matched_terms
+        FROM t JOIN q ON q.query_id = t.query_id LEFT JOIN vt ON vt.query_id = t.query_id AND vt.doc_id = t.doc_id
+            LEFT JOIN kt ON kt.query_id = t.query_id AND kt.doc_id = t.doc_id LEFT JOIN documents ON documents.doc_id = t.doc_id""",
+    "audit_log": f"""
+        WITH {_judge(False)} SELECT bundle_id, to_collection AS collection_id, 'publish' AS action, replaced_id, 'editor' AS actor, 100 AS "at" FROM j WHERE refused IS NULL
+        UNION ALL SELECT bundle_id, collection_id, 'unpublish', NULL, 'steward', 300 FROM p WHERE collection_id IS NOT NULL AND bundle_id % 6 = 0""",
     "search_requests": """
         SELECT doc_id, CASE WHEN source = 'src3' OR coalesce(source, '') = '' THEN 'no collection' WHEN coalesce(n_chars % 9, 0) = 0 THEN 'top_k is not positive'
             WHEN n_chars % 4 = 3 THEN 'unknown mode' WHEN n_chars % 4 <> 1 AND coalesce(len(embedding), 0) = 0 THEN 'no vector'

@@ -61,6 +61,27 @@ def publish(bundles: DataFrame, judged: DataFrame, published_at: Column) -> Data
     )
 
 
+def published_entries(judged: DataFrame, actor: str, at: Column, action: str = "publish") -> DataFrame:
+    """Audit entries of the requests that weren't refused."""
+    done = judged.where("refused IS NULL")
+    return done.select("bundle_id", F.col("to_collection").alias("collection_id"), F.lit(action).alias("action"), "replaced_id", F.lit(actor).alias("actor"), at.alias("at"))
+
+
+def unpublished_entries(bundles: DataFrame, ids: DataFrame, actor: str, at: Column) -> DataFrame:
+    """Audit entries of the bundles that are live and are cleared."""
+    gone = bundles.where("collection_id IS NOT NULL").join(ids.select("bundle_id").distinct(), "bundle_id", "left_semi")
+    return gone.select("bundle_id", "collection_id", F.lit("unpublish").alias("action"), F.lit(None).cast("long").alias("replaced_id"), F.lit(actor).alias("actor"), at.alias("at"))
+
+
+def audit_log(entries: DataFrame, bundle_id: int | None = None, collection_id: str | None = None) -> DataFrame:
+    """The entries of one bundle or collection, or of all, in the order of their time, then bundle and action."""
+    if bundle_id is not None:
+        entries = entries.where(F.col("bundle_id") == bundle_id)
+    if collection_id is not None:
+        entries = entries.where(F.col("collection_id") == collection_id)
+    return entries.orderBy("at", "bundle_id", "action")
+
+
 def unpublish(bundles: DataFrame, ids: DataFrame) -> DataFrame:
     """``bundles`` with these cleared."""
     rows = bundles.join(ids.select("bundle_id").distinct().withColumn("cleared", F.lit(True)), "bundle_id", "left")

@@ -140,6 +140,20 @@ def rrf(*lists: tuple[DataFrame, float], k: int = RRF_K) -> DataFrame:
     return union.groupBy("query_id", "id").agg(F.sum("share").alias("score"))
 
 
+def explain(fused: DataFrame, near: DataFrame, words: DataFrame, queries: DataFrame, texts: DataFrame, preview: int = 200) -> DataFrame:
+    """Why each result of a fused list is where it is: its score and rank in either list, a preview and the query's terms.
+
+    fused, near and words: (query_id, id, rank, score); queries: (query_id, query); texts: (id, text). What a list doesn't
+    hold is null; an id without a text has no preview; a null query has no terms.
+    """
+    side = lambda rows, name: rows.select("query_id", "id", F.col("score").alias(f"{name}_score"), F.col("rank").alias(f"{name}_rank"))
+    terms = F.filter(F.split(F.coalesce("query", F.lit("")), r"\s+"), lambda x: x != "")
+    shown = texts.join(fused.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min(F.substring("text", 1, preview)).alias("preview"))
+    out = fused.select("query_id", "id", "rank", F.col("score").alias("rrf_score"))
+    out = out.join(side(near, "vector"), ["query_id", "id"], "left").join(side(words, "keyword"), ["query_id", "id"], "left")
+    return out.join(shown, "id", "left").join(queries.select("query_id", F.array_join(terms, " ").alias("matched_terms")), "query_id", "left")
+
+
 def fuse_layers(raw: DataFrame, semantic: DataFrame, k: int = RRF_K) -> DataFrame:
     """Fusion of two layers by provenance key (query_id, key, id, rank): score, layers and the item shown.
 

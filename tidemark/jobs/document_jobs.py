@@ -215,7 +215,7 @@ def validate_records(spark, sf_dir):
     return e.select("vec_id", F.coalesce(ingest.record_errors(64, v, key), F.lit("")).alias("error"))
 
 
-def _quality(c):
+def _chunk_report(c):
     """Chunks, characters, duplicates and their ratio per source."""
     own = c.groupBy("source", F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
     return own.groupBy("source").agg(
@@ -229,7 +229,7 @@ def _quality(c):
 
 def ingest_quality(spark, sf_dir):
     """Quality of the fixed chunks per source."""
-    return _quality(_chunks(spark, sf_dir, "fixed"))
+    return _chunk_report(_chunks(spark, sf_dir, "fixed"))
 
 
 def duplicate_ratio(spark, sf_dir):
@@ -249,7 +249,7 @@ def chunk_count_by_source(spark, sf_dir):
 
 def chunk_quality(spark, sf_dir):
     """Quality of the structured chunks per source."""
-    return _quality(_chunks(spark, sf_dir, "structured"))
+    return _chunk_report(_chunks(spark, sf_dir, "structured"))
 
 
 def chunk_labels(spark, sf_dir):

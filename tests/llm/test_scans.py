@@ -6,8 +6,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tidemark.llm.hot_join import join_counted
 from tidemark.llm.license_scan import license_scan, template_terms
 from tidemark.llm.license_templates import FULL_TEXTS, TEMPLATES
 from tidemark.llm.secret_scan import redact_live, secret_scan
@@ -316,6 +318,37 @@ def test_topk_merges_many_levels(spark, monkeypatch):
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows, [r for r in rows if r[0] % 10 == 0], 4)
 
 
+def test_hot_keys_join_without_a_shuffle(spark):
+    """A key of a third of the rows, keys of one row each, a key without rows, null keys, and empty tables."""
+    rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i}", i) for i in range(9000)] + [(None, -1)], "k string, i long")
+    table = rows.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.upper("k"))
+    joined = join_counted(rows, table.unionByName(spark.createDataFrame([("none", 0, "x")], "k string, n long, v string")), "k", "n")
+    got = joined.collect()
+    assert joined.columns == ["k", "i", "v"]
+    assert sorted(r.i for r in got) == list(range(9000)) and all(r.v == r.k.upper() for r in got)
+    assert join_counted(rows, table.where("false"), "k", "n").count() == 0
+    assert join_counted(rows.where("false"), table, "k", "n").count() == 0
+
+
+def test_secrets_of_one_hot_value(table):
+    """One value holds a third of all spans and has one owner less than it takes; the others have one each."""
+    texts = [(i, "secret=the-hot-value!") if i % 3 == 0 else (i, f"secret=value-{i:06d}") for i in range(3600)]
+    rows = secret_scan(table(texts)).collect()  # the table's sources are src0 to src2, by id, so every hot row is of src0
+    assert len(rows) == 3600 and all((r.n_assign, r.n_live, r.n_copied) == (1, 1, 0) for r in rows)
+
+
+def test_licenses_of_a_hot_directory(spark):
+    """A third of all rows lie in one directory under a licensed one, a third in one without, the rest in one each."""
+    text = "This project is licensed under the Apache License, Version 2.0."
+    rows = [(0, "top/LICENSE", text)]
+    rows += [(i, ("top/hot/f", "bare/f", f"top/d{i}/f")[i % 3] + str(i), "nothing") for i in range(1, 4001)]
+    got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert len(got) == 4001
+    for i in range(1, 4001):
+        want = (None, None, None) if i % 3 == 1 else ("Apache-2.0", "inherited", "top")
+        assert (got[i].license, got[i].origin, got[i].from_dir) == want, i
+
+
 def test_secret_spans_of_many_matches(table):
     text = " ".join(f"token={'x' * (6 + i % 3)}{i}" for i in range(1500))
     got = secret_scan(table([text, "none"])).where("doc_id = 0").first()

@@ -8,7 +8,8 @@ vectors (1 + log of the count, so that a long text's common words do not outweig
 counts join the templates' terms, a bounded table that is broadcast. A row whose best cosine reaches
 ``threshold`` has a licence of its own. The licence files'
 findings hold for their directory; all other rows take the licence of the nearest ancestor directory
-that has one, by a join of the distinct directories' ancestors with the licensed directories.
+that has one, by a join of the distinct directories' ancestors with the licensed directories. Directories
+of a large share of the rows, and ancestors of a large share of the directories, are joined without a shuffle.
 
 Defined results: a null text counts as empty; a null path is a file in the root directory; equal
 cosines go to the licence that comes first in the alphabet; of several licence files in a directory
@@ -25,6 +26,7 @@ from re import findall
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.hot_join import join_counted
 from tidemark.llm.license_templates import FULL_TEXTS, TEMPLATES
 from tidemark.session import materialize
 
@@ -161,19 +163,21 @@ def license_scan(
     # Ancestors of each distinct directory, itself and the root included.
     steps = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
-    nearest = (
-        rows.where("license IS NULL")
-        .select("dir")
-        .distinct()
-        .select("dir", F.explode(F.array_distinct(up)).alias("from_dir"))
-        .join(licensed, "from_dir")
+    bare = rows.where("license IS NULL")
+    dirs = materialize(bare.groupBy("dir").agg(F.count(F.lit(1)).alias("n_rows")), "directories")
+    # The root is an ancestor of every directory, so ancestors are counted and joined as hot keys are.
+    climbed = dirs.select("dir", F.explode(F.array_distinct(up)).alias("from_dir"))
+    counted = climbed.groupBy("from_dir").agg(F.count(F.lit(1)).alias("n_dirs")).join(licensed, "from_dir", "left")
+    found = (
+        join_counted(climbed, materialize(counted, "ancestors"), "from_dir", "n_dirs")
+        .where("dir_license IS NOT NULL")
         .groupBy("dir")
         .agg(F.max_by(F.struct("from_dir", "dir_license"), F.char_length("from_dir")).alias("near"))
     )
-    nearest = materialize(nearest, "inherited")
+    # Every directory is in the table, so that a hot one without a licence needs no shuffle either.
+    nearest = materialize(dirs.join(found, "dir", "left"), "inherited")
     bare = (
-        rows.where("license IS NULL")
-        .join(nearest, "dir", "left")
+        join_counted(bare, nearest, "dir", "n_rows")
         .select(
             "doc_id",
             F.col("near.dir_license").alias("license"),

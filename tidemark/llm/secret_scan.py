@@ -3,7 +3,8 @@
 Patterns yield candidate spans per document. Hashes of the candidates' values are aggregated to
 distinct repositories and owners over the whole corpus: a value that many owners hold is a widely
 copied example, a value of few owners looks like a live credential. Base spans (assign, access, hex)
-are always reported; spans of the further kinds only when their value looks live.
+are always reported; spans of the further kinds only when their value looks live. Values that hold a
+large share of all spans meet their counts without a shuffle.
 
 A span's kind, start and end are code points, end exclusive. The owner is what stands before the
 first slash of the repository name.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.hot_join import join_counted
 from tidemark.session import materialize
 
 #: The base kinds, in the order of the report: pattern, value group, least length.
@@ -105,14 +107,15 @@ def candidates(df: DataFrame, text_col: str, id_col: str, repo_col: str) -> Data
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per hash the number of distinct repositories and owners; combined before each shuffle."""
+    """Per hash the number of distinct repositories and owners, and of spans; combined before each shuffle."""
     return (
         found.select(F.explode("spans.hash").alias("hash"), "owner", "repo")
-        .distinct()
+        .groupBy("hash", "owner", "repo")
+        .agg(F.count(F.lit(1)).alias("spans"))
         .groupBy("hash", "owner")
-        .agg(F.count(F.lit(1)).alias("repos"))
+        .agg(F.count(F.lit(1)).alias("repos"), F.sum("spans").alias("spans"))
         .groupBy("hash")
-        .agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+        .agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("spans").alias("n_spans"))
     )
 
 
@@ -120,10 +123,9 @@ def judged(df: DataFrame, text_col: str, id_col: str, repo_col: str, min_owners:
     """All rows with their candidates, and the judged spans of those that have any."""
     found = materialize(candidates(df, text_col, id_col, repo_col), "secret-candidates")
     owned = materialize(ownership(found), "secret-owners")
+    single = found.select("row_no", F.explode("spans").alias("span")).select("row_no", "span.*")
     spans = (
-        found.select("row_no", F.explode("spans").alias("span"))
-        .select("row_no", "span.*")
-        .join(owned, "hash")
+        join_counted(single, owned, "hash", "n_spans")
         .select("row_no", F.struct("start", "rank", "end", (F.col("n_owners") >= min_owners).alias("copied")).alias("span"))
     )
     return found, spans

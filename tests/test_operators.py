@@ -203,15 +203,27 @@ def test_cycles(spark, tmp_path):
     assert alive() == [("a.txt", "other"), ("d.docx", "Hello")]
     dead = spark.read.parquet(f"{registry}/tombstones/batch=1").collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in dead) == [("a.txt", "file_updated"), ("b.json", "file_deleted")]
-    assert spark.read.parquet(f"{registry}/decisions/batch=1").first().reason == "none"
+
+    def decided(batch):
+        """The running counts, which must be those of all that is alive; returns the tombstones and the reason."""
+        told = spark.read.parquet(f"{registry}/decisions/batch={batch}").first()
+        live = live_records(spark, registry).collect()
+        assert (told.batch, told.records, told.bytes) == (batch, len(live), sum(len(r.chunk_text.encode()) + 8 * len(r.vector) for r in live))
+        return told.tombstones, told.reason
+
+    assert decided(1) == (2, "none")
     (root / "a.txt").write_text("text")  # as it first was: the same chunk id is alive again
     run_cycle(spark, str(root), registry, 2, budget_bytes=100)
+    run_cycle(spark, str(root), registry, 2, budget_bytes=100)  # again, after it has compacted
+    assert decided(2) == (3, "budget")
     assert spark.read.parquet(f"{registry}/decisions/batch=2").first().reason == "budget"
     assert spark.read.parquet(f"{registry}/staged/batch=2").count() == 1  # the others were not read
     assert alive() == [("a.txt", "text"), ("d.docx", "Hello")]
     (root / "d.docx").unlink()
     run_cycle(spark, str(root), registry, 3)
-    assert alive() == [("a.txt", "text")]
+    assert alive() == [("a.txt", "text")] and decided(3) == (1, "none")  # tombstones since the compaction
+    run_cycle(spark, str(root), registry, 4)
+    assert decided(4) == (1, "none")
 
 
 def test_sql_dumps():

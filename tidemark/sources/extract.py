@@ -72,6 +72,11 @@ def _tables(html: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
+    """Markdown of headings, lists, tables, paragraphs, emphasis, code and links.
+
+    The tags, their marks and the order of the rules are fixed values: chunk ids and hashes come from the exact
+    Markdown, and each rule reads what the ones before it left (bold in a list item, ``&amp;lt;`` as ``<``).
+    """
     out = drop_elements(html)
     for n in range(1, 7):
         out = F.regexp_replace(out, _TAG.format(f"h{n}"), f"\n{'#' * n} $1\n")

@@ -10,7 +10,7 @@ its own folders and no other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +21,7 @@ from tidemark.sources.extract import extract_files
 
 REGISTRY = "path string, size long, modified timestamp, fingerprint string, status string, error string"
 RECORDS = "path string, chunk_id string, chunk_text string, vector array<double>, batch int"
-TOMBSTONES = "chunk_id string, path string, reason string, batch int"
+TOMBSTONES = "chunk_id string, path string, reason string, bytes long, batch int"
 DECISIONS = "batch int, records long, tombstones long, bytes long, budget string, reason string"
 #: Bytes of records that count as a full storage, and dimension of the embedding.
 BUDGET_BYTES, DIMENSION = 1 << 40, 16
@@ -50,9 +50,10 @@ def _read(spark: SparkSession, registry: str, name: str, schema: str, since: int
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def live_records(spark: SparkSession, registry: str, before: int | None = None) -> DataFrame:
+def live_records(spark: SparkSession, registry: str, before: int | None = None, compacted_before: int | None = None) -> DataFrame:
     """Records since the last compaction, which wrote all that was alive, without their tombstones."""
-    whole = [v for v in _versions(spark, f"{registry}/compacted") if before is None or v < before]
+    until = before if compacted_before is None else compacted_before
+    whole = [v for v in _versions(spark, f"{registry}/compacted") if until is None or v < until]
     since = whole[-1] if whole else -1
     base = spark.read.schema(RECORDS).parquet(f"{registry}/compacted/batch={since}") if whole else spark.createDataFrame([], RECORDS)
     records = base.unionByName(_read(spark, registry, "records", RECORDS, since + 1, before))
@@ -77,18 +78,38 @@ def _records_of(texts: DataFrame, batch: int) -> DataFrame:
     )
 
 
+def _size() -> Column:
+    """Bytes that a record counts for."""
+    return (F.octet_length("chunk_text") + 8 * F.size("vector")).cast("long")
+
+
 def _decide(spark: SparkSession, registry: str, batch: int, budget_bytes: int) -> None:
-    """Why to compact, if at all, and the compacted records."""
-    live, cycles = live_records(spark, registry), batch - max(_versions(spark, f"{registry}/compacted"), default=-1)
-    since = batch - cycles
-    count = live.agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.octet_length("chunk_text") + 8 * F.size("vector")), F.lit(0)).alias("bytes"))
-    dead = _read(spark, registry, "tombstones", TOMBSTONES, since + 1).agg(F.count(F.lit(1)).alias("tombstones"))
+    """Why to compact, if at all, and the compacted records.
+
+    Counts go from one batch's decision to the next, so that a cycle reads its own records and tombstones alone;
+    all live records are read only where no decision stands yet, and to compact them.
+    """
+    last = max((v for v in _versions(spark, f"{registry}/compacted") if v < batch), default=-1)
+    told = [v for v in _versions(spark, f"{registry}/decisions") if v < batch]
+    counts = lambda df, sign, size, dead: df.agg(
+        (sign * F.count(F.lit(1))).alias("records"), (sign * F.coalesce(F.sum(size), F.lit(0))).alias("bytes"), (dead * F.count(F.lit(1))).alias("tombstones")
+    )
+    if told:
+        # The tombstones before a compaction are gone with it.
+        since = F.when(F.col("batch") > last, F.col("tombstones")).otherwise(0).alias("tombstones")
+        base = spark.read.schema(DECISIONS).parquet(f"{registry}/decisions/batch={told[-1]}").select("records", "bytes", since)
+    else:
+        base = counts(live_records(spark, registry, before=batch), 1, _size(), 0)
+    fresh = counts(_read(spark, registry, "records", RECORDS, batch, batch + 1), 1, _size(), 0)
+    dead = counts(_read(spark, registry, "tombstones", TOMBSTONES, batch, batch + 1), -1, F.col("bytes"), 1)
+    total = base.unionByName(fresh).unionByName(dead).agg(*[F.sum(c).cast("long").alias(c) for c in ("records", "tombstones", "bytes")])
     budget = snapshots.budget_action(F.col("bytes") * 100 / budget_bytes)
-    reason = snapshots.compaction_decision(budget, F.col("tombstones"), F.col("records") + F.col("tombstones"), F.lit(cycles))
-    told = count.crossJoin(dead).select(F.lit(batch).alias("batch"), "records", "tombstones", F.col("bytes").cast("long").alias("bytes"), budget.alias("budget"), reason.alias("reason"))
-    told.write.mode("overwrite").parquet(f"{registry}/decisions/batch={batch}")
+    reason = snapshots.compaction_decision(budget, F.col("tombstones"), F.col("records") + F.col("tombstones"), F.lit(batch - last))
+    decided = total.select(F.lit(batch).alias("batch"), "records", "tombstones", "bytes", budget.alias("budget"), reason.alias("reason"))
+    decided.write.mode("overwrite").parquet(f"{registry}/decisions/batch={batch}")
     if spark.read.schema(DECISIONS).parquet(f"{registry}/decisions/batch={batch}").first()["reason"] != "none":
-        live.write.mode("overwrite").parquet(f"{registry}/compacted/batch={batch}")
+        # A batch that runs again must not read the compaction that it is about to write anew.
+        live_records(spark, registry, before=batch + 1, compacted_before=batch).write.mode("overwrite").parquet(f"{registry}/compacted/batch={batch}")
 
 
 def run_cycle(spark: SparkSession, root: str, registry: str, batch: int, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
@@ -112,7 +133,7 @@ def run_cycle(spark: SparkSession, root: str, registry: str, batch: int, budget_
     fresh = read.join(changes.where("change_type IN ('added', 'modified')"), "path", "left_semi")
     _records_of(fresh.where("error IS NULL"), batch).write.mode("overwrite").parquet(f"{registry}/records/batch={batch}")
     left = changes.where("change_type IN ('modified', 'deleted')").select("path", F.concat(F.lit("file_"), F.when(F.col("change_type") == "deleted", "deleted").otherwise("updated")).alias("reason"))
-    dead = live_records(spark, registry, before=batch).join(left, "path").select("chunk_id", "path", "reason", F.lit(batch).alias("batch"))
+    dead = live_records(spark, registry, before=batch).join(left, "path").select("chunk_id", "path", "reason", _size().alias("bytes"), F.lit(batch).alias("batch"))
     dead.write.mode("overwrite").parquet(f"{registry}/tombstones/batch={batch}")
     _decide(spark, registry, batch, budget_bytes)
     status = F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status")

@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined results: a text that is null, empty or without a letter goes with the first stage. Of rows with equal texts
+the one with the largest doc_id stays (a null id is smaller than any other), of rows that repeat id and text exactly
+one. Of near copies the least doc_id stays; texts of fewer than five words are near copies only of the same words.
+A null ``source`` is an owner of its own, a null ``lang`` is not learned from, and with no ``lang`` at all every
+text with a letter stays. Texts of any length are taken whole. An empty table gives no sequence. Further columns,
+whatever their names, travel along to the last stage and play no part.
 """
 
 from __future__ import annotations

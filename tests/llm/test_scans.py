@@ -390,3 +390,24 @@ def test_stages_on_an_empty_table(spark, tmp_path):
         out = stage(spark, docs, None)
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, None).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, table, words, tmp_path):
+    """Nulls, texts without letters, repeated rows, a null id, a long text and clashing names, through all stages."""
+    same, far = "one text of some seven words here", "some other clean text whose row has no id"
+    texts = [
+        (1, same), (2, same), (2, same), (3, None), (4, ""), (5, "123 456 \n"), (None, far), (6, words(1, 40_000, 9_000)),
+        (7, "two words"), (8, "two  words"), (9, "secret=live-looking-value and five more words"),
+    ]
+    docs = table(texts).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("lang", F.when(F.col("doc_id") != 7, F.col("lang")))
+    docs.withColumn("source", F.when(F.col("doc_id") != 9, F.col("source"))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_doc = defaultdict(int)
+    for r in rows:
+        by_doc[r.doc_id] += r.length
+    assert set(by_doc) == {None, 2, 6, 7, 9}  # 7 and 8 are the same two words
+    assert all(by_doc[r.doc_id] == r.doc_tokens for r in rows)  # of rows that repeat, one is left
+    assert by_doc[6] > 40_000
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name

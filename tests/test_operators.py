@@ -159,6 +159,14 @@ def test_changes(spark):
     assert {r.path: r.change_type for r in ingest.change_set(scan, known).collect()} == {"a": "added", "b": "unchanged", "c": "modified", "d": "deleted"}
 
 
+def test_sentences_keep_their_digits(spark):
+    """A sentence may begin or end with the digits of its own number."""
+    flat = "0 of 10. 16.1.2.31 is 1. In 2022 2 of 22. 33 is 3"
+    assert one(spark, T.sentences(F.col("t")), t=flat) == ["0 of 10.", "16.1.2.31 is 1.", "In 2022 2 of 22.", "33 is 3"]
+    assert one(spark, distill.title(F.col("t"), F.lit("text")), t="0\n1") == "0 1"
+    assert one(spark, distill.title(F.col("t"), F.lit("text")), t="0 of 10") == "0 of 10"
+
+
 def test_distillation(spark):
     text = "# Setup Guide\nThe service must validate each input before it is stored in the table. Short one. It requires: a key and a token for every single request made."
     t = F.col("t")

@@ -59,6 +59,24 @@ def test_more_queries_than_are_named_to_the_scan(spark, docs, monkeypatch):
     assert got == {1: expected(docs, "ant bee"), 2: expected(docs, "cat-dog")}
 
 
+def test_index_of_the_asked_terms_alone(spark, docs, monkeypatch):
+    """It finds what the whole index finds, and holds no posting besides."""
+    queries = ["ant", "bee-cat dog", "rare", "zebra", ""]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    frame = spark.createDataFrame(docs, "id long, text string")
+    for named in (postings.NAMED, 1):
+        monkeypatch.setattr(postings, "NAMED", named)
+        index = postings.build(frame, "id", "text", asked=postings.asked_words(asked))
+        assert {r["term"] for r in index.postings.select("term").collect()} == {"ant", "bee", "cat", "dog", "rare"}
+        got = scores(postings.keyword_scores(index, asked))
+        for q, text in enumerate(queries):
+            assert expected(docs, text) == got.get(q, {}), text
+        pieces = spark.createDataFrame([(1, "nt b"), (2, "beebee")], "query_id long, query string")
+        index = postings.build(frame, "id", "text", postings.trigram_terms, asked=postings.query_trigrams(pieces))
+        got = scores(postings.substring_scores(index, pieces))
+        assert substrings(docs, "nt b") == got.get(1, {}) and substrings(docs, "beebee") == got.get(2, {})
+
+
 def substrings(docs, query):
     texts = {i: (t or "").lower() for i, t in docs}
     pieces = [p for p in query.lower().split() if len(p) >= 3]

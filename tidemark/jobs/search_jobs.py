@@ -20,14 +20,15 @@ def _docs(spark, sf_dir):
     return spread_small(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Indexes of this application, by table; a table that changes needs a new one.
+#: Indexes of this application, by table and the terms that they hold; a table that changes needs a new one.
 _BUILT: dict[tuple[str, str, str], postings.Index] = {}
 
 
-def _index(spark, sf_dir, terms_of=postings.word_terms):
-    key = (spark.sparkContext.applicationId, sf_dir, terms_of.__name__)
+def _index(spark, sf_dir, name, asked=None, terms_of=postings.word_terms):
+    """The index of the documents, of the terms ``asked`` for (all if none are given), under a name of its own."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
-        _BUILT[key] = postings.build(_docs(spark, sf_dir), "doc_id", "text", terms_of)
+        _BUILT[key] = postings.build(_docs(spark, sf_dir), "doc_id", "text", terms_of, asked=asked)
     return _BUILT[key]
 
 
@@ -36,12 +37,12 @@ def _asked(spark):
 
 
 def _scores(spark, sf_dir):
-    return postings.keyword_scores(_index(spark, sf_dir), _asked(spark))
+    return postings.keyword_scores(_index(spark, sf_dir, "stated", postings.asked_words(_asked(spark))), _asked(spark))
 
 
 def bm25_stats(spark, sf_dir):
     """Document frequency and count of every term of the corpus."""
-    return _index(spark, sf_dir).terms
+    return _index(spark, sf_dir, "all").terms
 
 
 def search_keyword(spark, sf_dir):
@@ -55,8 +56,9 @@ def keyword_normalized(spark, sf_dir):
 
 def search_trigram(spark, sf_dir):
     """Substring search for the queries without a keyword match."""
-    unmet = _asked(spark).join(_scores(spark, sf_dir).select("query_id").distinct(), "query_id", "left_anti")
-    hits = postings.substring_scores(_index(spark, sf_dir, postings.trigram_terms), unmet)
+    unmet = materialize(_asked(spark).join(_scores(spark, sf_dir).select("query_id").distinct(), "query_id", "left_anti"), "unmet")
+    index = _index(spark, sf_dir, "unmet", postings.query_trigrams(unmet), postings.trigram_terms)
+    hits = postings.substring_scores(index, unmet)
     return K.top_k(hits, 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
@@ -65,7 +67,8 @@ def search_phrases(spark, sf_dir):
     terms = tokens(F.coalesce(F.col("text"), F.lit("")))
     asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("t")).where(F.size("t") >= 4)
     asked = asked.select("query_id", F.concat_ws(" ", F.array_join(F.slice("t", 1, 3), "-"), F.get("t", 3)).alias("query"))
-    found = K.top_k(postings.keyword_scores(_index(spark, sf_dir), asked), 10)
+    index = _index(spark, sf_dir, "benchmark", materialize(postings.asked_words(asked), "asked"))
+    found = K.top_k(postings.keyword_scores(index, asked), 10)
     return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
@@ -134,7 +137,7 @@ def _case_hits(spark, sf_dir, semantic):
     sources = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     live = P.live_bundles(_bundles(spark, sf_dir)).select("bundle_id")
     passing = sources.withColumn("bundle_id", F.expr("id div 10")).join(live, "bundle_id", "left_semi") if semantic else None
-    found = evaluate.search_cases(cases, vectors, _index(spark, sf_dir), 5, passing=passing).join(sources, "id")
+    found = evaluate.search_cases(cases, vectors, _index(spark, sf_dir, "all"), 5, passing=passing).join(sources, "id")
     modes = cases.select("case_id", "expected", F.explode(F.array(*map(F.lit, evaluate.MODES))).alias("mode"))
     return evaluate.hits(modes, found, 5)
 

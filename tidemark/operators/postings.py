@@ -1,6 +1,6 @@
 """Inverted indexes as tables, and BM25 over them for query tables of any size.
 
-An index is built once and read by every search. It holds three Parquet tables:
+An index is built once and read by every search, of all terms or of those that known queries ask for. It holds three Parquet tables:
 
 - ``postings``: term, id, tf, length (terms of the document) and the term's positions, in directories by
   the term's hash and sorted by term and id. Ranges are cut by term *and* id, so that a frequent
@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,25 @@ def trigram_terms(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TRIGRAM), F.lit(1))
 
 
+def named_trigrams(folded: Column, named: list[str]) -> Column:
+    """Places of the named trigrams in a folded text, by plain search: array of (position, term)."""
+
+    @F.arrow_udf("array<struct<position:int,term:string>>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts.to_pylist():
+            own = []
+            for term in named:
+                at = text.find(term)
+                while at >= 0:
+                    own.append({"position": at, "term": term})
+                    at = text.find(term, at + 1)
+            found.append(own)
+        return pa.array(found, pa.list_(pa.struct([("position", pa.int32()), ("term", pa.string())])))
+
+    return run(folded)
+
+
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -81,14 +101,33 @@ class Index:
         return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(named))
 
 
-def build(df: DataFrame, id_col: str, text_col: str, terms_of: Callable[[Column], Column] = word_terms, path: str | None = None) -> Index:
-    """Writes the index of a table's texts to a folder, in the shared one if none is named."""
+def build(
+    df: DataFrame, id_col: str, text_col: str, terms_of: Callable[[Column], Column] = word_terms, path: str | None = None, asked: DataFrame | None = None
+) -> Index:
+    """Writes the index of a table's texts to a folder, in the shared one if none is named.
+
+    With ``asked`` (column ``term``) it holds the postings of those terms alone, those that a known set of queries
+    needs; the totals are of all documents. Other terms are dropped where the text is cut, before anything is shuffled.
+    """
     spark = df.sparkSession
     index = Index(spark, path or scratch_path(spark, "postings"))
     cut = df.select(F.col(id_col).alias("id"), terms_of(F.coalesce(F.col(text_col), F.lit(""))).alias("terms")).select("*", F.size("terms").alias("length"))
+    named = None if asked is None else [r["term"] for r in asked.select("term").distinct().limit(NAMED + 1).collect()]
+    if named is not None and len(named) <= NAMED:
+        if terms_of is trigram_terms:
+            folded = df.select(F.col(id_col).alias("id"), fold(F.coalesce(F.col(text_col), F.lit(""))).alias("folded"))
+            length = F.greatest(F.char_length("folded") - 2, F.lit(0))
+            cut = folded.select("id", length.alias("length"), named_trigrams(F.col("folded"), named).alias("held"))
+        else:
+            placed = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+            cut = cut.select("id", "length", F.filter(placed, lambda x: x["term"].isin(named)).alias("held"))
+        cut = materialize(cut, "cut")
+        each = cut.select("id", "length", F.inline("held"))
+    else:
+        each = cut.select("id", "length", F.posexplode("terms").alias("position", "term"))
+        each = each if asked is None else each.join(asked.select("term").distinct(), "term", "left_semi")
     rows = (
-        cut.select("id", "length", F.posexplode("terms").alias("position", "term"))
-        .groupBy("term", "id", "length")
+        each.groupBy("term", "id", "length")
         .agg(F.sort_array(F.collect_set("position")).alias("positions"))
         .select(bucket_of(F.col("term")).alias("bucket"), "term", "id", F.size("positions").alias("tf"), "length", "positions")
     )
@@ -121,6 +160,11 @@ def query_words(queries: DataFrame) -> DataFrame:
     return words.select("query_id", "word_no", tokens(F.col("word")).alias("parts")).where(F.size("parts") > 0)
 
 
+def asked_words(queries: DataFrame) -> DataFrame:
+    """The terms that a keyword search of the queries (query_id, query) reads."""
+    return query_words(queries).select(F.explode("parts").alias("term")).distinct()
+
+
 def occurrences(index: Index, parts: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Documents in which all parts of a phrase stand at their offsets: query_id, word_no, id, length, tf.
 
@@ -174,15 +218,19 @@ def keyword_scores(index: Index, queries: DataFrame) -> DataFrame:
     return _scored(index, found, words)
 
 
+def query_trigrams(queries: DataFrame) -> DataFrame:
+    """(query_id, query) to the trigrams that a substring search reads: query_id, word_no, offset, term."""
+    pieces = queries.select("query_id", F.posexplode(F.split(fold(F.coalesce(F.col("query"), F.lit(""))), r"\s+")).alias("word_no", "piece"))
+    grams = pieces.where(F.char_length("piece") >= 3).select("query_id", "word_no", F.posexplode(trigram_terms(F.col("piece"))).alias("offset", "term"), (F.char_length("piece") - 3).alias("last"))
+    return grams.where((F.col("offset") % 3 == 0) | (F.col("offset") == F.col("last"))).drop("last")
+
+
 def substring_scores(index: Index, queries: DataFrame) -> DataFrame:
     """query_id, id, score of all documents that hold each white-space-delimited piece of a query, by the BM25 of the pieces.
 
     The index is one of trigrams; pieces of fewer than three code points are left out.
     """
-    pieces = queries.select("query_id", F.posexplode(F.split(fold(F.coalesce(F.col("query"), F.lit(""))), r"\s+")).alias("word_no", "piece"))
-    grams = pieces.where(F.char_length("piece") >= 3).select("query_id", "word_no", F.posexplode(trigram_terms(F.col("piece"))).alias("offset", "term"), (F.char_length("piece") - 3).alias("last"))
-    cover = grams.where((F.col("offset") % 3 == 0) | (F.col("offset") == F.col("last"))).drop("last")
-    known = materialize(cover.join(index.terms.select("term", "df"), "term", "left"), "trigrams")
+    known = materialize(query_trigrams(queries).join(index.terms.select("term", "df"), "term", "left"), "trigrams")
     # A trigram that no document holds leaves its query without a match; else only documents with a piece's rarest one can hold it.
     alive = known.join(known.where("df IS NULL").select("query_id").distinct(), "query_id", "left_anti")
     rarest = Window.partitionBy("query_id", "word_no").orderBy("df", "offset")

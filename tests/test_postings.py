@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import postings, search
+from tidemark.operators import postings, search, shards
 
 
 def bm25(n, df, tf, length, mean):
@@ -59,6 +60,21 @@ def test_more_queries_than_are_named_to_the_scan(spark, docs, monkeypatch):
     assert got == {1: expected(docs, "ant bee"), 2: expected(docs, "cat-dog")}
 
 
+def test_shards_find_what_the_index_finds(spark, docs, monkeypatch):
+    """And pass on no more than each query's best."""
+    queries = ["ant", "ant bee", "bee cat dog", "rare", "zebra ant", "", "ant ant bee", "rare elk"]
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    monkeypatch.setattr(shards, "SHARD", 20)
+    frame = spark.createDataFrame(docs, "id long, text string").withColumn("held", F.col("id") % 3 > 0)
+    got = by_query(shards.best(shards.pack(frame), asked, 5))
+    for q, text in enumerate(queries):
+        want = sorted((-round(s, 6), i) for i, s in expected(docs, text).items() if i % 3)[:5]
+        assert [(r["id"], r["rank"]) for r in sorted(got.get(q, []), key=lambda r: r["rank"])] == [(i, n + 1) for n, (_, i) in enumerate(want)], text
+    assert shards.best(shards.pack(frame.limit(0)), asked, 5).count() == 0
+    twice = spark.createDataFrame([(1, "ant"), (1, "ant bee"), (None, "ant"), (2, "bee")], "id long, text string").withColumn("held", F.lit(True))
+    assert sorted((r["query_id"], r["id"]) for r in shards.best(shards.pack(twice), asked, 5).collect()) == [(0, 1), (1, 1), (6, 1)]
+
+
 def test_index_of_the_asked_terms_alone(spark, docs, monkeypatch):
     """It finds what the whole index finds, and holds no posting besides."""
     queries = ["ant", "bee-cat dog", "rare", "zebra", ""]

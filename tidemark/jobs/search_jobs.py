@@ -10,6 +10,7 @@ from tidemark.operators import keyword as K
 from tidemark.operators import postings
 from tidemark.operators import publication as P
 from tidemark.operators import search as S
+from tidemark.operators import shards
 from tidemark.session import materialize, read_table, spread_small
 
 #: The stated queries; the id is also that of the query's vector.
@@ -137,7 +138,9 @@ def _case_hits(spark, sf_dir, semantic):
     sources = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     live = P.live_bundles(_bundles(spark, sf_dir)).select("bundle_id")
     passing = sources.withColumn("bundle_id", F.expr("id div 10")).join(live, "bundle_id", "left_semi") if semantic else None
-    found = evaluate.search_cases(cases, vectors, _index(spark, sf_dir, "all"), 5, passing=passing).join(sources, "id")
+    texts = _docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    texts = texts.withColumn("held", F.lit(True)) if passing is None else texts.join(passing.select("id", F.lit(True).alias("held")).distinct(), "id", "left")
+    found = evaluate.search_cases(cases, vectors, shards.pack(texts), 5, passing=passing).join(sources, "id")
     modes = cases.select("case_id", "expected", F.explode(F.array(*map(F.lit, evaluate.MODES))).alias("mode"))
     return evaluate.hits(modes, found, 5)
 

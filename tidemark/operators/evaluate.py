@@ -7,23 +7,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import keyword, postings, search
+from tidemark.operators import keyword, postings, search, shards
 from tidemark.session import materialize
 
 MODES = ("vector", "keyword", "hybrid")
 
 
-def search_cases(cases: DataFrame, vectors: DataFrame, index: postings.Index, k: int, depth: int = 20, passing: DataFrame | None = None) -> DataFrame:
+def search_cases(cases: DataFrame, vectors: DataFrame, index: postings.Index | DataFrame, k: int, depth: int = 20, passing: DataFrame | None = None) -> DataFrame:
     """The k best of every case in each mode: case_id, mode, rank, id.
 
-    cases: (case_id, query, q); vectors: (id, v); passing: the ids that a layer holds, all if none are given. A case is
+    cases: (case_id, query, q); vectors: (id, v); passing: the ids that a layer holds, all if none are given. The index may be
+    shards (``shards.pack``), for very many cases; which documents the layer holds is then marked in them. A case is
     searched without its own row, so that it can't find itself. A case whose vector cannot be scored has no vector
     results, one whose query has no words no keyword results; the hybrid list fuses what the two modes found.
     """
     layer = (lambda rows: rows) if passing is None else (lambda rows: rows.join(passing.select("id").distinct(), "id", "left_semi"))
     asked = cases.select(F.col("case_id").alias("query_id"), "q")
     near = search.nearest(layer(vectors), asked, depth + 1, id_col="id", vector_col="v")
-    words = layer(postings.keyword_scores(index, cases.select(F.col("case_id").alias("query_id"), "query")))
+    queries = cases.select(F.col("case_id").alias("query_id"), "query")
+    words = layer(postings.keyword_scores(index, queries)) if isinstance(index, postings.Index) else shards.best(index, queries, depth + 1)
     near = search.top_k(near.where("id <> query_id"), depth)
     words = keyword.top_k(words.where("id <> query_id"), depth)
     found = {"vector": near, "keyword": words, "hybrid": search.top_k(search.rrf((near, 1.0), (words, 1.0)), k, 9)}

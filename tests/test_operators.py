@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,16 @@ def test_chunks_of_a_table(spark):
     assert [r.chunk_no for r in rows] == list(range(len(rows)))
 
 
+def test_chunks_of_more_texts_than_a_piece(monkeypatch):
+    """A batch is chunked a piece at a time, its chunks the same and in order."""
+    taken, plain = [], chunking.CHUNKERS["fixed"]
+    monkeypatch.setitem(chunking.CHUNKERS, "fixed", lambda *a: taken.append(a[0]) or plain(*a))
+    texts = [None if i % 7 == 0 else f"text {i}. " * (i % 40) for i in range(2 * chunking.PIECE + 5)]
+    got = chunking.chunks_of("fixed", 80, 12).func(pa.array(texts, pa.string()))
+    assert got.to_pylist() == [[{"text": t, "label": lab, "offset": o} for t, lab, o in plain(x, 80, 12)] if x else [] for x in texts]
+    assert taken == [x for x in texts if x] and len(chunking.chunks_of("fixed").func(pa.array([], pa.string()))) == 0
+
+
 def test_html(spark):
     page = "<html><body><script>x</script><h1>T</h1><p>a &amp; <b>b</b><br/>c</p><ul><li>x</li><li><i>y</i></li></ul><ol><li>z</li></ol><table><tr><th>h</th><th>k</th></tr><tr><td>1</td></tr></table><a href='u'>l</a></body></html>"
     got = one(spark, extract.extract_html(F.col("t")), t=page)

@@ -37,7 +37,20 @@ def equal_to_sql(spark, folder, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["distill_answer", "distill_question", "distill_summary", "distill_themes", "distill_title", "published_unit_lookups", "semantic_records"],
+    ["distill_answer", "distill_question", "distill_summary", "distill_themes", "distill_title", "published_unit_lookups", "semantic_records", "bundle_diagnostics", "approval_gate"],
 )
 def test_equals_sql(spark, folder, name):
     assert equal_to_sql(spark, folder, name)
+
+
+def test_bundles_read_documents_once(spark, tmp_path):
+    """Each text is read and scored once; units without a source are a bundle too."""
+    texts = ["", " ", "#", "A!!! B???", "LOUD WORDS HERE and ONE", "NOt ABc", "12 34 56 x", "a b c d e f", "One. Two.  Three! Four?", "x\n\nx", "  # T \nbody", "1. 22) go", "the of", "äbc-DEF_g ABCä"]
+    texts += ["word " * 30 + "end. " + t for t in texts] + ["go on with it. " * 60 + t for t in texts]
+    rows = [(i, text, ("s", "t", None)[i % 3]) for i, text in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("bundle_diagnostics", "approval_gate", "noise_flags", "quality_signals", "dedup_key"):
+        assert equal_to_sql(spark, str(tmp_path), name), name
+    for name in ("bundle_diagnostics", "approval_gate"):
+        plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan

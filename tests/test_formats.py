@@ -187,3 +187,21 @@ def test_ranks_without_gathering_a_key(spark, monkeypatch):
         assert (got[k]["median"], got[k]["p95"], got[k]["least"]) == (vs[math.ceil(len(vs) / 2) - 1], vs[-(-len(vs) * 950 // 1000) - 1], vs[0])
     plain = {x["k"]: x for x in evaluate.latency(spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", None)], "k string, v double"), "v", "k").collect()}
     assert (plain["a"]["median"], plain["a"]["p95"], plain["a"]["most"], plain["b"]["median"]) == (1.0, 4.0, 4.0, None)
+
+
+def test_yaml_asks_for_a_key_once_a_line(monkeypatch):
+    """A line's key is looked for once, and plain scalars don't go through the flow parser: the time of large YAML files is there."""
+    asked = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self._pattern = pattern
+
+        def match(self, text):
+            asked.append(text)
+            return self._pattern.match(text)
+
+    monkeypatch.setattr(formats, "_KEY", Counted(formats._KEY))
+    text = "---\n- id: 1\n  props:\n    k: a b\n    n: 2.50\n- id: x\n  t: ~"
+    assert formats.yaml_value(text) == [{"id": 1, "props": {"k": "a b", "n": 2.5}}, {"id": "x", "t": None}]
+    assert len(asked) <= 8  # eleven, when each step looked again

@@ -7,6 +7,7 @@ import math
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,29 @@ def test_yaml_asks_for_a_key_once_a_line(monkeypatch):
     text = "---\n- id: 1\n  props:\n    k: a b\n    n: 2.50\n- id: x\n  t: ~"
     assert formats.yaml_value(text) == [{"id": 1, "props": {"k": "a b", "n": 2.5}}, {"id": "x", "t": None}]
     assert len(asked) <= 8  # eleven, when each step looked again
+
+
+def test_few_files_stand_as_objects():
+    """Of a batch of files only a few are Python objects at a time."""
+    taken = []
+
+    class Watched:
+        def __init__(self, column):
+            self._column = column
+
+        def __len__(self):
+            return len(self._column)
+
+        def slice(self, at, n):
+            return Watched(self._column.slice(at, n))
+
+        def to_pylist(self):
+            taken.append(len(self._column))
+            return self._column.to_pylist()
+
+    n = 200
+    kinds, files = pa.array(["rtf"] * n), pa.array([b"{\\rtf1 %d}" % i for i in range(n)])
+    made = extract._extract.func(Watched(kinds), Watched(files))
+    assert made.field("text").to_pylist() == [str(i) for i in range(n)] and made.field("error").null_count == n
+    assert max(taken) <= 64
+    assert len(extract._extract.func(kinds[:0], files[:0])) == 0

@@ -294,6 +294,9 @@ def extract_bytes(kind: str, content: bytes) -> str:
 
 
 _PARTS = ["text", "html", "after", "error"]
+_STRUCT = pa.struct([(name, pa.string()) for name in _PARTS])
+#: Files that stand as Python objects at a time.
+_AT_ONCE = 64
 
 
 @F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in _PARTS]))
@@ -310,8 +313,10 @@ def _extract(kind: pa.Array, content: pa.Array) -> pa.Array:
         except Exception as err:  # one bad file is a row with its error, not a failed job
             return {"error": f"{type(err).__name__}: {err}"}
 
-    made = [one(k, c) for k, c in zip(kind.to_pylist(), content.to_pylist(), strict=True)]
-    return pa.array(made, pa.struct([(name, pa.string()) for name in _PARTS]))
+    # A few files at a time stand as Python objects: a batch holds thousands, each several times its bytes while it is read.
+    kinds = [kind.slice(at, _AT_ONCE).to_pylist() for at in range(0, len(kind), _AT_ONCE)]
+    made = [pa.array([one(k, c) for k, c in zip(some, content.slice(i * _AT_ONCE, _AT_ONCE).to_pylist(), strict=True)], _STRUCT) for i, some in enumerate(kinds)]
+    return pa.concat_arrays(made) if made else pa.array([], _STRUCT)
 
 
 def _text_of(kind: Column, e: Column) -> Column:

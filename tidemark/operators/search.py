@@ -70,9 +70,11 @@ def _tiles(metric: str, k: int, digits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tile in batch.to_pylist():
-                query_ids, ids = np.frombuffer(tile["query_ids"], "<i8"), np.frombuffer(tile["ids"], "<i8")
-                q, x = (np.frombuffer(tile[c], "<f8").reshape(-1, tile["dim"]) for c in ("query_cells", "cells"))
+            for at in range(batch.num_rows):
+                # Matrices are read where they stand in the batch, which may hold many tiles.
+                dim, *buffers = (batch.column(c)[at] for c in ("dim", "query_ids", "ids", "query_cells", "cells"))
+                query_ids, ids = (np.frombuffer(b.as_buffer(), "<i8") for b in buffers[:2])
+                q, x = (np.frombuffer(b.as_buffer(), "<f8").reshape(-1, dim.as_py()) for b in buffers[2:])
                 scores = np.round(_scores(q, x, metric), digits) + 0.0
                 rows, picks = [], []
                 for i, own in enumerate(scores):

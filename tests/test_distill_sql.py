@@ -54,3 +54,19 @@ def test_bundles_read_documents_once(spark, tmp_path):
     for name in ("bundle_diagnostics", "approval_gate"):
         plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_texts_are_cut_and_scored_once(spark, folder):
+    """A plan that names a step twice takes it twice for every text."""
+    first_sentence, score = "[.!?](?= )", "(must|should|"
+    wanted = {
+        "distill_title": {first_sentence: 1},
+        "distill_question": {first_sentence: 1},
+        "distill_summary": {score: 1},
+        "distill_answer": {score: 1},
+        "semantic_records": {first_sentence: 1, score: 1},
+        "published_unit_lookups": {"(?<=[.!?]) ": 1},
+    }
+    for name, steps in wanted.items():
+        plan = registry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert {step: plan.count(step) for step in steps} == steps, name

@@ -1,5 +1,6 @@
 """Distilled texts against their SQL, on documents whose sentences begin and end with digits of their own number."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -70,3 +71,13 @@ def test_texts_are_cut_and_scored_once(spark, folder):
     for name, steps in wanted.items():
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert {step: plan.count(step) for step in steps} == steps, name
+
+
+def test_long_runs_of_names(spark, tmp_path):
+    """Names without end, by words and by hyphens, and names that break off in a longer word."""
+    texts = ["Word " * 20_000, "Abc1\n\n" * 20_000 + "d", "AB" + "-C2" * 20_000, "Foo Bar BazX", "Foo Bar_ Qux", "AB-CDx EF-GH- IJ-K", "ABc AB_ AB-", "A Bc D Ef9 9Gh", "A1B Cc-Dd EE FFf"]
+    r = random.Random(1)
+    texts += ["".join(r.choice(["A", "B", "c", "d", "7", "_", "-", " ", " ", "\n"]) for _ in range(r.randrange(80))) for _ in range(400)]
+    spark.createDataFrame([(i, text, "s") for i, text in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("distill_themes", "distill_entities", "quality_signals", "bundle_diagnostics"):
+        assert equal_to_sql(spark, str(tmp_path), name), name

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import sentences, tokens, truncate
 from tidemark.operators import evaluate
 from tidemark.operators import keyword as K
-from tidemark.operators import postings
+from tidemark.operators import phrases, postings
 from tidemark.operators import publication as P
 from tidemark.operators import search as S
 from tidemark.operators import shards
@@ -68,8 +68,7 @@ def search_phrases(spark, sf_dir):
     terms = tokens(F.coalesce(F.col("text"), F.lit("")))
     asked = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("t")).where(F.size("t") >= 4)
     asked = asked.select("query_id", F.concat_ws(" ", F.array_join(F.slice("t", 1, 3), "-"), F.get("t", 3)).alias("query"))
-    index = _index(spark, sf_dir, "benchmark", materialize(postings.asked_words(asked), "asked"))
-    found = K.top_k(postings.keyword_scores(index, asked), 10)
+    found = K.top_k(phrases.scores(_docs(spark, sf_dir), "doc_id", "text", asked), 10)
     return found.select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 

@@ -184,12 +184,12 @@ def occurrences(index: Index, parts: DataFrame, candidates: DataFrame | None = N
     return per_row.groupBy("query_id", "word_no", "id").agg(F.max(F.struct("tf", "length")).alias("best")).select("query_id", "word_no", "id", "best.length", "best.tf")
 
 
-def _scored(index: Index, found: DataFrame, words: DataFrame) -> DataFrame:
-    """BM25 of documents that hold all words; found: (query_id, word_no, id, length, tf, df)."""
+def scored(totals: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """BM25 of documents that hold all words; found: (query_id, word_no, id, length, tf, df); totals are those of an index."""
     length = K1 * (1 - B + B * F.col("length") / F.when(F.col("mean_length") > 0, F.col("mean_length")).otherwise(1.0))
     one = idf(F.col("n_docs").cast("double"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
     needed = words.groupBy(F.col("query_id").alias("q")).agg(F.count_distinct("word_no").alias("n_words"))
-    scored = found.join(F.broadcast(index.totals)).select("query_id", "id", one.alias("one"))  # the totals are one row
+    scored = found.join(F.broadcast(totals)).select("query_id", "id", one.alias("one"))  # the totals are one row
     return (
         scored.groupBy("query_id", "id")
         .agg(F.sum("one").alias("score"), F.count(F.lit(1)).alias("held"))
@@ -215,7 +215,7 @@ def keyword_scores(index: Index, queries: DataFrame) -> DataFrame:
         phrases = materialize(occurrences(index, parts), "phrases")
         held = phrases.groupBy("query_id", "word_no").agg(F.count(F.lit(1)).alias("df"))
         found = found.unionByName(phrases.join(held, ["query_id", "word_no"]).select("query_id", "word_no", "id", "length", "tf", "df"))
-    return _scored(index, found, words)
+    return scored(index.totals, found, words)
 
 
 def query_trigrams(queries: DataFrame) -> DataFrame:
@@ -239,4 +239,4 @@ def substring_scores(index: Index, queries: DataFrame) -> DataFrame:
     narrowed = materialize(index.of_terms(first).select("term", "id").join(first, "term").select("query_id", "word_no", "id").distinct(), "candidates")
     found = materialize(occurrences(index, alive.select("query_id", "word_no", "offset", "term"), narrowed), "substrings")
     held = found.groupBy("query_id", "word_no").agg(F.count(F.lit(1)).alias("df"))
-    return _scored(index, found.join(held, ["query_id", "word_no"]), alive)
+    return scored(index.totals, found.join(held, ["query_id", "word_no"]), alive)
